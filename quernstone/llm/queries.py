@@ -1,0 +1,92 @@
+"""The ``opN_<name>`` queries: thin layers over the operators of this subpackage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quernstone.llm.exact_dedup import exact_dedup
+from quernstone.llm.host_rules import quality_rules
+from quernstone.llm.mixing import mix_sources
+from quernstone.sources import table
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op5_exact_dedup, op9_host_quality_rules)}
+
+ORACLES = {
+    "op2_source_mix": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, source,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM d GROUP BY source),
+l AS (
+  SELECT *, source_size * 2 AS cap,
+         (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5
+          - coalesce(sum(source_size * 2) OVER (ORDER BY source_size * 2 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY source_size * 2 / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+  FROM s),
+f AS (SELECT *, (SELECT lev FROM l WHERE lev <= cap / weight ORDER BY cap / weight LIMIT 1) AS level FROM l),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), level * weight) END AS target FROM f),
+p AS (
+  SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS n,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, doc_id, uid ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(0, least(size, n - a)) + greatest(0, least(size, n - source_size - a)) AS BIGINT) AS taken
+FROM p""",
+    "op5_exact_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, length(coalesce(text, '')) AS chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM d
+WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST, uid)""",
+    "op9_host_quality_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (
+  SELECT uid, i, array_to_string(w[i:i + 7], ' ') AS g
+  FROM (SELECT uid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT uid, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest(range(8)) AS k) GROUP BY uid),
+m AS (
+  SELECT uid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (uid)),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f FROM b GROUP BY source),
+c AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2) AS spread FROM h),
+k AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(10000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 10000.0 END AS strength FROM c),
+v AS (SELECT source, (f + mean * strength) / (n + strength) > 0.5 AS bad FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT bad AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source""",
+}
