@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.host_rules import quality_rules
 from quernstone.llm.mixing import mix_sources
+from quernstone.llm.pieces import piece_digests, read_model
+from quernstone.llm.secrets import scan_secrets, secret_report
 from quernstone.sources import table
 
 
@@ -15,6 +17,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -24,7 +30,18 @@ def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op5_exact_dedup, op9_host_quality_rules)}
+def default_model() -> str:
+    """Path of the installed public 32k model; a path parameter everywhere else."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), read_model(default_model()))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_secret_scan, op5_exact_dedup, op9_host_quality_rules, op10_piece_codec)}
 
 ORACLES = {
     "op2_source_mix": r"""
