@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from quernstone.llm.queries import QUERIES
+    from quernstone.llm.registry import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quernstone.llm.queries import ORACLES
+    from quernstone.llm.registry import ORACLES
 
     return dict(ORACLES)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.host_rules import quality_rules
+from quernstone.llm.langid import held_out, identify_language
 from quernstone.llm.mixing import mix_sources
 from quernstone.llm.pieces import piece_digests, read_model
 from quernstone.llm.secrets import scan_secrets, secret_report
@@ -17,6 +19,12 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify_language(docs, docs.where(~held_out()))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -41,7 +49,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), read_model(default_model()))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_secret_scan, op5_exact_dedup, op9_host_quality_rules, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op9_host_quality_rules, op10_piece_codec)}
 
 ORACLES = {
     "op2_source_mix": r"""
