@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.plans import map_arrow
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: In front of every block: makes even a short block worth compressing, so that its size tells languages apart.
 _PAD = bytes(64)
@@ -105,7 +107,7 @@ def identify_language(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64()), pa.array([s[2] for s in said], pa.bool_())], names=["id", "lang_pred", "score", "rejected"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):

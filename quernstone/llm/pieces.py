@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.plans import map_arrow
+
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -261,7 +263,7 @@ def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     id_type = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return map_arrow(src, run, f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def piece_ids(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,4 +279,4 @@ def piece_ids(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: s
                 ids = pa.array([pieces.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)

@@ -11,6 +11,7 @@ from quernstone.llm.langid import held_out, identify_language
 from quernstone.llm.mixing import mix_sources
 from quernstone.llm.pieces import piece_digests, read_model
 from quernstone.llm.secrets import scan_secrets, secret_report
+from quernstone.llm.simhash import simhash_classes
 from quernstone.sources import table
 
 
@@ -34,6 +35,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), read_model(default_model()))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op9_host_quality_rules, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op7_simhash_classes, op9_host_quality_rules, op10_piece_codec)}
 
 ORACLES = {
     "op2_source_mix": r"""

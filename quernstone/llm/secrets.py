@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.automaton import Dfa, compile_rules, first_bytes, longest_from
+from quernstone.plans import map_arrow
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, span)], names=["id", "spans"])
 
     id_type = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(scan, f"id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
+    return map_arrow(src, scan, f"id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
 
 
 def digest(kinds: list[str], spans: list[tuple[str, int, int]]) -> str:
