@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.host_rules import quality_rules
+from quernstone.llm.kneser_ney import classify_quality, train_classifier
 from quernstone.llm.langid import held_out, identify_language
 from quernstone.llm.mixing import mix_sources
 from quernstone.llm.pieces import piece_digests, read_model
@@ -15,6 +16,11 @@ from quernstone.llm.simhash import simhash_classes
 from quernstone.sources import table
 
 
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify_quality(docs, train_classifier(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +60,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), read_model(default_model()))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op7_simhash_classes, op9_host_quality_rules, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_quality, op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op7_simhash_classes, op9_host_quality_rules, op10_piece_codec)}
 
 ORACLES = {
     "op2_source_mix": r"""
