@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.host_rules import quality_rules
+from quernstone.llm.html_text import extract_text, train_weights
 from quernstone.llm.kneser_ney import classify_quality, train_classifier
 from quernstone.llm.langid import held_out, identify_language
+from quernstone.llm.licences import scan_licences
 from quernstone.llm.mixing import mix_sources
 from quernstone.llm.pieces import piece_digests, read_model
 from quernstone.llm.secrets import scan_secrets, secret_report
@@ -41,10 +43,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, train_weights(pages))
+
+
 def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -60,7 +71,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), read_model(default_model()))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney_quality, op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op7_simhash_classes, op9_host_quality_rules, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_quality, op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op6_licence_scan, op7_simhash_classes, op8_html_main_text, op9_host_quality_rules, op10_piece_codec)}
 
 ORACLES = {
     "op2_source_mix": r"""
