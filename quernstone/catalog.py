@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from quernstone.queries import REGISTRY, graphs, records, reports, retrieval, scores, sequences, texts
+
+#: Modules that register queries when they are imported.
+FAMILIES = (records, reports, sequences, retrieval, graphs, texts, scores)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
