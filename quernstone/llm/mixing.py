@@ -47,10 +47,10 @@ def source_targets(sizes: DataFrame, ratio: float = 1.5, max_epochs: int = 2, we
     everyone = Window.partitionBy()
     earlier = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.sum("source_size").over(everyone) * ratio - earlier) / rest)
+    s = s.withColumn("place", F.row_number().over(by_ratio)).withColumn("level", (F.sum("source_size").over(everyone) * ratio - earlier) / rest)
     # the first source that the level leaves below its cap sets the level for all
     s = s.withColumn("fits", F.col("level") <= F.col("cap") / F.col("weight"))
-    s = s.withColumn("level", F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("l")))).over(everyone)["l"])
+    s = s.withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("place").alias("r"), F.col("level").alias("l")))).over(everyone)["l"])
     target = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
     s = s.withColumn("target", target)
     return s.select("source", "source_size", "weight", "cap", "target", F.sum(F.floor("target")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))

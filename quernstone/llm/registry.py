@@ -90,7 +90,7 @@ l AS (
           - coalesce(sum(source_size * 2) OVER (ORDER BY source_size * 2 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY source_size * 2 / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM s),
-f AS (SELECT *, (SELECT lev FROM l WHERE lev <= cap / weight ORDER BY cap / weight LIMIT 1) AS level FROM l),
+f AS (SELECT *, (SELECT lev FROM l WHERE lev <= cap / weight ORDER BY cap / weight, source NULLS LAST LIMIT 1) AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), level * weight) END AS target FROM f),
 p AS (
   SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS n,
