@@ -45,7 +45,7 @@ def read_model(path: str) -> bytes:
 class Pieces:
     """Vocabulary, merge order and the encoder of one BPE model with byte fallback."""
 
-    def __init__(self, model: bytes, most_kept: int = 400_000):
+    def __init__(self, model: bytes, most_kept: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -71,7 +71,8 @@ class Pieces:
             if len(p) == 1 or p.strip(MARK) == "" or len(self.merge(p, True)) == 1:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, str] = {}
+        self.spelt: dict[str, str] = {}
         self.most_kept = most_kept
 
     def merge(self, text: str, note: bool = False) -> list[str]:
@@ -129,7 +130,7 @@ class Pieces:
 
     def learn(self, a: int, b: int) -> bool:
         """``compatible`` of two ids, kept in a bounded table."""
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 400_000:
             self.fits.clear()
         fine = self.fits[a << 16 | b] = self.compatible(self.piece[a], self.piece[b])
         return fine
@@ -197,30 +198,40 @@ class Pieces:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")
 
-    def segment(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text) of a segment."""
+    def segment(self, text: str) -> str:
+        """Ids of a segment joined by commas; one that is partly spelt in bytes leaves its text in ``spelt``."""
         ids = self.tokens(text)
-        # pieces alone give their segment back
-        spelt = min(ids) < self.bytes_at + 256
-        return len(ids), ",".join(map(str, ids)), self.plain(ids) if spelt else text.replace(MARK, " ")
+        if min(ids) < self.bytes_at + 256:
+            if len(self.spelt) >= self.most_kept:
+                self.spelt.clear()
+            self.spelt[text] = self.plain(ids)
+        return ",".join(map(str, ids))
 
     def encoded(self, text: str) -> tuple[int, str, str]:
-        """The same of a whole text; its decoded form has lost the dummy prefix."""
+        """(number of ids, ids joined by commas, decoded text) of a whole text.
+
+        Pieces alone give their segment back; only segments that are partly spelt in bytes are
+        decoded. The decoded text has lost the dummy prefix.
+        """
         if not text:
             return 0, "", ""
-        known, count, said, plain = self.known, 0, [], []
-        for s in _SEGMENT.findall(MARK + text.replace(" ", MARK)):
+        known, said, odd = self.known, [], []
+        segments = _SEGMENT.findall(MARK + text.replace(" ", MARK))
+        for k, s in enumerate(segments):
             found = known.get(s)
             if found is None:
                 found = self.segment(s)
-                if len(s) <= 64:
+                if s in self.spelt:
+                    odd.append((k, self.spelt[s]))
+                elif len(s) <= 64:
                     if len(known) >= self.most_kept:
                         known.clear()
                     known[s] = found
-            count += found[0]
-            said.append(found[1])
-            plain.append(found[2])
-        return count, ",".join(said), "".join(plain)[1:]
+            said.append(found)
+        ids = ",".join(said)
+        for k, plain in odd:
+            segments[k] = plain
+        return ids.count(",") + 1, ids, "".join(segments).replace(MARK, " ")[1:]
 
     def encode(self, text: str) -> list[int]:
         said = self.encoded(text)[1]
