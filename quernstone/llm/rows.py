@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Row numbers are broadcast up to this many (16 MB); beyond, both sides are shuffled.
-MAX_BROADCAST_ROWS = 2_000_000
+#: Row numbers are broadcast up to this many (about 20 MB once hashed); beyond, both sides are shuffled.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def repeat_rows(docs: DataFrame, copies: DataFrame) -> DataFrame:
