@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quernstone.queries import REGISTRY, analysis, graphs, records, reports, retrieval, scores, sequences, texts
+from quernstone.queries import REGISTRY, analysis, graphs, records, reports, retrieval, scores, sequences, streams, texts
 
 #: Modules that register queries when they are imported.
-FAMILIES = (records, reports, sequences, retrieval, graphs, texts, scores, analysis)
+FAMILIES = (records, reports, sequences, retrieval, graphs, texts, scores, analysis, streams)
 
 
 def queries() -> dict:
