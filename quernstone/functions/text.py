@@ -134,22 +134,29 @@ def has_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
 
 
+def lowered(text: Column, body) -> Column:
+    """``body`` of the lower-cased text, which is made once for a row however often it is used."""
+    return F.element_at(F.transform(F.array(F.lower(text)), body), 1)
+
+
 def first_match(text: Column, classes: dict[str, list[str]], default: str | None = None) -> Column:
     """The first class with a part that the lower-cased text contains."""
-    low = F.lower(text)
-    out = None
-    for name, parts in classes.items():
-        out = F.when(has_any(low, parts), name) if out is None else out.when(has_any(low, parts), name)
-    return out.otherwise(F.lit(default))
+
+    def pick(low: Column) -> Column:
+        out = None
+        for name, parts in classes.items():
+            out = F.when(has_any(low, parts), name) if out is None else out.when(has_any(low, parts), name)
+        return out.otherwise(F.lit(default))
+
+    return lowered(text, pick)
 
 
 def domain_tags(text: Column) -> Column:
     """Sorted domain and technology tags of a text."""
-    low = F.lower(text)
     by_tag: dict[str, list[str]] = {k: list(v) for k, v in DOMAIN_KEYWORDS.items()}
     for word, tag in TECH_KEYWORDS.items():
         by_tag.setdefault(tag, []).append(word)
-    return F.array_sort(F.array_compact(F.array(*[F.when(has_any(low, words), tag) for tag, words in by_tag.items()])))
+    return lowered(text, lambda low: F.array_sort(F.array_compact(F.array(*[F.when(has_any(low, words), tag) for tag, words in by_tag.items()]))))
 
 
 def extract_tags(text: Column, most: int = 10) -> Column:
@@ -197,9 +204,25 @@ def is_env_reference(value: Column) -> Column:
     return has_any(value, ENV_REFERENCES)
 
 
+def literal_start(pattern: str) -> str:
+    """The plain characters that every match of a pattern begins with."""
+    start = re.match(r"(?:\\b)?([A-Za-z0-9_\-\"=:/@ ]*)", pattern)[1]
+    rest = pattern[pattern.index(start) + len(start) :]
+    # a quantifier takes the last character with it
+    return start[:-1] if rest[:1] in ("?", "*", "{") else start
+
+
 def secret_kinds(text: Column) -> Column:
-    """Kinds of credentials in the text by format alone, most specific first."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), kind) for kind, p, _ in SECRET_FORMATS]))
+    """Kinds of credentials in the text by format alone, most specific first.
+
+    The costly pattern is tried only on texts that hold its first characters.
+    """
+
+    def found(pattern: str) -> Column:
+        start = literal_start(pattern)
+        return text.contains(start) & text.rlike(pattern) if start else text.rlike(pattern)
+
+    return F.array_compact(F.array(*[F.when(found(p), kind) for kind, p, _ in SECRET_FORMATS]))
 
 
 def named_secret(name: Column, value: Column) -> Column:
