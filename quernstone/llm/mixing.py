@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, ratio: float = 1.5, max_epochs: int = 2, we
     return s.select("source", "source_size", "weight", "cap", "target", F.sum(F.floor("target")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
 
 
-def schedule(targets: DataFrame, block_tokens: int = 1024, range_bits: int = 12, cell_bits: int = 12) -> DataFrame:
+def schedule(targets: DataFrame, block_tokens: int = 1024, range_bits: int = 10, cell_bits: int = 12) -> DataFrame:
     """(slot, source, rank): the order in which the mix takes blocks.
 
     Slots and sources meet by an equi-join on the leading ``cell_bits`` bits of
