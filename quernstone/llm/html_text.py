@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quernstone.plans import map_arrow
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_UNENDED = re.compile(r"<(?:!--|/?[a-zA-Z])")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -46,6 +47,8 @@ comment comments commentlist respond reply replies disqus discussion widget widg
 #: Words of class or id that name the article itself: with one of them, ``header`` doesn't exclude.
 OWN = frozenset("article post entry content story main body page".split())
 CONTENT = frozenset(["article", "main"])
+#: Tags nested deeper than this open no element, as in browsers.
+MOST_DEPTH = 512
 #: Names of page parts that also turn up in names of wrappers, and the words that wrappers have.
 PARTS = frozenset("sidebar sidebars nav navbar navigation menu footer foot topbar toolbar search widget widgets login skip banner header".split())
 WRAPPERS = frozenset("layout wrapper wrap has with no container page site grid".split())
@@ -95,6 +98,7 @@ def parse(source: str) -> Page:
     page = Page()
     elements, tokens = page.elements, page.tokens
     stack, at, n = [0], 0, len(source)
+    last_end = source.rfind(">")
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -114,9 +118,12 @@ def parse(source: str) -> Page:
                 return
 
     while at < n:
-        m = _TAG.search(source, at)
+        # without an end to come there is no tag to look for
+        m = _TAG.search(source, at) if at <= last_end else None
         if m is None:
-            text(source[at:])
+            # a tag or comment that never ends is no text
+            open_end = _UNENDED.search(source, at)
+            text(source[at : open_end.start()] if open_end else source[at:])
             break
         text(source[at : m.start()])
         at = m.end()
@@ -137,7 +144,7 @@ def parse(source: str) -> Page:
             shut(SIBLINGS[name], SCOPES - {"div"})
         inside = any(elements[e].name in CONTENT for e in stack)
         tokens.append((stack[-1], None, name))
-        if name in VOID or attributes.endswith("/") and name not in BLOCKS and name not in RAW:
+        if name in VOID or len(stack) > MOST_DEPTH and name not in RAW or attributes.endswith("/") and name not in BLOCKS and name not in RAW:
             continue
         elements.append(Element(name, stack[-1], len(stack), name not in ("body", "html") and _excluded(name, attributes, inside)))
         if name in RAW:

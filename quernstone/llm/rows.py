@@ -16,12 +16,12 @@ def repeat_rows(docs: DataFrame, copies: DataFrame) -> DataFrame:
     read (the numbering then is the same in each read). Only rows that occur other than
     once are joined; they are broadcast if they were counted to be few.
     """
-    other = copies.where("copies != 1").select(F.col("row_uid").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    other = copies.where("copies != 1").select(F.col("row_uid").alias("__quernstone_row"), F.col("copies").cast("int").alias("__quernstone_copies"))
     if other.count() <= MAX_BROADCAST_ROWS:
         other = F.broadcast(other)
-    counted = docs.withColumn("_row", F.monotonically_increasing_id()).join(other, "_row", "left")
-    times = F.coalesce("_copies", F.lit(1))
-    return counted.where(times > 0).withColumn("_again", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    counted = docs.withColumn("__quernstone_row", F.monotonically_increasing_id()).join(other, "__quernstone_row", "left")
+    times = F.coalesce("__quernstone_copies", F.lit(1))
+    return counted.where(times > 0).withColumn("__quernstone_again", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
