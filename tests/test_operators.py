@@ -136,6 +136,21 @@ def test_similar_pairs(spark):
     assert {r.id: r["class"] for r in members.collect()} == {i: first[tuple(s)] for i, s in sets}
 
 
+def test_clusters(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (7, 9, 1.0)], "a long, b long, similarity double")
+    got = {r.component: (r["size"], round(r.mean_similarity, 6)) for r in M.clusters(pairs).collect()}
+    assert got == {1: (3, 0.85), 7: (2, 1.0)}
+
+
+def test_abstract_tokens(spark):
+    from quernstone.functions import code
+
+    src = 'function go(x) { const a = new Foo(1, "s"); return a.load(x.id) ; }'
+    r = spark.createDataFrame([(src,)], "c string").select(code.abstract_tokens(F.col("c")).alias("t"), code.env_severity(F.lit("STRIPE_MODE")).alias("e"), code.fingerprint_complexity(F.array(*[F.lit(x) for x in "if ( V ) { { F ( ) } }".split()])).alias("c")).first()
+    assert " ".join(r.t) == "function F ( V ) { const V = new F ( N , S ) ; return V . M ( V . P ) ; }"
+    assert r.e == "high" and r.c == 49
+
+
 def test_overlaps(spark):
     rng = random.Random(9)
     iv = [(k, k % 3, s := rng.randrange(300), s + rng.randrange(120)) for k in range(90)]
