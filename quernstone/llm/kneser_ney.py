@@ -1,14 +1,17 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, folded into an alphabet of 64 symbols, with order 4:
-there are at most 64**4 n-grams, so the finished model is at most a 64 MB array whatever
-the corpus, and it is broadcast. (Word n-grams would have to be joined with every word
-of every document, several times the corpus in shuffles.) Counting covers all trusted
-text: tasks count their own n-grams, counts are summed by n-gram, and the quantities of
-the estimate are joined by context and by suffix, each join sharded by its n-gram key.
+The classifier counts word trigrams of all trusted text (``word_ngrams.py``): tasks count
+their own, counts are summed by n-gram, and the quantities of the estimate are joined by
+context and by suffix, each join sharded by its n-gram. Documents' n-grams, counted where
+the text is read, are joined with the model's, sharded likewise.
 
 Every document gets its mean negative log probability; a document is rejected if that lies
-outside a band around the quantiles that trusted documents of its language have.
+above the quantile that trusted documents of its language have. A trusted document is
+part of the model, so for the limits it is scored without the n-grams that no other
+trusted text has.
+
+``Model`` is the same estimate over characters, folded into an alphabet of 64 symbols, with
+order 4: at most 64**4 n-grams whatever the corpus. The classifier doesn't use it.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.word_ngrams import word_scores, word_values
 from quernstone.plans import map_arrow, shared_table
 
 BITS, ORDER = 6, 4
@@ -179,8 +183,8 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model:
     return Model(levels)
 
 
-#: Spread of one symbol's negative log probability in ordinary text, in nats.
-SIGMA = 1.6
+#: Spread of one word's negative log probability in ordinary text, in nats.
+SIGMA = 4.0
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_broadcast_ids: int = 500_000) -> DataFrame:
@@ -194,26 +198,17 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max
     return docs.join(ids, id_col, "left_semi")
 
 
-def language_limits(trusted: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", quantile: float = 0.98, slack: float = 0.5, least: int = 30) -> dict[str | None, float]:
+def language_limits(scores: DataFrame, quantile: float = 0.98, slack: float = 0.5, least: int = 30) -> dict[str | None, float]:
     """Upper limit of the mean negative log probability for each language, None for the rest.
 
-    The limit is the ``quantile`` of trusted documents plus ``slack`` times its distance from
-    the median, from a histogram in steps of 0.001 nats. Languages with fewer than ``least``
-    trusted documents take the limit of all.
+    ``scores`` are ``word_scores`` of trusted documents. The limit is the ``quantile`` of their
+    ``mean_elsewhere`` plus ``slack`` times its distance from the median, from a histogram in
+    steps of 0.001 nats. Languages with fewer than ``least`` trusted documents take the limit of all.
     """
-    shared = trusted.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int(model.score(t) * 1000) for t in part.column(1).to_pylist()], pa.int32())], names=["lang", "step"])
-
-    rows = trusted.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     found: dict[str | None, dict[int, int]] = {None: {}}
-    # at most a few thousand steps for each language
-    for lang, step, n in map_arrow(rows, run, "lang string, step int").groupBy("lang", "step").agg(F.count(F.lit(1))).collect():
+    steps_of = scores.where("words is not null").select("lang", F.floor(F.col("mean_elsewhere") * 1000).cast("int").alias("step"))
+    # at most some ten thousand steps for each language
+    for lang, step, n in steps_of.groupBy("lang", "step").agg(F.count(F.lit(1))).collect():
         for key in {lang, None}:
             steps = found.setdefault(key, {})
             steps[step] = steps.get(step, 0) + n
@@ -235,64 +230,53 @@ def language_limits(trusted: DataFrame, model: Model, text_col: str = "text", la
 
 
 class Classifier:
-    """A trained model with the limits of each language; ``judge`` needs nothing else."""
+    """The values of a trained model's n-grams, in the shared folder, with the limits of each language."""
 
-    def __init__(self, model: Model, limits: dict[str | None, float], certainty: float = 3.0):
-        self.model, self.limits, self.certainty = model, limits, certainty
+    def __init__(self, values: DataFrame, unknown: float, limits: dict[str | None, float], certainty: float = 3.0):
+        self.values, self.unknown, self.limits, self.certainty = values, unknown, limits, certainty
 
-    def judge(self, text: str | None, lang: str | None) -> tuple[float | None, float, bool]:
-        """(mean negative log probability, limit, kept).
+    def judge(self, rows: DataFrame) -> DataFrame:
+        """(uid, id, lang, neg_log_prob, limit, kept) of rows (uid, id, lang, text).
 
         A text is rejected if its mean lies above the limit by more than ``certainty`` standard
         errors, so short texts need stronger evidence. Null and blank texts are rejected.
         """
-        limit = self.limits.get(lang, self.limits[None])
-        if text is None or not text.strip():
-            return None, limit, False
-        mean = self.model.score(text)
-        return mean, limit, mean - self.certainty * SIGMA / (len(text) + 1) ** 0.5 <= limit
+        scores = word_scores(rows, self.values, self.unknown)
+        limit = F.lit(self.limits[None])
+        for lang, x in self.limits.items():
+            if lang is not None:
+                limit = F.when(F.col("lang") == lang, x).otherwise(limit)
+        error = self.certainty * SIGMA / F.sqrt("words")
+        kept = F.coalesce(F.col("mean") - error <= limit, F.lit(False))
+        return scores.select("uid", "id", "lang", F.col("mean").alias("neg_log_prob"), limit.alias("limit"), kept.alias("kept"))
+
+
+def _rows(docs: DataFrame, uid, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(uid.alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
 def train_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
     """Count, estimate and set limits on all trusted rows. Without any, everything with a text is kept."""
     trusted = trusted_rows(docs, labels, id_col)
-    model = train(trusted, text_col)
-    return Classifier(model, language_limits(trusted, model, text_col, lang_col))
+    values, unknown = word_values(trusted, text_col, _discounts)
+    scores = word_scores(_rows(trusted, F.monotonically_increasing_id(), id_col, text_col, lang_col), values, unknown)
+    return Classifier(values, unknown, language_limits(scores))
 
 
 def classify_quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, neg_log_prob, perplexity, limit, kept) for each row, in one map over the texts.
+    """(id, lang, neg_log_prob, perplexity, limit, kept) for each row.
 
     Null languages take the limit of all; null and blank texts have no perplexity and aren't
     kept. Repeated rows are judged as often as they occur; an empty table gives an empty
     result; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = shared.value.judge
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                said = [judge(t, lang) for lang, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s[0] for s in said], pa.float64()), pa.array([s[1] for s in said], pa.float64()), pa.array([s[2] for s in said], pa.bool_())], names=["id", "lang", "neg_log_prob", "limit", "kept"])
-
-    src = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    out = map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, lang string, neg_log_prob double, limit double, kept boolean")
+    out = classifier.judge(_rows(docs, F.monotonically_increasing_id(), id_col, text_col, lang_col))
     return out.select(F.col("id").alias(id_col), "lang", "neg_log_prob", F.exp("neg_log_prob").alias("perplexity"), "limit", "kept")
 
 
-def keep_quality(docs: DataFrame, classifier: Classifier, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are, in one map without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    names = docs.columns
-    t, g = names.index(text_col), names.index(lang_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = shared.value.judge
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield part.filter(pa.array([judge(text, lang)[2] for text, lang in zip(part.column(t).to_pylist(), part.column(g).to_pylist(), strict=True)], pa.bool_()))
-
-    return map_arrow(docs, run, docs.schema)
+def keep_quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are."""
+    rows = shared_table(docs.withColumn("__quernstone_row", F.monotonically_increasing_id()), "kn-rows")
+    verdicts = classifier.judge(_rows(rows, F.col("__quernstone_row"), id_col, text_col, lang_col))
+    kept = verdicts.where("kept").select(F.col("uid").alias("__quernstone_row"))
+    return rows.join(kept, "__quernstone_row", "left_semi").select(*docs.columns)

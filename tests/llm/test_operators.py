@@ -18,6 +18,7 @@ from quernstone.llm import html_text as H
 from quernstone.llm import kneser_ney as K
 from quernstone.llm import langid as L
 from quernstone.llm import registry
+from quernstone.llm import word_ngrams as W
 from quernstone.llm.automaton import compile_rules, longest_from
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.host_rules import quality_rules
@@ -394,6 +395,60 @@ def test_quality_classifier(spark, sf_dir, odd, none):
     assert K.train_classifier(odd, some).limits[None] < float("inf")
 
 
+def test_word_trigrams(spark):
+    """Scores against the recursive formula; the model has n-grams of words, not of folded letters."""
+    texts = ["the cat sat on the mat.", "a hat for the cat.", "the cat sat on a hat", "", "the cat sat."]
+    values, unknown = W.word_values(spark.createDataFrame([(t,) for t in texts], "text string"), "text", K._discounts)
+    split = lambda t: ["<", "<", *re.findall(r"\w+|[^\w\s]+", t.lower()), ">"]
+    t3 = Counter(x for t in texts for w in [split(t)] for x in zip(w, w[1:], w[2:]))
+    t2 = Counter(x[1:] for x in t3)
+    tables = [Counter(x[1:] for x in t2), t2, t3]
+
+    def discounts(t):
+        n = [0, *[sum(v == k for v in t.values()) for k in (1, 2, 3, 4)]]
+        if not n[1] or not n[2]:
+            return 0.5, 0.75, 0.9
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.9 * k, 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    def p(k, g):
+        if not k:
+            return 1 / (len(tables[0]) + 1)
+        t, d, low = tables[k - 1], discounts(tables[k - 1]), p(k - 1, g[1:])
+        row = [v for x, v in t.items() if x[:-1] == g[:-1]]
+        if not row:
+            return low
+        cut = lambda v: d[min(v, 3) - 1]
+        own = max(t[g] - cut(t[g]), 0) if t[g] else 0
+        return own / sum(row) + sum(map(cut, row)) / sum(row) * low
+
+    asked = ["the cat", "zebra! the the the", "a cat sat on the mat", "Mat 77", None, " "]
+    rows = spark.createDataFrame([(k, k, None, t) for k, t in enumerate(asked)], "uid long, id long, lang string, text string")
+    got = {r.uid: r for r in W.word_scores(rows, values, unknown).collect()}
+    for k, t in enumerate(asked):
+        if not (t or "").strip():
+            assert got[k].mean is None
+            continue
+        w = split(t)
+        want = -np.mean([math.log(p(3, g)) for g in zip(w, w[1:], w[2:])])
+        assert got[k].mean == pytest.approx(want, rel=1e-9) and got[k].words == len(w) - 2
+    # every distinct trigram of the text is in the model: it grows with the text
+    assert values.where("a != 0").count() == len(t3)
+
+
+def test_quality_by_words(spark):
+    """Known letters in unknown words are rejected; a character model of these lets them pass."""
+    rng = random.Random(4)
+    known = ["".join(rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(3)) for _ in range(300)]
+    other = ["".join(rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(3)) for _ in range(30000)]
+    other = [w for w in other if w not in known]
+    prose = lambda ws: " ".join(rng.choice(ws) for _ in range(400))
+    docs = spark.createDataFrame([(k, prose(known), "en") for k in range(40)] + [(100 + k, prose(other), "en") for k in range(10)] + [(200 + k, prose(known), "en") for k in range(10)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in K.classify_quality(docs, K.train_classifier(docs, labels)).collect()}
+    assert all(got[k] == (not 100 <= k < 200) for k in got)
+
+
 # --- main text ---
 
 def test_main_text(spark, sf_dir, none):
