@@ -6,9 +6,11 @@ context and by suffix, each join sharded by its n-gram. Documents' n-grams, coun
 the text is read, are joined with the model's, sharded likewise.
 
 Every document gets its mean negative log probability; a document is rejected if that lies
-above the quantile that trusted documents of its language have. A trusted document is
-part of the model, so for the limits it is scored without the n-grams that no other
-trusted text has.
+outside a band around what trusted documents of its language have. A trusted document is
+part of the model, so for the upper limit it is scored without the n-grams that no other
+trusted text has. Below, the band ends at the least mean of a trusted document, not at a
+quantile: copies of trusted text are well predicted too, and they aren't junk. As a mean
+doesn't show that a text repeats itself, the share of repeated trigrams has a limit as well.
 
 ``Model`` is the same estimate over characters, folded into an alphabet of 64 symbols, with
 order 4: at most 64**4 n-grams whatever the corpus. The classifier doesn't use it.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.word_ngrams import word_scores, word_values
@@ -185,6 +187,8 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model:
 
 #: Spread of one word's negative log probability in ordinary text, in nats.
 SIGMA = 4.0
+#: Spread of one trigram's being a repeated one, at most.
+REPEAT_SIGMA = 0.5
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_broadcast_ids: int = 500_000) -> DataFrame:
@@ -198,15 +202,15 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max
     return docs.join(ids, id_col, "left_semi")
 
 
-def language_limits(scores: DataFrame, quantile: float = 0.98, slack: float = 0.5, least: int = 30) -> dict[str | None, float]:
-    """Upper limit of the mean negative log probability for each language, None for the rest.
+def language_limits(scores: DataFrame, value: Column, quantile: float = 0.98, slack: float = 0.5, least: int = 30) -> dict[str | None, float]:
+    """Upper limit of ``value`` for each language, None for the rest.
 
     ``scores`` are ``word_scores`` of trusted documents. The limit is the ``quantile`` of their
-    ``mean_elsewhere`` plus ``slack`` times its distance from the median, from a histogram in
-    steps of 0.001 nats. Languages with fewer than ``least`` trusted documents take the limit of all.
+    ``value`` plus ``slack`` times its distance from the median, from a histogram in steps of
+    0.001. Languages with fewer than ``least`` trusted documents take the limit of all.
     """
     found: dict[str | None, dict[int, int]] = {None: {}}
-    steps_of = scores.where("words is not null").select("lang", F.floor(F.col("mean_elsewhere") * 1000).cast("int").alias("step"))
+    steps_of = scores.where("words is not null").select("lang", F.floor(value * 1000).cast("int").alias("step"))
     # at most some ten thousand steps for each language
     for lang, step, n in steps_of.groupBy("lang", "step").agg(F.count(F.lit(1))).collect():
         for key in {lang, None}:
@@ -229,25 +233,42 @@ def language_limits(scores: DataFrame, quantile: float = 0.98, slack: float = 0.
     return out
 
 
+def _repeated() -> Column:
+    """Share of a text's trigrams that have occurred before in it."""
+    return 1 - F.col("novel") / F.col("words")
+
+
 class Classifier:
-    """The values of a trained model's n-grams, in the shared folder, with the limits of each language."""
+    """The values of a trained model's n-grams, in the shared folder, with the limits of each language.
+
+    ``limits`` are of the mean negative log probability, ``floors`` of its negative (the lower
+    side) and ``repeats`` of the share of repeated trigrams.
+    """
 
-    def __init__(self, values: DataFrame, unknown: float, limits: dict[str | None, float], certainty: float = 3.0):
-        self.values, self.unknown, self.limits, self.certainty = values, unknown, limits, certainty
+    def __init__(self, values: DataFrame, unknown: float, limits: dict[str | None, float], floors: dict[str | None, float], repeats: dict[str | None, float], certainty: float = 3.0):
+        self.values, self.unknown, self.limits, self.floors, self.repeats, self.certainty = values, unknown, limits, floors, repeats, certainty
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """(uid, id, lang, neg_log_prob, limit, kept) of rows (uid, id, lang, text).
 
-        A text is rejected if its mean lies above the limit by more than ``certainty`` standard
-        errors, so short texts need stronger evidence. Null and blank texts are rejected.
+        A text is rejected if its mean lies above the limit or below the floor, or its share of
+        repeated trigrams above that limit, by more than ``certainty`` standard errors, so short
+        texts need stronger evidence. Null and blank texts are rejected.
         """
         scores = word_scores(rows, self.values, self.unknown)
-        limit = F.lit(self.limits[None])
-        for lang, x in self.limits.items():
-            if lang is not None:
-                limit = F.when(F.col("lang") == lang, x).otherwise(limit)
+
+        def of_language(limits: dict[str | None, float]) -> Column:
+            out = F.lit(limits[None])
+            for lang, x in limits.items():
+                if lang is not None:
+                    out = F.when(F.col("lang") == lang, x).otherwise(out)
+            return out
+
+        limit = of_language(self.limits)
         error = self.certainty * SIGMA / F.sqrt("words")
-        kept = F.coalesce(F.col("mean") - error <= limit, F.lit(False))
+        within = (F.col("mean") - error <= limit) & (-F.col("mean") - error <= of_language(self.floors))
+        fresh = _repeated() - self.certainty * REPEAT_SIGMA / F.sqrt("words") <= of_language(self.repeats)
+        kept = F.coalesce(within & fresh, F.lit(False))
         return scores.select("uid", "id", "lang", F.col("mean").alias("neg_log_prob"), limit.alias("limit"), kept.alias("kept"))
 
 
@@ -260,7 +281,9 @@ def train_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     trusted = trusted_rows(docs, labels, id_col)
     values, unknown = word_values(trusted, text_col, _discounts)
     scores = word_scores(_rows(trusted, F.monotonically_increasing_id(), id_col, text_col, lang_col), values, unknown)
-    return Classifier(values, unknown, language_limits(scores))
+    scores = shared_table(scores.drop("uid", "id"), "kn-trusted")
+    limits = language_limits(scores, F.col("mean_elsewhere"))
+    return Classifier(values, unknown, limits, language_limits(scores, -F.col("mean"), 1.0), language_limits(scores, _repeated()))
 
 
 def classify_quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -449,6 +449,28 @@ def test_quality_by_words(spark):
     assert all(got[k] == (not 100 <= k < 200) for k in got)
 
 
+def test_quality_repeats(spark):
+    """Texts of middling perplexity that repeat themselves are rejected, copies of trusted texts aren't."""
+    rng = random.Random(5)
+    known = ["".join(rng.choice("aeiou") + rng.choice("lmnrst") for _ in range(3)) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    good = [prose(200) for _ in range(40)]
+    junk = [" ".join([w] * 300) for w in known[:8]] + [" ".join(["xyzzy", known[k]] * 200) for k in range(4)] + [(prose(6) + " ") * 60 for _ in range(4)]
+    docs = [(k, t) for k, t in enumerate(good)] + [(100 + k, t) for k, t in enumerate(junk)] + [(200 + k, t) for k, t in enumerate(good[:5])] + [(300 + k, prose(200)) for k in range(10)] + [(400, known[0] + " " + known[0])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    classifier = K.train_classifier(docs, labels)
+    got = K.classify_quality(docs, classifier).collect()
+    assert all(r.kept == (not 100 <= r.doc_id < 200) for r in got)
+    # the mean alone doesn't show them
+    repeats, classifier.repeats = classifier.repeats, dict.fromkeys(classifier.repeats, math.inf)
+    assert any(r.kept for r in K.classify_quality(docs, classifier).collect() if 100 <= r.doc_id < 200)
+    classifier.repeats = repeats
+    # the lower side of the mean
+    classifier.floors = dict.fromkeys(classifier.floors, -99.0)
+    assert not any(r.kept for r in K.classify_quality(docs, classifier).collect() if r.doc_id < 400)
+
+
 # --- main text ---
 
 def test_main_text(spark, sf_dir, none):
