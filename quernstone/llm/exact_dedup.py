@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.rows import row_number
 from quernstone.llm.text import squeeze
 from quernstone.plans import shared_table
 
@@ -31,8 +32,8 @@ _KEY = ["_sha", "_xx", "_len"]
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_bits: int = 8) -> DataFrame:
     """One narrow row for each document, written once to the shared folder."""
     norm = F.col("_norm")
-    rows = docs.select(F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_chars"), squeeze(F.col(text_col)).alias("_norm"))
-    rows = rows.select(F.monotonically_increasing_id().alias("_uid"), "_id", "_chars", F.unhex(F.sha2(norm, 256)).alias("_sha"), F.xxhash64(norm).alias("_xx"), F.length(norm).alias("_len"))
+    rows = docs.select(row_number(docs).alias("_uid"), F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_chars"), squeeze(F.col(text_col)).alias("_norm"))
+    rows = rows.select("_uid", "_id", "_chars", F.unhex(F.sha2(norm, 256)).alias("_sha"), F.xxhash64(norm).alias("_xx"), F.length(norm).alias("_len"))
     run = F.pmod(F.xxhash64(F.col("_uid")), F.lit(1 << run_bits)).cast("int")
     return shared_table(rows.withColumn("_run", run), "digests")
 
@@ -59,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``kept``, also where whole rows repeat. Null texts count as empty, and
     empty texts form one group. An empty table gives an empty result. Columns
     other than the id and the text are ignored, whatever their names.
-    ``row_uid`` is the row's place in the scan (``monotonically_increasing_id``).
+    ``row_uid`` is the row's number if ``docs`` comes from ``number_rows``, else its place in the scan.
     """
     rows = digest_rows(docs, id_col, text_col, run_bits)
     leaves, root = tree_merge(rows, run_bits, fan_in_bits)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.rows import ROW, number_rows
 from quernstone.llm.word_ngrams import word_scores, word_values
 from quernstone.plans import map_arrow, shared_table
 
@@ -299,7 +300,7 @@ def classify_quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc
 
 def keep_quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are."""
-    rows = shared_table(docs.withColumn("__quernstone_row", F.monotonically_increasing_id()), "kn-rows")
-    verdicts = classifier.judge(_rows(rows, F.col("__quernstone_row"), id_col, text_col, lang_col))
-    kept = verdicts.where("kept").select(F.col("uid").alias("__quernstone_row"))
-    return rows.join(kept, "__quernstone_row", "left_semi").select(*docs.columns)
+    rows = number_rows(docs)
+    verdicts = classifier.judge(_rows(rows, F.col(ROW), id_col, text_col, lang_col))
+    kept = verdicts.where("kept").select(F.col("uid").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -26,6 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm.rows import row_number
 from quernstone.llm.text import words
 from quernstone.plans import shared_table
 
@@ -99,9 +100,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and a source without words the target 0. Further columns are ignored. The
     hash order depends on ids and sizes alone: reruns agree.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+    rows = docs.select(row_number(docs).alias("_uid"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
     mixed = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("null")).cast("binary"))
-    rows = rows.select("*", F.monotonically_increasing_id().alias("_uid"), mixed.alias("_order"))
+    rows = rows.select("*", mixed.alias("_order"))
     bucket = F.conv(F.substring("_order", 1, 4), 16, 10).cast("int")
     rows = shared_table(rows.withColumn("_bucket", F.shiftright(bucket, 16 - bucket_bits)), "mix-sizes")
     per_bucket = shared_table(rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_size")), "mix-buckets")

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.plans import shared_table
+
 #: Row numbers are broadcast up to this many (about 20 MB once hashed); beyond, both sides are shuffled.
 MAX_BROADCAST_ROWS = 200_000
+#: The column of a row's number in ``number_rows``.
+ROW = "__quernstone_row"
+
+
+def number_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row in ``ROW``, written once to the shared folder.
+
+    How a scan cuts its files depends on the cores alive at planning, so numbers made in
+    one scan needn't be those of the next: who needs them twice has to read them.
+    """
+    return shared_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def row_number(docs: DataFrame) -> Column:
+    """The number that ``docs`` brings along, else the place in this scan, which no other scan may rely on."""
+    return F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
 
 
 def repeat_rows(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as ``copies`` (row_uid, copies) says.
+    """The rows of ``docs``, from ``number_rows``, each as often as ``copies`` (row_uid, copies) says, without their numbers.
 
-    Rows are known by their place in the scan of ``docs``, which must be a plain table
-    read (the numbering then is the same in each read). Only rows that occur other than
-    once are joined; they are broadcast if they were counted to be few.
+    Only rows that occur other than once are joined; they are broadcast if they were counted to be few.
     """
-    other = copies.where("copies != 1").select(F.col("row_uid").alias("__quernstone_row"), F.col("copies").cast("int").alias("__quernstone_copies"))
+    other = copies.where("copies != 1").select(F.col("row_uid").alias(ROW), F.col("copies").cast("int").alias("__quernstone_copies"))
     if other.count() <= MAX_BROADCAST_ROWS:
         other = F.broadcast(other)
-    counted = docs.withColumn("__quernstone_row", F.monotonically_increasing_id()).join(other, "__quernstone_row", "left")
     times = F.coalesce("__quernstone_copies", F.lit(1))
-    return counted.where(times > 0).withColumn("__quernstone_again", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    again = docs.join(other, ROW, "left").where(times > 0).withColumn("__quernstone_again", F.explode(F.sequence(F.lit(1), times)))
+    return again.select(*[c for c in docs.columns if c != ROW])
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``kept`` in ``verdicts`` (row_uid, kept)."""
+    """The rows of ``docs``, from ``number_rows``, with ``kept`` in ``verdicts`` (row_uid, kept)."""
     return repeat_rows(docs, verdicts.select("row_uid", F.when(F.col("kept"), 1).otherwise(0).alias("copies")))

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.rows import row_number
 from quernstone.operators.components import connected_components
 from quernstone.plans import map_arrow, shared_table
 
@@ -60,7 +61,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """(uid, id, fp) for each row, fp as a signed long; written once to the shared folder."""
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(row_number(docs).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

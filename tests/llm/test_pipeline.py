@@ -10,6 +10,7 @@ import sentencepiece
 
 import corpus_pipeline
 from quernstone.llm import registry
+from quernstone.llm.mixing import mix_sources
 from quernstone.plans import shared_table
 from tests.llm.test_operators import WORD, brute_classes, brute_fingerprint, brute_targets
 
@@ -55,3 +56,40 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_other_cut(spark, tmp_path, monkeypatch):
+    """Verdicts meet their rows although the files are cut otherwise in the next scan."""
+    texts = [f"text {k % 40} of forty" for k in range(120)]
+    docs = spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(12, "doc_id").write.parquet(str(tmp_path / "documents"))
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+
+    def cut_after(name):
+        first = getattr(corpus_pipeline, name)
+
+        def run(*args, **more):
+            out = shared_table(first(*args, **more), "test-verdicts")
+            spark.conf.set(key, "1")
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            return out
+
+        monkeypatch.setattr(corpus_pipeline, name, run)
+
+    try:
+        cut_after("exact_dedup")
+        cut_after("mix_sources")
+        for stage in (corpus_pipeline.exact_stage, corpus_pipeline.mix_stage):
+            spark.conf.set(key, str(1 << 27))
+            spark.conf.set("spark.sql.files.minPartitionNum", "12")
+            docs = spark.read.parquet(str(tmp_path / "documents"))
+            got = sorted(r.doc_id for r in stage(spark, docs, "").collect())
+            if stage is corpus_pipeline.exact_stage:
+                assert got == list(range(40))
+            else:
+                copies = {r.row_uid: round(r.taken / r.size) for r in mix_sources(docs).collect()}
+                assert len(got) == sum(copies.values())
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
