@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -93,3 +94,23 @@ def test_other_cut(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(key, before)
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_near_stage(spark, tmp_path):
+    """Pairs with a five-word Jaccard of 0.8 lose one document at any SimHash distance; those below keep both."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shingle = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    docs, want = [], set()
+    for k in range(120):
+        a = [word() for _ in range(100)]
+        b = list(a)
+        for _ in range(rng.choice([1, 2, 3])):
+            b[rng.randrange(100)] = word()
+        x, y = shingle(a), shingle(b)
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want |= {2 * k} if len(x & y) / len(x | y) >= 0.8 else {2 * k, 2 * k + 1}
+    docs += [(900, "one two"), (901, "ONE two"), (902, ""), (903, None)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents"))
+    got = {r.doc_id for r in corpus_pipeline.near_stage(spark, spark.read.parquet(str(tmp_path / "documents")), "").collect()}
+    assert got == want | {900, 902, 903}
