@@ -1,5 +1,5 @@
 """Helpers that shape physical plans: shared materialisation and iteration."""
-from quernstone.plans.shared import cut, shared_dir, shared_table
+from quernstone.plans.shared import cut, discard, shared_dir, shared_table
 from quernstone.plans.ship import map_arrow, ship
 
-__all__ = ["cut", "map_arrow", "shared_dir", "shared_table", "ship"]
+__all__ = ["cut", "discard", "map_arrow", "shared_dir", "shared_table", "ship"]

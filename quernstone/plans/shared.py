@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes a query's shuffle files when the query ends; off by default.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; also Spark's checkpoint folder afterwards."""
@@ -32,13 +35,36 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
     Parquet rather than ``checkpoint()`` where the result is scanned several
     times: the columns are compressed, prunable and their size is known to AQE.
+    What the write shuffled is deleted as soon as it ends, not when the driver
+    happens to collect its garbage. ``discard`` deletes the table itself.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from ``shared_table`` that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t.shared_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for one step of an iteration; Spark's cleaner removes old steps."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """One step of an iteration, written to the shared folder; ``discard`` it when the next step is there."""
+    return shared_table(df, "step")
