@@ -1,190 +1,24 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The classifier counts word trigrams of all trusted text (``word_ngrams.py``): tasks count
-their own, counts are summed by n-gram, and the quantities of the estimate are joined by
-context and by suffix, each join sharded by its n-gram. Documents' n-grams, counted where
-the text is read, are joined with the model's, sharded likewise.
-
-Every document gets its mean negative log probability; a document is rejected if that lies
-outside a band around what trusted documents of its language have. A trusted document is
-part of the model, so for the upper limit it is scored without the n-grams that no other
-trusted text has. Below, the band ends at the least mean of a trusted document, not at a
-quantile: copies of trusted text are well predicted too, and they aren't junk. As a mean
-doesn't show that a text repeats itself, the share of repeated trigrams has a limit as well.
-
-``Model`` is the same estimate over characters, folded into an alphabet of 64 symbols, with
-order 4: at most 64**4 n-grams whatever the corpus. The classifier doesn't use it.
+The model (``word_ngrams.py``) counts word trigrams of all trusted text; documents' n-grams
+meet the model's in joins that are sharded by n-gram. Every document gets its mean negative
+log probability and is rejected if that lies outside a band around what the trusted
+documents of its language have. A trusted document is part of the model, so for the upper limit
+it is scored without the n-grams that no other trusted text has. Below, the band ends at the
+least mean of a trusted document, not at a quantile: copies of trusted text are well
+predicted too, and they aren't junk. As a mean doesn't show that a text repeats itself, the
+share of repeated trigrams has a limit as well.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.rows import ROW, number_rows
-from quernstone.llm.word_ngrams import word_scores, word_values
-from quernstone.plans import map_arrow, shared_table
-
-BITS, ORDER = 6, 4
-SYMBOLS = 1 << BITS
-#: Symbol of the text's edge.
-EDGE = 0
-
-
-def _symbol(c: str) -> int:
-    """The symbol of one character; folding is by class, then by code point."""
-    n = ord(c)
-    if "a" <= c <= "z":
-        return 1 + n - 97
-    if "A" <= c <= "Z":
-        return 37
-    if c == " ":
-        return 40
-    if c in "\n\r\t\x0b\x0c":
-        return 41
-    if c in ".,":
-        return 42 + ".,".index(c)
-    kind = unicodedata.category(c)
-    if kind == "Ll":
-        return 27 + n % 10
-    if kind in ("Lu", "Lt"):
-        return 38
-    if kind[0] == "N":
-        return 39
-    if kind[0] == "L" or kind[0] == "M":
-        return 56 + n % 8
-    return 44 + n % 12
-
-
-_TABLE = np.array([_symbol(chr(n)) for n in range(0x3000)], dtype=np.int32)
-
-
-def symbols(text: str) -> np.ndarray:
-    """Symbols of the text between edges: three in front, one behind."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    wide = points >= 0x3000
-    found = _TABLE[np.where(wide, 0, points)]
-    found = np.where(wide, 56 + (points % 8).astype(np.int32), found)
-    return np.concatenate((np.full(ORDER - 1, EDGE, np.int32), found, np.full(1, EDGE, np.int32)))
-
-
-def grams(text: str) -> np.ndarray:
-    """All n-grams of the text in order, as numbers: the oldest symbol in the highest bits."""
-    s = symbols(text)
-    n = len(s) - ORDER + 1
-    out = np.zeros(n, np.int32)
-    for k in range(ORDER):
-        out = out << BITS | s[k : k + n]
-    return out
-
-
-def gram_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(gram, n) over all rows; tasks pre-aggregate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, held, size = np.empty(0, np.int32), np.empty(0, np.int64), [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            found, count = np.unique(np.concatenate(held), return_counts=True)
-            both = np.concatenate((seen, found))
-            keys, place = np.unique(both, return_inverse=True)
-            return keys, np.bincount(place, np.concatenate((n, count)), len(keys)).astype(np.int64)
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                for text in batch.slice(k, 256).column(0).to_pylist():
-                    held.append(grams(text))
-                    size += len(held[-1])
-                    if size > 2_000_000:
-                        (seen, n), held, size = merged(), [], 0
-        if held:
-            seen, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n)], names=["gram", "n"])
-
-    return map_arrow(texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2 and D3+ from the counts of counts; usual fallbacks where they are too few."""
-    c = [0.0, *[float(x or 0) for x in counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in range(1, 5)]).first()]]
-    if not c[1] or not c[2]:
-        return 0.5, 0.75, 0.9
-    y = c[1] / (c[1] + 2 * c[2])
-    d = [k - (k + 1) * y * c[k + 1] / c[k] if c[k] else 0.9 * k for k in (1, 2, 3)]
-    return tuple(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))  # type: ignore[return-value]
-
-
-def estimate(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For orders 1 to 4: (gram, p) of seen n-grams and (context, left) with the mass left to shorter ones.
-
-    The highest order uses counts, the others the number of distinct symbols in front.
-    """
-    per_order = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        per_order.insert(0, per_order[0].groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    for k, table in enumerate(per_order, 1):
-        d = _discounts(table)
-        context = F.shiftright("gram", BITS).alias("context")
-        at_least = [F.sum((F.col("n") == j).cast("double") if j < 3 else (F.col("n") >= 3).cast("double")) * d[j - 1] for j in (1, 2, 3)]
-        left = table.groupBy(context).agg(F.sum("n").alias("total"), (at_least[0] + at_least[1] + at_least[2]).alias("held"))
-        left = left.select("context", "total", (F.col("held") / F.col("total")).alias("left"))
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = table.select("gram", context, F.greatest(F.col("n") - cut, F.lit(0.0)).alias("rest"), F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("suffix")).join(left, "context")
-        own = F.col("rest") / F.col("total")
-        if k == 1:
-            seen = rows.select("gram", (own + F.col("left") / SYMBOLS).alias("p"))
-        else:
-            shorter = out[-1][0].select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            seen = rows.join(shorter, "suffix").select("gram", (own + F.col("left") * F.col("q")).alias("p"))
-        out.append((shared_table(seen, f"kn-{k}"), left.select("context", "left")))
-    return out
-
-
-def dense(levels: list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
-    """Negative log probability of every n-gram of the full order, seen or not."""
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
-    for k, ((gram, seen), (context, left)) in enumerate(levels, 1):
-        weight = np.ones(SYMBOLS ** (k - 1), np.float32)
-        weight[context] = left
-        # p(w | h) of an unseen n-gram: what its context leaves, times the shorter one's
-        p = (weight.reshape(SYMBOLS if k > 1 else 1, -1, 1) * p.reshape(1, -1, SYMBOLS)).reshape(-1)
-        p[gram] = seen
-    np.log(p, out=p)
-    return np.negative(p, out=p)
-
-
-class Model:
-    """The levels as arrays; the dense table is made once in each worker that scores."""
-
-    def __init__(self, levels: list):
-        self.levels = levels
-        self._dense: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {"levels": self.levels, "_dense": None}
-
-    def score(self, text: str) -> float:
-        """Mean negative log probability of a symbol of the text, in nats."""
-        if self._dense is None:
-            self._dense = dense(self.levels)
-        return float(self._dense[grams(text)].mean(dtype=np.float64))
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> Model:
-    """The model of all rows of ``trusted``; bounded by the alphabet, not by the rows."""
-    counts = shared_table(gram_counts(trusted, text_col), "kn-counts")
-    levels = []
-    for seen, left in estimate(counts):
-        a, b = seen.toPandas(), left.toPandas()
-        levels.append(((a["gram"].to_numpy(np.int32), a["p"].to_numpy(np.float64)), (b["context"].to_numpy(np.int32), b["left"].to_numpy(np.float64))))
-    return Model(levels)
-
+from quernstone.llm.rows import ROW, keep_rows, number_rows
+from quernstone.llm.word_ngrams import WordModel, train_words, word_scores
 
 #: Spread of one word's negative log probability in ordinary text, in nats.
 SIGMA = 4.0
@@ -192,23 +26,24 @@ SIGMA = 4.0
 REPEAT_SIGMA = 0.5
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_broadcast_ids: int = 500_000) -> DataFrame:
-    """Rows of ``docs`` whose label is of good quality and not toxic.
+def mark_trusted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_broadcast_ids: int = 500_000) -> DataFrame:
+    """``docs`` with ``trusted``: whether a label says good quality and not toxic.
 
     The ids are broadcast only if they were counted to be few (about 20 MB once hashed); else both sides are shuffled.
     """
-    ids = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+    ids = good.select(F.col(id_col), F.lit(True).alias("trusted")).where(F.col(id_col).isNotNull()).distinct()
     if ids.count() <= max_broadcast_ids:
         ids = F.broadcast(ids)
-    return docs.join(ids, id_col, "left_semi")
+    return docs.join(ids, id_col, "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
-def language_limits(scores: DataFrame, value: Column, quantile: float = 0.98, slack: float = 0.5, least: int = 30) -> dict[str | None, float]:
-    """Upper limit of ``value`` for each language, None for the rest.
+def language_limits(scores: DataFrame, value: Column, quantile: float = 0.98, slack: float = 0.5, prior: int = 30) -> dict[str | None, float]:
+    """Upper limit of ``value`` for each language, None for languages without a trusted document.
 
-    ``scores`` are ``word_scores`` of trusted documents. The limit is the ``quantile`` of their
-    ``value`` plus ``slack`` times its distance from the median, from a histogram in steps of
-    0.001. Languages with fewer than ``least`` trusted documents take the limit of all.
+    ``scores`` are of trusted documents. The limit is the ``quantile`` of their ``value`` plus
+    ``slack`` times its distance from the median, from a histogram in steps of 0.001. It is
+    drawn towards that of all languages as if ``prior`` documents had that, as a quantile of few is uncertain.
     """
     found: dict[str | None, dict[int, int]] = {None: {}}
     steps_of = scores.where("words is not null").select("lang", F.floor(value * 1000).cast("int").alias("step"))
@@ -226,11 +61,16 @@ def language_limits(scores: DataFrame, value: Column, quantile: float = 0.98, sl
                 return (s + 0.5) / 1000
         return float("inf")
 
-    out = {}
+    def limit(steps: dict[int, int]) -> float:
+        top, middle = at(steps, quantile), at(steps, 0.5)
+        return top + slack * (top - middle) if steps else float("inf")
+
+    everyone = limit(found[None])
+    out: dict[str | None, float] = {None: everyone}
     for lang, steps in found.items():
-        if lang is None or sum(steps.values()) >= least:
-            top, middle = at(steps, quantile), at(steps, 0.5)
-            out[lang] = top + slack * (top - middle) if steps else float("inf")
+        if lang is not None:
+            n = sum(steps.values())
+            out[lang] = (n * limit(steps) + prior * everyone) / (n + prior)
     return out
 
 
@@ -239,24 +79,35 @@ def _repeated() -> Column:
     return 1 - F.col("novel") / F.col("words")
 
 
+@dataclass
 class Classifier:
-    """The values of a trained model's n-grams, in the shared folder, with the limits of each language.
+    """A trained model with the limits of each language.
 
     ``limits`` are of the mean negative log probability, ``floors`` of its negative (the lower
-    side) and ``repeats`` of the share of repeated trigrams.
+    side) and ``repeats`` of the share of repeated trigrams. ``model`` is None if there was no trusted text.
     """
 
-    def __init__(self, values: DataFrame, unknown: float, limits: dict[str | None, float], floors: dict[str | None, float], repeats: dict[str | None, float], certainty: float = 3.0):
-        self.values, self.unknown, self.limits, self.floors, self.repeats, self.certainty = values, unknown, limits, floors, repeats, certainty
+    model: WordModel | None
+    limits: dict[str | None, float]
+    floors: dict[str | None, float]
+    repeats: dict[str | None, float]
+    certainty: float = 3.0
 
-    def judge(self, rows: DataFrame) -> DataFrame:
-        """(uid, id, lang, neg_log_prob, limit, kept) of rows (uid, id, lang, text).
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``word_scores`` of rows (uid, id, lang, trusted, text); without a model, means of zero for all with a text."""
+        if self.model is not None:
+            return word_scores(rows, self.model)
+        mean = F.when(F.trim("text") != "", 0.0)
+        count = F.when(F.trim("text") != "", 1)
+        return rows.select("uid", "id", "lang", "trusted", count.alias("words"), count.alias("novel"), mean.alias("mean"), mean.alias("mean_elsewhere"))
+
+    def judge(self, scores: DataFrame) -> DataFrame:
+        """(uid, id, lang, neg_log_prob, limit, kept) of scores.
 
         A text is rejected if its mean lies above the limit or below the floor, or its share of
         repeated trigrams above that limit, by more than ``certainty`` standard errors, so short
         texts need stronger evidence. Null and blank texts are rejected.
         """
-        scores = word_scores(rows, self.values, self.unknown)
 
         def of_language(limits: dict[str | None, float]) -> Column:
             out = F.lit(limits[None])
@@ -273,34 +124,41 @@ class Classifier:
         return scores.select("uid", "id", "lang", F.col("mean").alias("neg_log_prob"), limit.alias("limit"), kept.alias("kept"))
 
 
-def _rows(docs: DataFrame, uid, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    return docs.select(uid.alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(ROW).alias("uid"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), "trusted", F.col(text_col).alias("text"))
+
 
+def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Classifier, DataFrame]:
+    """A classifier of all trusted rows of ``docs``, from ``number_rows``, and the scores of all its rows.
 
-def train_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
-    """Count, estimate and set limits on all trusted rows. Without any, everything with a text is kept."""
-    trusted = trusted_rows(docs, labels, id_col)
-    values, unknown = word_values(trusted, text_col, _discounts)
-    scores = word_scores(_rows(trusted, F.monotonically_increasing_id(), id_col, text_col, lang_col), values, unknown)
-    scores = shared_table(scores.drop("uid", "id"), "kn-trusted")
-    limits = language_limits(scores, F.col("mean_elsewhere"))
-    return Classifier(values, unknown, limits, language_limits(scores, -F.col("mean"), 1.0), language_limits(scores, _repeated()))
+    The limits come from the same scores, so texts are scored once. Without any trusted text, everything with a text is kept.
+    """
+    rows = mark_trusted(_rows(docs.withColumn("trusted", F.lit(False)), id_col, text_col, lang_col).drop("trusted"), labels.withColumnRenamed(id_col, "id"), "id")
+    out = Classifier(train_words(rows.where("trusted")), {}, {}, {})
+    scores = out.score(rows)
+    trusted = scores.where("trusted")
+    out.limits, out.floors, out.repeats = language_limits(trusted, F.col("mean_elsewhere")), language_limits(trusted, -F.col("mean"), 1.0), language_limits(trusted, _repeated())
+    return out, scores
 
 
-def classify_quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, neg_log_prob, perplexity, limit, kept) for each row.
+def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, neg_log_prob, perplexity, limit, kept) for each row of ``docs``, learnt from those that ``labels`` trusts.
 
-    Null languages take the limit of all; null and blank texts have no perplexity and aren't
-    kept. Repeated rows are judged as often as they occur; an empty table gives an empty
-    result; other columns are ignored.
+    Languages without a trusted document, null among them, take the limit of all; null and blank
+    texts have no perplexity and aren't kept. Repeated rows are judged as often as they occur; an
+    empty table gives an empty result; other columns are ignored.
     """
-    out = classifier.judge(_rows(docs, F.monotonically_increasing_id(), id_col, text_col, lang_col))
+    classifier, scores = fit_and_score(number_rows(docs), labels, id_col, text_col, lang_col)
+    if classifier.model is not None:
+        classifier.model.drop()
+    out = classifier.judge(scores)
     return out.select(F.col("id").alias(id_col), "lang", "neg_log_prob", F.exp("neg_log_prob").alias("perplexity"), "limit", "kept")
 
 
-def keep_quality(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are."""
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are; nulls, repeated rows and empty tables as in ``classify_quality``."""
     rows = number_rows(docs)
-    verdicts = classifier.judge(_rows(rows, F.col(ROW), id_col, text_col, lang_col))
-    kept = verdicts.where("kept").select(F.col("uid").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    classifier, scores = fit_and_score(rows, labels, id_col, text_col, lang_col)
+    if classifier.model is not None:
+        classifier.model.drop()
+    return keep_rows(rows, classifier.judge(scores).select(F.col("uid").alias("row_uid"), "kept"))

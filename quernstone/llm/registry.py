@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.host_rules import quality_rules
 from quernstone.llm.html_text import extract_text, train_weights
-from quernstone.llm.kneser_ney import classify_quality, train_classifier
+from quernstone.llm.kneser_ney import classify_quality
 from quernstone.llm.langid import held_out, identify_language
 from quernstone.llm.licences import scan_licences
 from quernstone.llm.mixing import mix_sources
@@ -19,8 +19,7 @@ from quernstone.sources import table
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return classify_quality(docs, train_classifier(docs, table(spark, sf_dir, "labels")))
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

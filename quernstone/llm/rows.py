@@ -13,12 +13,25 @@ MAX_BROADCAST_ROWS = 200_000
 ROW = "__quernstone_row"
 
 
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a scan of files with nothing but selections above, so that a file's row occurs once."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.children().size() == 1:
+        node = node.children().head()
+    return node.nodeName() in ("LogicalRelation", "Relation") or node.nodeName().startswith("Relation")
+
+
 def number_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row in ``ROW``, written once to the shared folder.
+    """``docs`` with a number in ``ROW`` that is a row's own in every scan.
 
-    How a scan cuts its files depends on the cores alive at planning, so numbers made in
-    one scan needn't be those of the next: who needs them twice has to read them.
+    How a scan cuts its files depends on the cores alive at planning, so a place in one scan
+    needn't be that of the next. Rows of files are numbered by file (a hash of 64 bits) and
+    place in the file, which cost nothing; anything else is written once with its numbers.
     """
+    if ROW in docs.columns:
+        return docs
+    if _reads_files(docs) and "_metadata" not in docs.columns:
+        return docs.withColumn(ROW, F.xxhash64("_metadata.file_path").bitwiseXOR(F.col("_metadata.row_index")))
     return shared_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
@@ -33,6 +46,7 @@ def repeat_rows(docs: DataFrame, copies: DataFrame) -> DataFrame:
     Only rows that occur other than once are joined; they are broadcast if they were counted to be few.
     """
     other = copies.where("copies != 1").select(F.col("row_uid").alias(ROW), F.col("copies").cast("int").alias("__quernstone_copies"))
+    other = shared_table(other, "copies")
     if other.count() <= MAX_BROADCAST_ROWS:
         other = F.broadcast(other)
     times = F.coalesce("__quernstone_copies", F.lit(1))

@@ -1,20 +1,31 @@
-"""Word trigrams under an interpolated modified Kneser-Ney model, as one sparse dot product.
-
-In back-off form, the log probability of a word w after u v is a sum of terms that each
-belong to one n-gram: what w has by itself, what v leaves to shorter n-grams, and for a
-seen bigram or trigram what it adds to that. So a document's log probability is the sum
-of count times value over its n-grams of all orders that the model has, plus a constant
-for each word: documents' n-grams (counted in the task that reads the text) meet the
-model's values in one join that is sharded by n-gram. Nothing of the model is broadcast.
-
-Words are lower-cased runs of letters and digits or runs of other signs, as 32-bit
-hashes; an n-gram is three of them, 0 in front of the shorter ones.
+"""Interpolated modified Kneser-Ney over word trigrams, estimated and applied in shards.
+
+Words are hashed into 2**21 slots, so that a trigram is one number of 63 bits and all that
+is kept for single words fits into arrays of a fixed size. Those arrays are all that is ever
+broadcast; pairs and trigrams grow with the trusted text and stay in shards of a hash of
+their pair, packed as sorted arrays (``packed.py``).
+
+1. Statistics: tasks count their texts' trigrams u v w and deal them out by the pair (v, w).
+   A shard then knows of every pair how many words stand in front, from which come the
+   counts of single words, their contexts and all discounts.
+2. Estimate: the trigrams are counted again, each pair gets its probability, and the trigrams
+   go on, with that of (v, w), to the shard of their context (u, v), where totals and left
+   mass are counted and the values of pairs and trigrams fall out.
+3. Score: in back-off form a log probability is a sum of one value for each n-gram met, plus
+   a constant for each word. A document sends each (x, y, z) of its words to the shard of
+   (x, y), once; there the pair's and the trigram's values are looked up and summed.
+
+The steps 2 and 3 run in rounds over ranges of shards, so that only one range's n-grams
+are on disk at a time, whatever the corpus; texts are read once for each round. Values are
+kept as 16-bit floats.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,168 +33,398 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.plans import map_arrow, shared_table
+from quernstone.llm.packed import SCHEMA, by_shard, deal, exchange, merged, pack, shard_of, starts, to_batches, unpack
+from quernstone.plans import discard, map_arrow, shared_table
 
+BITS = 21
+SLOTS = 1 << BITS
 NONE, EDGE, END = 0, 1, 2
-_WORD = re.compile(r"\w+|[^\w\s]+")
-_CACHED = 500_000
-KEY = ["a", "b", "c"]
+_LOW = SLOTS - 1
+#: Words are handled in portions of about so many.
+_PORTION = 1_500_000
+_CACHED = 1_000_000
+
+
+class Slots(dict):
+    """The slot of each word, worked out when it is first met.
+
+    A word is a run of other characters than white space, lower-cased, without one opening
+    mark in front and one sentence mark behind; other signs belong to it.
+    """
 
+    def __missing__(self, raw: str) -> int:
+        w = raw[1:] if raw[0] in "(\"'" and len(raw) > 1 else raw
+        w = w[:-1] if w[-1] in ".,;:?!)\"'" and len(w) > 1 else w
+        n = self[raw] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % (SLOTS - 3) + 3
+        return n
 
-def word_numbers(text: str, known: dict[str, int]) -> np.ndarray:
-    """Hashes of the text's words between two edges in front and the end; ``known`` is a cache."""
+
+def word_slots(text: str, known: Slots) -> list[int]:
+    """Slots of the text's words between two edges in front and the end."""
     if len(known) > _CACHED:
         known.clear()
-    out = [EDGE, EDGE]
-    for w in _WORD.findall(text.lower()):
-        n = known.get(w)
-        if n is None:
-            n = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))
-            n = known[w] = (n if n > END else n + 3) - (1 << 32 if n >> 31 else 0)
-        out.append(n)
-    out.append(END)
-    return np.array(out, np.int32)
-
-
-def _unique(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of int32 and their counts, in order."""
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    at = np.flatnonzero(first)
-    return rows[at], np.diff(np.append(at, len(rows)))
-
-
-def trigram_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(a, b, c, n, lo, hi) of the trigrams of all rows: how often, and the least and largest mark of a row with it.
-
-    A mark is a hash of the text; tasks pre-aggregate.
-    """
+    return [EDGE, EDGE, *map(known.__getitem__, text.lower().split()), END]
+
+
+def _portions(texts: list[str | None], known: Slots) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, slots, number of the text within the portion); null texts count as empty."""
+    first, held, sizes = 0, [], []
+    for i, text in enumerate(texts):
+        held += (w := word_slots(text or "", known))
+        sizes.append(len(w))
+        if len(held) >= _PORTION or len(sizes) == 65535 or i == len(texts) - 1:
+            yield first, np.array(held, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            first, held, sizes = i + 1, [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        held, size = [], 0
 
-        def merged() -> pa.RecordBatch:
-            rows, n = _unique(np.concatenate(held))
-            first = np.ones(len(rows), bool)
-            first[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
-            at = np.flatnonzero(first)
-            last = np.append(at[1:], len(rows)) - 1
-            return pa.RecordBatch.from_arrays([*[pa.array(rows[at, k]) for k in range(3)], pa.array(np.add.reduceat(n, at)), pa.array(rows[at, 3]), pa.array(rows[last, 3])], names=[*KEY, "n", "lo", "hi"])
+def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their counts (or sums of ``n``)."""
+    order = np.argsort(keys, kind="stable") if n is not None else None
+    keys = np.sort(keys) if order is None else keys[order]
+    at = starts(keys)
+    counts = np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n[order], at) if len(at) else n
+    return keys[at], counts
 
+
+def trigram_rows(texts: DataFrame, shard_bits: int) -> DataFrame:
+    """Packed (v w u, n) of the texts' trigrams u v w, dealt by (v, w); tasks count their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Slots()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w = word_numbers(text, known)
-                mark = np.full(len(w) - 2, xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, np.int32)
-                held.append(np.stack((w[:-2], w[1:-1], w[2:], mark), axis=1))
-                size += len(mark)
-                if size > 1_000_000:
-                    yield merged()
-                    held, size = [], 0
-        if held:
-            yield merged()
+            for _, w, at in _portions(batch.column(0).to_pylist(), known):
+                # a text without a word has nothing but the edges and the end
+                inside = (at[2:] == at[:-2]) & ((w[1:-1] != EDGE) | (w[2:] != END))
+                keys, n = _counted((w[1:-1] << 2 * BITS | w[2:] << BITS | w[:-2])[inside])
+                yield from to_batches(deal(0, shard_of(keys >> BITS, shard_bits), keys, n.astype(np.uint32)))
+
+    return map_arrow(texts, run, SCHEMA)
+
 
-    rows = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_arrow(rows, run, "a int, b int, c int, n bigint, lo int, hi int").groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def _shard_trigrams(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams (v w u) of a shard with their counts; its pairs (v w), where they begin, and the number of words in front."""
+    keys, n = merged([unpack(d, np.uint32) for _, d in rows])
+    at = starts(keys)
+    keys, n = keys[at], np.add.reduceat(n.astype(np.int64), at)
+    begin = starts(keys >> BITS)
+    return keys, n, keys[begin] >> BITS, begin, np.diff(np.append(begin, len(keys)))
 
 
-def _left(table: DataFrame, context: list[str], d: tuple[float, float, float]) -> DataFrame:
-    """For each context its total, the share it leaves to shorter n-grams, and the marks."""
-    held = F.sum(F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
-    out = table.groupBy(*context).agg(F.sum("n").alias("total"), held.alias("held"), F.min("lo").alias("clo"), F.max("hi").alias("chi"))
-    return out.select(*context, "total", (F.col("held") / F.col("total")).alias("left"), (F.col("clo") != F.col("chi")).alias("cshared"))
+def _discounts(c: np.ndarray) -> tuple[float, float, float]:
+    """D1, D2 and D3+ from the numbers of n-grams with counts 1 to 4; usual fallbacks where they are too few."""
+    if not c[0] or not c[1]:
+        return 0.5, 0.75, 0.9
+    y = c[0] / (c[0] + 2 * c[1])
+    d = [k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else 0.9 * k for k in (1, 2, 3)]
+    return tuple(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))  # type: ignore[return-value]
 
 
-def _own(d: tuple[float, float, float]):
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    return F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("total")
+def _cut(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.where(n == 1, d[0], np.where(n == 2, d[1], d[2]))
 
 
-def _value(keys: list, value, shared) -> list:
-    return [*[k.cast("int").alias(n) for k, n in zip(keys, KEY, strict=True)], value.alias("value"), F.when(shared, value).otherwise(0.0).alias("elsewhere")]
+@dataclass
+class Words:
+    """What the model keeps for single words, in arrays of ``SLOTS`` entries, and its discounts.
 
+    ``q``: probability of the word. ``left``: mass that it leaves, as a context, to shorter n-grams (1 if
+    never seen as such). ``total``: words counted after it. ``occurs``: its occurrences.
+    """
 
-def word_values(trusted: DataFrame, text_col: str, discounts) -> tuple[DataFrame, float]:
-    """(a, b, c, value, elsewhere) of the model's n-grams of all orders, and the log probability of an unknown word.
+    q: np.ndarray
+    left: np.ndarray
+    total: np.ndarray
+    occurs: np.ndarray
+    d2: tuple[float, float, float]
+    d3: tuple[float, float, float]
+    #: log probability of a word that the trusted texts don't have
+    unknown: float
+
+
+_RANGE_BITS = 5
+#: counted for a word: pairs that end with it, its occurrences, and of the pairs that begin with it the words in front, and how many have one, two, more
+_STATS = 6
+
+
+def count_words(texts: DataFrame, shard_bits: int, partitions: int) -> Words:
+    """Step 1, for a non-empty text table; ends with arrays of ``SLOTS`` entries on the driver."""
+
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((_STATS, SLOTS), np.int64)
+        kinds = np.zeros(8, np.int64)
+        for _, rows in by_shard(batches):
+            _, n, pairs, begin, front = _shard_trigrams(rows)
+            v, w = pairs >> BITS, pairs & _LOW
+            np.add.at(sums[0], w, 1)
+            np.add.at(sums[1], w, np.add.reduceat(n, begin))
+            np.add.at(sums[2], v, front)
+            np.add.at(sums, (2 + np.minimum(front, 3), v), 1)
+            kinds[:4] += [np.count_nonzero(front == k) for k in (1, 2, 3, 4)]
+            kinds[4:] += [np.count_nonzero(n == k) for k in (1, 2, 3, 4)]
+        yield from summary(sums, kinds)
+
+    def summary(sums: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        word = np.flatnonzero(sums.any(axis=0))
+        rows = deal(0, (word >> BITS - _RANGE_BITS).astype(np.int32), word, *sums[:, word])
+        yield from to_batches([*rows, (1 << _RANGE_BITS, 1, pack(np.arange(8), kinds))])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in by_shard(batches):
+            kind = rows[0][0]
+            parts = merged([unpack(d, *[np.int64] * (_STATS if kind == 0 else 1)) for _, d in rows])
+            at = starts(parts[0])
+            yield from to_batches([(shard, kind, pack(parts[0][at], *[np.add.reduceat(c, at) for c in parts[1:]]))])
+
+    counted = map_arrow(exchange(trigram_rows(texts, shard_bits), partitions), stats, SCHEMA)
+    # at most 2**21 entries in all, whatever the corpus
+    table = shared_table(map_arrow(exchange(counted, min(partitions, 1 << _RANGE_BITS)), add_up, SCHEMA), "kn-words")
+    sums, kinds = np.zeros((_STATS, SLOTS), np.int64), np.zeros(8, np.int64)
+    for r in table.collect():
+        if r.kind == 0:
+            word, *found = unpack(r.data, *[np.int64] * _STATS)
+            sums[:, word] = found
+        else:
+            kinds = unpack(r.data, np.int64)[1]
+    discard(table)
+    ends, occurs, total, *classes = sums
+    d1 = _discounts(np.array([np.count_nonzero(ends == k) for k in (1, 2, 3, 4)]))
+    d2, d3 = _discounts(kinds[:4]), _discounts(kinds[4:])
+    seen, everything = ends > 0, int(ends.sum())
+    rest = float(_cut(ends[seen], d1).sum()) / everything / (int(seen.sum()) + 1)
+    q = np.where(seen, np.maximum(ends - _cut(ends, d1), 0) / everything, 0) + rest
+    held = d2[0] * classes[0] + d2[1] * classes[1] + d2[2] * classes[2]
+    left = np.where(total > 0, held / np.maximum(total, 1), 1.0)
+    return Words(q.astype(np.float32), left.astype(np.float32), total.astype(np.float32), np.minimum(occurs, 2**32 - 1).astype(np.uint32), d2, d3, math.log(rest))
+
+
+@dataclass
+class WordModel:
+    """A trained model: arrays for single words, and packed shards of pairs and trigrams in the shared folder.
+
+    Rows of ``shards`` have kind 0, (x y; value, occurrences), and 1, (x y z; value, occurrences).
+    """
 
-    ``elsewhere`` is the value of n-grams that at least two different texts have, else 0: the
-    model that a trusted text of its own meets is without what it alone has brought.
-    The highest order uses counts, the others the number of distinct words in front.
+    words: Words
+    shards: list[DataFrame]
+    shard_bits: int
+    partitions: int
+
+    def drop(self) -> None:
+        """Delete the shards; the model can't score any more."""
+        discard(*self.shards)
+
+
+def _round(shard: np.ndarray, shard_bits: int, rounds: int) -> np.ndarray:
+    """The round that a shard belongs to."""
+    return shard.astype(np.int64) * rounds >> shard_bits
+
+
+def estimate(texts: DataFrame, words: Words, shard_bits: int, partitions: int, rounds: int) -> list[DataFrame]:
+    """Step 2: one table of packed shards for each round."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def one(r: int) -> DataFrame:
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for _, rows in by_shard(batches):
+                keys, n, pair, begin, front = _shard_trigrams(rows)
+                v, w = pair >> BITS, pair & _LOW
+                low = m.left[v] * m.q[w]
+                p = np.maximum(front - _cut(front, m.d2), 0) / m.total[v] + low
+                size = np.diff(np.append(begin, len(keys)))
+                shard = shard_of(pair, shard_bits)
+                own = _round(shard, shard_bits, rounds) == r
+                out = deal(0, shard[own], pair[own], np.log(p / low).astype(np.float16)[own], np.add.reduceat(n, begin).astype(np.uint32)[own])
+                u = keys & _LOW
+                context = u << BITS | np.repeat(v, size)
+                shard = shard_of(context, shard_bits)
+                own = np.flatnonzero(_round(shard, shard_bits, rounds) == r)
+                trigram = (context << BITS | np.repeat(w, size))[own]
+                order = np.argsort(trigram)
+                own = own[order]
+                out += deal(1, shard[own], trigram[order], np.repeat(np.log(p), size).astype(np.float16)[own], n[own].astype(np.uint32))
+                yield from to_batches(out)
+
+        def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for shard, rows in by_shard(batches):
+                none = [np.empty(0, np.int64), np.empty(0, np.float16), np.empty(0, np.uint32)]
+                of = lambda kind: merged([unpack(d, np.float16, np.uint32) for k, d in rows if k == kind] or [none])  # noqa: E731, B023
+                (pair, gain, occurs), (key, logp, n) = of(0), of(1)
+                begin = starts(key >> BITS)
+                context = key[begin] >> BITS
+                size = np.diff(np.append(begin, len(key)))
+                cut = _cut(n, m.d3)
+                if len(key):
+                    total = np.add.reduceat(n.astype(np.float64), begin)
+                    left = np.add.reduceat(cut, begin) / total
+                    own = np.maximum(n - cut, 0) / np.repeat(total, size)
+                    value = np.log1p(own / (np.repeat(left, size) * np.exp(logp.astype(np.float64))))
+                else:
+                    total = left = value = np.empty(0)
+                both = np.union1d(pair, context)
+                short, times = np.zeros(len(both)), np.zeros(len(both), np.uint32)
+                short[at := np.searchsorted(both, context)] = np.log(left)
+                times[at] = total
+                short[at := np.searchsorted(both, pair)] += gain
+                times[at] = occurs
+                yield from to_batches([(shard, 0, pack(both, short.astype(np.float16), times)), (shard, 1, pack(key, value.astype(np.float16), n))])
+
+        counted = map_arrow(exchange(trigram_rows(texts, shard_bits), partitions), pairs, SCHEMA)
+        return shared_table(map_arrow(exchange(counted, partitions), values, SCHEMA), "kn-shards")
+
+    return [one(r) for r in range(rounds)]
+
+
+def train_words(trusted: DataFrame, text_col: str = "text", rounds: int = 4, shard_words: int = 1 << 18) -> WordModel | None:
+    """The model of all rows of ``trusted``, or None if they have no text.
+
+    Shards hold about ``shard_words`` trigrams and are more than the partitions, so that they spread evenly.
     """
-    t3 = shared_table(trigram_counts(trusted, text_col), "kn-trigrams")
-    # the number of trigrams with n-gram in front, with the marks of the rows that have one
-    t2 = shared_table(t3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "kn-bigrams")
-    t1 = shared_table(t2.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "kn-words")
-    d1, d2, d3 = discounts(t1), discounts(t2), discounts(t3)
-    cut = F.when(F.col("n") == 1, d1[0]).when(F.col("n") == 2, d1[1]).otherwise(d1[2])
-    total, held, size = t1.agg(F.sum("n"), F.sum(cut), F.count(F.lit(1))).first()
-    if not total:
-        return t3.select(*KEY, F.lit(0.0).alias("value"), F.lit(0.0).alias("elsewhere")), 0.0
-    rest = held / total / (size + 1)
-    unknown = float(np.log(rest))
-    none = F.lit(NONE)
-    p1 = shared_table(t1.select("c", (F.greatest(F.col("n") - cut, F.lit(0.0)) / total + rest).alias("q"), (F.col("lo") != F.col("hi")).alias("shared")), "kn-p1")
-    left1, left2 = _left(t2, ["b"], d2), _left(t3, ["a", "b"], d3)
-    p2 = t2.withColumn("shared", F.col("lo") != F.col("hi")).join(left1, "b").join(p1.select("c", "q"), "c")
-    p2 = shared_table(p2.select("b", "c", "shared", (_own(d2) + F.col("left") * F.col("q")).alias("p"), (F.col("left") * F.col("q")).alias("low")), "kn-p2")
-    left2 = shared_table(left2, "kn-left2")
-    p3 = t3.withColumn("shared", F.col("lo") != F.col("hi")).join(left2, ["a", "b"]).join(p2.select("b", "c", "p"), ["b", "c"])
-    low = F.col("left") * F.col("p")
-    of3 = p3.select(*_value([F.col("a"), F.col("b"), F.col("c")], F.log(_own(d3) + low) - F.log(low), F.col("shared")))
-    of2 = p2.select(*_value([none, F.col("b"), F.col("c")], F.log("p") - F.log("low"), F.col("shared"))).union(left2.select(*_value([none, F.col("a"), F.col("b")], F.log("left"), F.col("cshared"))))
-    of1 = p1.select(*_value([none, none, F.col("c")], F.log("q") - unknown, F.col("shared"))).union(left1.select(*_value([none, none, F.col("b")], F.log("left"), F.col("cshared"))))
-    short = of2.union(of1).groupBy(*KEY).agg(F.sum("value").alias("value"), F.sum("elsewhere").alias("elsewhere"))
-    return shared_table(of3.union(short), "kn-values"), unknown
-
-
-def document_grams(rows: DataFrame) -> DataFrame:
-    """(uid, a, b, c, n, id, lang, words, novel) of the n-grams of rows (uid, id, lang, text), counted for each row.
-
-    One further entry of a row, which no model has, holds its id, its language, its number of
-    words with the end (null if it is blank) and that of distinct trigrams. It begins with the
-    end sign and goes on with the row's number, so these entries are spread.
+    spark = trusted.sparkSession
+    texts = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.trim("text") != "")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0]
+    if not chars:
+        return None
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shard_bits = min(24, max(4 * partitions - 1, int(chars / 6 / shard_words)).bit_length())
+    words = count_words(texts, shard_bits, partitions)
+    return WordModel(words, estimate(texts, words, shard_bits, partitions, rounds), shard_bits, partitions)
+
+
+def _single_words(rows: DataFrame, words: Words) -> DataFrame:
+    """(uid, id, lang, trusted, words, novel, s, e) of rows (uid, id, lang, trusted, text): what the single words give."""
+    value = np.where(words.occurs > 0, np.log(words.q) - words.unknown, 0) + np.log(words.left)
+    occurs = words.occurs.copy()
+    occurs[EDGE] = 2**32 - 1
+    shared = rows.sparkSession.sparkContext.broadcast((value.astype(np.float32), occurs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, occurs = shared.value
+        known = Slots()
+        for batch in batches:
+            texts = batch.column(4).to_pylist()
+            trusted = batch.column(3).to_pylist()
+            out = []
+            for text, own in zip(texts, trusted, strict=True):
+                if text is None or not text.strip():
+                    out.append((None, None, 0.0, 0.0))
+                    continue
+                w = np.array(word_slots(text, known), np.int64)
+                word, n = _counted(w[1:])
+                gain = value[word] * n
+                novel = np.sort(w[:-2] << 2 * BITS | w[1:-1] << BITS | w[2:])
+                out.append((len(w) - 2, len(starts(novel)), float(gain.sum()), float(gain[occurs[word] > n].sum() if own else gain.sum())))
+            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], *columns], names=["uid", "id", "lang", "trusted", "words", "novel", "s", "e"])
+
+    return map_arrow(rows.select("uid", "id", "lang", "trusted", "text"), run, f"uid bigint, id {rows.schema['id'].dataType.simpleString()}, lang string, trusted boolean, words int, novel int, s double, e double")
+
+
+def _document_rows(rows: DataFrame, shard_bits: int, r: int, rounds: int) -> DataFrame:
+    """Packed entries of the documents' (x, y, z) in the shards of a round, with their documents' uids and whether they are trusted.
+
+    Kind 2: (x y z; number of the document in ``uids``, count), behind it kind 3 the same row's documents.
     """
-    schema = rows.select("uid", "id", "lang").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Slots()
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                found, counts, at, words, novel = [], [], [], [], []
-                for i, (uid, text) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    own = np.array([[END, uid & 0x7FFFFFFF, uid >> 31 & 0x7FFFFFFF]], np.int32)
-                    blank = text is None or not text.strip()
-                    parts = []
-                    if not blank:
-                        w = word_numbers(text, known)
-                        zero = np.zeros(len(w) - 1, np.int32)
-                        parts = [_unique(np.stack(x, axis=1)) for x in ((w[:-2], w[1:-1], w[2:]), (zero, w[:-1], w[1:]), (zero, zero, w[1:]))]
-                    found += [own, *[x for x, _ in parts]]
-                    counts += [np.ones(1, np.int64), *[n for _, n in parts]]
-                    size = sum(len(n) for _, n in parts)
-                    at.append(np.append(np.int32(i), np.full(size, i, np.int32)))
-                    words += [None if blank else len(w) - 2, *[None] * size]
-                    novel += [None if blank else len(parts[0][0]), *[None] * size]
-                g, at = np.concatenate(found), np.concatenate(at)
-                head = pa.array(np.where(g[:, 0] == END, at, 0), pa.int32(), mask=g[:, 0] != END)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *[pa.array(g[:, i]) for i in range(3)], pa.array(np.concatenate(counts).astype(np.int32)), part.column(1).take(head), part.column(2).take(head), pa.array(words, pa.int32()), pa.array(novel, pa.int32())], names=["uid", *KEY, "n", "id", "lang", "words", "novel"])
-
-    return map_arrow(rows, run, f"uid bigint, a int, b int, c int, n int, id {schema['id'].dataType.simpleString()}, lang string, words int, novel int")
-
-
-def word_scores(rows: DataFrame, values: DataFrame, unknown: float) -> DataFrame:
-    """(uid, id, lang, words, novel, mean, mean_elsewhere) of rows (uid, id, lang, text).
-
-    ``mean`` is the mean negative log probability of a word with the text's end, in nats, null
-    for null and blank texts; ``mean_elsewhere`` that by n-grams of at least two trusted texts.
+            uids = batch.column(0).to_numpy()
+            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for first, w, at in _portions(batch.column(2).to_pylist(), known):
+                inside = at[1:] == at[:-1]
+                third = np.where(np.append(at[2:], -1) == at[:-1], np.append(w[2:], NONE), NONE)
+                keys, doc = (w[:-1] << 2 * BITS | w[1:] << BITS | third)[inside], at[:-1][inside]
+                shard = shard_of(keys >> BITS, shard_bits)
+                own = np.flatnonzero(_round(shard, shard_bits, rounds) == r)
+                order = own[np.lexsort((doc[own], keys[own]))]
+                keys, doc, shard = keys[order], doc[order], shard[order]
+                new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))) if len(keys) else np.empty(0, np.int64)
+                n = np.diff(np.append(new, len(keys))).astype(np.uint32)
+                of, keys, doc = shard[new], keys[new], doc[new]
+                # a document's number in the row, in the order of uids, so that the uids pack well
+                mine = uids[first : first + at[-1] + 1] if len(at) else uids[:0]
+                by_uid = np.argsort(mine)
+                place = np.empty(len(mine), np.int64)
+                place[by_uid] = np.arange(len(mine))
+                out = []
+                for s, _, data in deal(2, of, keys, place[doc].astype(np.uint16), n):
+                    head = pack(mine[by_uid] - mine.min(), trusted[first : first + len(mine)][by_uid])
+                    out.append((s, 2, int(mine.min()).to_bytes(8, "little", signed=True) + len(head).to_bytes(8, "little") + head + data))
+                yield from to_batches(out)
+
+    return map_arrow(rows.select("uid", "trusted", "text"), run, SCHEMA)
+
+
+def _found(keys: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys are in the sorted model, and whether they are."""
+    if not len(model):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(model, keys), len(model) - 1)
+    return at, model[at] == keys
+
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, s, e) partial sums of documents' entries in one shard after another: the model's rows come before the documents'."""
+    shard, model = None, {}
+    for batch in batches:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for s, kind, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            if s != shard:
+                shard, model = s, {}
+            if kind < 2:
+                key, value, n = unpack(data, np.float16, np.uint32)
+                model[kind] = key, value.astype(np.float32), n
+                continue
+            if not model:
+                continue
+            size = int.from_bytes(data[8:16], "little")
+            uid, trusted = unpack(data[16 : 16 + size], np.uint8)
+            uid = uid + int.from_bytes(data[:8], "little", signed=True)
+            keys, doc, n = unpack(data[16 + size :], np.uint16, np.uint32)
+            doc = doc.astype(np.int64)
+            s_sum, e_sum = np.zeros(len(uid)), np.zeros(len(uid))
+            for kind_, entry in ((0, keys >> BITS), (1, keys)):
+                known, value, occurs = model[kind_]
+                at, hit = _found(entry, known)
+                hit = np.flatnonzero(hit)
+                at, d = at[hit], doc[hit]
+                gain = value[at] * n[hit]
+                s_sum += np.bincount(d, gain, len(uid))
+                # what a trusted document alone has brought into the model doesn't count for it
+                own = n[hit].astype(np.int64)
+                if kind_ == 0:
+                    group = at * len(uid) + d
+                    _, which = np.unique(group, return_inverse=True)
+                    own = np.bincount(which, own)[which] if len(which) else own
+                shared = (trusted[d] == 0) | (occurs[at] > own)
+                e_sum += np.bincount(d[shared], gain[shared], len(uid))
+            some = np.flatnonzero((s_sum != 0) | (e_sum != 0))
+            out.append((uid[some], s_sum[some], e_sum[some]))
+        if out:
+            # a task's rows of one document are added up as far as they are at hand
+            uid, s_all, e_all = (np.concatenate(x) for x in zip(*out, strict=True))
+            distinct, which = np.unique(uid, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(which, s_all, len(distinct)).astype(np.float32)), pa.array(np.bincount(which, e_all, len(distinct)).astype(np.float32))], names=["uid", "s", "e"])
+
+
+def word_scores(rows: DataFrame, model: WordModel) -> DataFrame:
+    """(uid, id, lang, trusted, words, novel, mean, mean_elsewhere) of rows (uid, id, lang, trusted, text), in a shared table.
+
+    ``rows`` is read once for each round, so uids must be the same in every scan. ``mean`` is the mean
+    negative log probability of a word with the text's end, in nats, null for null and blank texts;
+    ``mean_elsewhere`` for a trusted text is that by the n-grams which other trusted texts have too, for others the same.
     """
-    met = document_grams(rows).join(values, KEY, "left").where(F.col("value").isNotNull() | (F.col("a") == END))
-    sums = met.groupBy("uid").agg(
-        F.max("id").alias("id"), F.max("lang").alias("lang"), F.max("words").alias("words"), F.max("novel").alias("novel"),
-        F.sum(F.col("n") * F.coalesce("value", F.lit(0.0))).alias("s"), F.sum(F.col("n") * F.coalesce("elsewhere", F.lit(0.0))).alias("e"),
-    )
-    mean = lambda c: -F.col(c) / F.col("words") - unknown
-    return sums.select("uid", "id", "lang", "words", "novel", mean("s").alias("mean"), mean("e").alias("mean_elsewhere"))
+    single = shared_table(_single_words(rows, model.words), "kn-single")
+    rounds, sums = len(model.shards), []
+    texts = rows.where(F.trim("text") != "")
+    for r, shards in enumerate(model.shards):
+        met = exchange(shards.union(_document_rows(texts, model.shard_bits, r, rounds)), model.partitions)
+        sums.append(shared_table(map_arrow(met, _look_up, "uid bigint, s float, e float").groupBy("uid").agg(F.sum("s").cast("float").alias("s2"), F.sum("e").cast("float").alias("e2")), "kn-sums"))
+    longer = reduce(DataFrame.union, sums).groupBy("uid").agg(F.sum("s2").alias("s2"), F.sum("e2").alias("e2"))
+    mean = lambda c: -(F.col(c) + F.coalesce(F.col(c + "2"), F.lit(0.0))) / F.col("words") - model.words.unknown
+    out = single.join(longer, "uid", "left").select("uid", "id", "lang", "trusted", "words", "novel", mean("s").alias("mean"), mean("e").alias("mean_elsewhere"))
+    out = shared_table(out, "kn-scores")
+    discard(single, *sums)
+    return out
