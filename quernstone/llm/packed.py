@@ -38,11 +38,14 @@ def unpack(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def hash_of(keys: np.ndarray) -> np.ndarray:
+    """Multiplicative hash of 64 bits, the upper ones mixed best."""
+    return keys.astype(np.uint64) * _MIX
+
+
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    """One of 2**bits shards for each key, by a multiplicative hash."""
-    if not bits:
-        return np.zeros(len(keys), np.int32)
-    return ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
+    """One of 2**bits shards for each key."""
+    return (hash_of(keys) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
 
 
 def deal(kind: int, shard: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -95,7 +98,7 @@ def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     if len(parts) == 1:
         return parts[0]
     joined = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    order = np.argsort(joined[0], kind="stable")
+    order = np.argsort(joined[0])
     return [c[order] for c in joined]
 
 

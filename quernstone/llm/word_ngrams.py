@@ -33,16 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.packed import SCHEMA, by_shard, deal, exchange, merged, pack, shard_of, starts, to_batches, unpack
+from quernstone.llm.packed import SCHEMA, by_shard, deal, exchange, hash_of, merged, pack, shard_of, starts, to_batches, unpack
 from quernstone.plans import discard, map_arrow, shared_table
 
 BITS = 21
 SLOTS = 1 << BITS
 NONE, EDGE, END = 0, 1, 2
 _LOW = SLOTS - 1
-#: Words are handled in portions of about so many.
-_PORTION = 1_500_000
+#: Texts are handled in portions of about so many characters.
+_PORTION = 5_000_000
 _CACHED = 1_000_000
+#: How an edge and the end are written between joined texts; texts themselves get no NUL.
+_EDGE, _END = "\0e", "\0z"
 
 
 class Slots(dict):
@@ -53,37 +55,38 @@ class Slots(dict):
     """
 
     def __missing__(self, raw: str) -> int:
+        if raw in (_EDGE, _END):
+            return EDGE if raw == _EDGE else END
         w = raw[1:] if raw[0] in "(\"'" and len(raw) > 1 else raw
         w = w[:-1] if w[-1] in ".,;:?!)\"'" and len(w) > 1 else w
         n = self[raw] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % (SLOTS - 3) + 3
         return n
 
 
-def word_slots(text: str, known: Slots) -> list[int]:
-    """Slots of the text's words between two edges in front and the end."""
-    if len(known) > _CACHED:
-        known.clear()
-    return [EDGE, EDGE, *map(known.__getitem__, text.lower().split()), END]
-
-
 def _portions(texts: list[str | None], known: Slots) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, slots, number of the text within the portion); null texts count as empty."""
-    first, held, sizes = 0, [], []
-    for i, text in enumerate(texts):
-        held += (w := word_slots(text or "", known))
-        sizes.append(len(w))
-        if len(held) >= _PORTION or len(sizes) == 65535 or i == len(texts) - 1:
-            yield first, np.array(held, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-            first, held, sizes = i + 1, [], []
+    """(first text, slots, number of the text within the portion); null texts count as empty.
 
-
-def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their counts (or sums of ``n``)."""
-    order = np.argsort(keys, kind="stable") if n is not None else None
-    keys = np.sort(keys) if order is None else keys[order]
+    A text is its words' slots between two edges in front and the end.
+    """
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(text.replace("\0", "\1") if text and "\0" in text else text or "")
+        size += len(held[-1])
+        if size >= _PORTION or len(held) == 65535 or i == len(texts) - 1:
+            if len(known) > _CACHED:
+                known.clear()
+            words = "".join([f"{_EDGE} {_EDGE} {t} {_END} " for t in held]).lower().split()
+            w = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            ended = w == END
+            yield first, w, np.cumsum(ended) - ended
+            first, held, size = i + 1, [], 0
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their counts."""
+    keys = np.sort(keys)
     at = starts(keys)
-    counts = np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n[order], at) if len(at) else n
-    return keys[at], counts
+    return keys[at], np.diff(np.append(at, len(keys)))
 
 
 def trigram_rows(texts: DataFrame, shard_bits: int) -> DataFrame:
@@ -95,7 +98,7 @@ def trigram_rows(texts: DataFrame, shard_bits: int) -> DataFrame:
             for _, w, at in _portions(batch.column(0).to_pylist(), known):
                 # a text without a word has nothing but the edges and the end
                 inside = (at[2:] == at[:-2]) & ((w[1:-1] != EDGE) | (w[2:] != END))
-                keys, n = _counted((w[1:-1] << 2 * BITS | w[2:] << BITS | w[:-2])[inside])
+                keys, n = _distinct((w[1:-1] << 2 * BITS | w[2:] << BITS | w[:-2])[inside])
                 yield from to_batches(deal(0, shard_of(keys >> BITS, shard_bits), keys, n.astype(np.uint32)))
 
     return map_arrow(texts, run, SCHEMA)
@@ -150,7 +153,7 @@ def count_words(texts: DataFrame, shard_bits: int, partitions: int) -> Words:
     """Step 1, for a non-empty text table; ends with arrays of ``SLOTS`` entries on the driver."""
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((_STATS, SLOTS), np.int64)
+        sums = np.zeros((_STATS, SLOTS), np.int32)
         kinds = np.zeros(8, np.int64)
         for _, rows in by_shard(batches):
             _, n, pairs, begin, front = _shard_trigrams(rows)
@@ -165,7 +168,7 @@ def count_words(texts: DataFrame, shard_bits: int, partitions: int) -> Words:
 
     def summary(sums: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
         word = np.flatnonzero(sums.any(axis=0))
-        rows = deal(0, (word >> BITS - _RANGE_BITS).astype(np.int32), word, *sums[:, word])
+        rows = deal(0, (word >> BITS - _RANGE_BITS).astype(np.int32), word, *sums[:, word].astype(np.int64))
         yield from to_batches([*rows, (1 << _RANGE_BITS, 1, pack(np.arange(8), kinds))])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,24 +229,37 @@ def estimate(texts: DataFrame, words: Words, shard_bits: int, partitions: int, r
     def one(r: int) -> DataFrame:
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
+            # what goes on, from one shard after another: pairs and trigrams, each with a value and a count
+            held: tuple[list, list] = ([], [])
+            size = 0
+
+            def hold(kind: int, keys: np.ndarray, context: np.ndarray, value: np.ndarray, n: np.ndarray) -> int:
+                own = np.flatnonzero(_round(shard_of(context, shard_bits), shard_bits, rounds) == r)
+                held[kind].append([keys[own], value[own], n[own]])
+                return len(own)
+
+            def dealt() -> Iterator[pa.RecordBatch]:
+                for kind, parts in enumerate(held):
+                    if parts:
+                        keys, value, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+                        order = np.argsort(keys)
+                        keys = keys[order]
+                        yield from to_batches(deal(kind, shard_of(keys >> kind * BITS, shard_bits), keys, value[order], n[order]))
+                        parts.clear()
+
             for _, rows in by_shard(batches):
                 keys, n, pair, begin, front = _shard_trigrams(rows)
                 v, w = pair >> BITS, pair & _LOW
                 low = m.left[v] * m.q[w]
                 p = np.maximum(front - _cut(front, m.d2), 0) / m.total[v] + low
-                size = np.diff(np.append(begin, len(keys)))
-                shard = shard_of(pair, shard_bits)
-                own = _round(shard, shard_bits, rounds) == r
-                out = deal(0, shard[own], pair[own], np.log(p / low).astype(np.float16)[own], np.add.reduceat(n, begin).astype(np.uint32)[own])
-                u = keys & _LOW
-                context = u << BITS | np.repeat(v, size)
-                shard = shard_of(context, shard_bits)
-                own = np.flatnonzero(_round(shard, shard_bits, rounds) == r)
-                trigram = (context << BITS | np.repeat(w, size))[own]
-                order = np.argsort(trigram)
-                own = own[order]
-                out += deal(1, shard[own], trigram[order], np.repeat(np.log(p), size).astype(np.float16)[own], n[own].astype(np.uint32))
-                yield from to_batches(out)
+                size += hold(0, pair, pair, np.log(p / low).astype(np.float16), np.add.reduceat(n, begin).astype(np.uint32))
+                times = np.diff(np.append(begin, len(keys)))
+                context = (keys & _LOW) << BITS | np.repeat(v, times)
+                size += hold(1, context << BITS | np.repeat(w, times), context, np.repeat(np.log(p).astype(np.float16), times), n.astype(np.uint32))
+                if size > 2_000_000:
+                    yield from dealt()
+                    size = 0
+            yield from dealt()
 
         def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
@@ -276,10 +292,10 @@ def estimate(texts: DataFrame, words: Words, shard_bits: int, partitions: int, r
     return [one(r) for r in range(rounds)]
 
 
-def train_words(trusted: DataFrame, text_col: str = "text", rounds: int = 4, shard_words: int = 1 << 18) -> WordModel | None:
+def train_words(trusted: DataFrame, text_col: str = "text", rounds: int = 4, shard_words: int = 1 << 17) -> WordModel | None:
     """The model of all rows of ``trusted``, or None if they have no text.
 
-    Shards hold about ``shard_words`` trigrams and are more than the partitions, so that they spread evenly.
+    Shards hold about ``shard_words`` trigrams at most.
     """
     spark = trusted.sparkSession
     texts = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.trim("text") != "")
@@ -287,7 +303,7 @@ def train_words(trusted: DataFrame, text_col: str = "text", rounds: int = 4, sha
     if not chars:
         return None
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shard_bits = min(24, max(4 * partitions - 1, int(chars / 6 / shard_words)).bit_length())
+    shard_bits = min(24, max(15, int(chars / 6 / shard_words)).bit_length())
     words = count_words(texts, shard_bits, partitions)
     return WordModel(words, estimate(texts, words, shard_bits, partitions, rounds), shard_bits, partitions)
 
@@ -303,28 +319,36 @@ def _single_words(rows: DataFrame, words: Words) -> DataFrame:
         value, occurs = shared.value
         known = Slots()
         for batch in batches:
-            texts = batch.column(4).to_pylist()
-            trusted = batch.column(3).to_pylist()
-            out = []
-            for text, own in zip(texts, trusted, strict=True):
-                if text is None or not text.strip():
-                    out.append((None, None, 0.0, 0.0))
-                    continue
-                w = np.array(word_slots(text, known), np.int64)
-                word, n = _counted(w[1:])
-                gain = value[word] * n
-                novel = np.sort(w[:-2] << 2 * BITS | w[1:-1] << BITS | w[2:])
-                out.append((len(w) - 2, len(starts(novel)), float(gain.sum()), float(gain[occurs[word] > n].sum() if own else gain.sum())))
-            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], *columns], names=["uid", "id", "lang", "trusted", "words", "novel", "s", "e"])
+            own = batch.column(3).to_numpy(zero_copy_only=False)
+            for first, w, at in _portions(batch.column(4).to_pylist(), known):
+                docs = int(at[-1]) + 1
+                part = batch.slice(first, docs)
+                words = np.bincount(at) - 2
+                # one of the two edges is never a word's context alone
+                s = np.bincount(at, value[w]) - value[EDGE]
+                e = s.copy()
+                mine = np.flatnonzero(own[first : first + docs])
+                if len(mine):
+                    inside = np.isin(at, mine)
+                    pair, n = _distinct(at[inside] << BITS | w[inside])
+                    word, doc = pair & _LOW, pair >> BITS
+                    alone = np.where(occurs[word] > n, 0, value[word] * n)
+                    e -= np.bincount(doc, alone, docs)
+                same = at[2:] == at[:-2]
+                mixed = hash_of((w[:-2] << 2 * BITS | w[1:-1] << BITS | w[2:])[same]) >> np.uint64(16)
+                novel = np.sort(at[2:][same].astype(np.uint64) << np.uint64(48) | mixed)
+                novel = np.bincount((novel[starts(novel)] >> np.uint64(48)).astype(np.int64), minlength=docs)
+                blank = words == 1
+                columns = [pa.array(x, t, mask=blank) for x, t in ((words, pa.int32()), (novel, pa.int32()), (s, pa.float64()), (e, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(4)], *columns], names=["uid", "id", "lang", "trusted", "words", "novel", "s", "e"])
 
     return map_arrow(rows.select("uid", "id", "lang", "trusted", "text"), run, f"uid bigint, id {rows.schema['id'].dataType.simpleString()}, lang string, trusted boolean, words int, novel int, s double, e double")
 
 
 def _document_rows(rows: DataFrame, shard_bits: int, r: int, rounds: int) -> DataFrame:
-    """Packed entries of the documents' (x, y, z) in the shards of a round, with their documents' uids and whether they are trusted.
+    """Packed entries (x y z; number of the document) of a portion's documents in the shards of a round, behind their uids.
 
-    Kind 2: (x y z; number of the document in ``uids``, count), behind it kind 3 the same row's documents.
+    Kind 2: least uid, size of the packed (uid, trusted) of the portion, these, the entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,26 +357,23 @@ def _document_rows(rows: DataFrame, shard_bits: int, r: int, rounds: int) -> Dat
             uids = batch.column(0).to_numpy()
             trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
             for first, w, at in _portions(batch.column(2).to_pylist(), known):
-                inside = at[1:] == at[:-1]
-                third = np.where(np.append(at[2:], -1) == at[:-1], np.append(w[2:], NONE), NONE)
-                keys, doc = (w[:-1] << 2 * BITS | w[1:] << BITS | third)[inside], at[:-1][inside]
-                shard = shard_of(keys >> BITS, shard_bits)
+                # behind the last word there is none
+                third = np.append(w[2:], NONE)
+                third[w[1:] == END] = NONE
+                inside = w[:-1] != END
+                pair = (w[:-1] << BITS | w[1:])[inside]
+                shard = shard_of(pair, shard_bits)
                 own = np.flatnonzero(_round(shard, shard_bits, rounds) == r)
-                order = own[np.lexsort((doc[own], keys[own]))]
-                keys, doc, shard = keys[order], doc[order], shard[order]
-                new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))) if len(keys) else np.empty(0, np.int64)
-                n = np.diff(np.append(new, len(keys))).astype(np.uint32)
-                of, keys, doc = shard[new], keys[new], doc[new]
-                # a document's number in the row, in the order of uids, so that the uids pack well
-                mine = uids[first : first + at[-1] + 1] if len(at) else uids[:0]
+                keys, doc, shard = pair[own] << BITS | third[inside][own], at[:-1][inside][own], shard[own]
+                order = np.argsort(keys)
+                # a document's number in the order of uids, so that the uids pack well
+                mine = uids[first : first + int(at[-1]) + 1]
                 by_uid = np.argsort(mine)
-                place = np.empty(len(mine), np.int64)
+                place = np.empty(len(mine), np.uint16)
                 place[by_uid] = np.arange(len(mine))
-                out = []
-                for s, _, data in deal(2, of, keys, place[doc].astype(np.uint16), n):
-                    head = pack(mine[by_uid] - mine.min(), trusted[first : first + len(mine)][by_uid])
-                    out.append((s, 2, int(mine.min()).to_bytes(8, "little", signed=True) + len(head).to_bytes(8, "little") + head + data))
-                yield from to_batches(out)
+                head = pack(mine[by_uid] - mine.min(), trusted[first : first + len(mine)][by_uid])
+                head = int(mine.min()).to_bytes(8, "little", signed=True) + len(head).to_bytes(8, "little") + head
+                yield from to_batches([(s, 2, head + data) for s, _, data in deal(2, shard[order], keys[order], place[doc[order]])])
 
     return map_arrow(rows.select("uid", "trusted", "text"), run, SCHEMA)
 
@@ -366,10 +387,10 @@ def _found(keys: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, s, e) partial sums of documents' entries in one shard after another: the model's rows come before the documents'."""
+    """Packed (uid; s, e) sums of a portion's entries in one shard after another, dealt by portion: the model's rows come before the documents'."""
     shard, model = None, {}
+    held: dict[int, list] = {}
     for batch in batches:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s, kind, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             if s != shard:
                 shard, model = s, {}
@@ -379,34 +400,43 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if not model:
                 continue
-            size = int.from_bytes(data[8:16], "little")
+            least, size = int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:16], "little")
             uid, trusted = unpack(data[16 : 16 + size], np.uint8)
-            uid = uid + int.from_bytes(data[:8], "little", signed=True)
-            keys, doc, n = unpack(data[16 + size :], np.uint16, np.uint32)
+            keys, doc = unpack(data[16 + size :], np.uint16)
             doc = doc.astype(np.int64)
-            s_sum, e_sum = np.zeros(len(uid)), np.zeros(len(uid))
-            for kind_, entry in ((0, keys >> BITS), (1, keys)):
-                known, value, occurs = model[kind_]
+            sums = held.setdefault(least, [uid, np.zeros(len(uid)), np.zeros(len(uid))])
+            for of, entry in ((0, keys >> BITS), (1, keys)):
+                known, value, occurs = model[of]
                 at, hit = _found(entry, known)
                 hit = np.flatnonzero(hit)
                 at, d = at[hit], doc[hit]
-                gain = value[at] * n[hit]
-                s_sum += np.bincount(d, gain, len(uid))
+                gain = value[at]
+                sums[1] += np.bincount(d, gain, len(uid))
+                sums[2] += np.bincount(d, gain, len(uid))
                 # what a trusted document alone has brought into the model doesn't count for it
-                own = n[hit].astype(np.int64)
-                if kind_ == 0:
-                    group = at * len(uid) + d
-                    _, which = np.unique(group, return_inverse=True)
-                    own = np.bincount(which, own)[which] if len(which) else own
-                shared = (trusted[d] == 0) | (occurs[at] > own)
-                e_sum += np.bincount(d[shared], gain[shared], len(uid))
-            some = np.flatnonzero((s_sum != 0) | (e_sum != 0))
-            out.append((uid[some], s_sum[some], e_sum[some]))
-        if out:
-            # a task's rows of one document are added up as far as they are at hand
-            uid, s_all, e_all = (np.concatenate(x) for x in zip(*out, strict=True))
-            distinct, which = np.unique(uid, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(which, s_all, len(distinct)).astype(np.float32)), pa.array(np.bincount(which, e_all, len(distinct)).astype(np.float32))], names=["uid", "s", "e"])
+                mine = trusted[d] != 0
+                group, n = _distinct(at[mine] * len(uid) + d[mine])
+                at, d = group // len(uid), group % len(uid)
+                alone = occurs[at] <= n
+                sums[2] -= np.bincount(d[alone], (value[at] * n)[alone], len(uid))
+    rows = []
+    for least, (uid, s_sum, e_sum) in held.items():
+        some = np.flatnonzero((s_sum != 0) | (e_sum != 0))
+        if len(some):
+            # in the order of unsigned numbers, as keys are packed
+            keys = (uid + np.int64(least))[some].view(np.uint64)
+            order = np.argsort(keys)
+            portion = int(hash_of(np.array([least]))[0] >> np.uint64(33))
+            rows.append((portion, 0, pack(keys[order], s_sum[some][order].astype(np.float32), e_sum[some][order].astype(np.float32))))
+    yield from to_batches(rows)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, s2, e2) of a portion's packed sums."""
+    for _, rows in by_shard(batches):
+        uid, s, e = merged([unpack(d, np.float32, np.float32) for _, d in rows])
+        at = starts(uid)
+        yield pa.RecordBatch.from_arrays([pa.array(uid[at]), *[pa.array(np.add.reduceat(x.astype(np.float64), at)) for x in (s, e)]], names=["uid", "s2", "e2"])
 
 
 def word_scores(rows: DataFrame, model: WordModel) -> DataFrame:
@@ -421,7 +451,8 @@ def word_scores(rows: DataFrame, model: WordModel) -> DataFrame:
     texts = rows.where(F.trim("text") != "")
     for r, shards in enumerate(model.shards):
         met = exchange(shards.union(_document_rows(texts, model.shard_bits, r, rounds)), model.partitions)
-        sums.append(shared_table(map_arrow(met, _look_up, "uid bigint, s float, e float").groupBy("uid").agg(F.sum("s").cast("float").alias("s2"), F.sum("e").cast("float").alias("e2")), "kn-sums"))
+        found = exchange(map_arrow(met, _look_up, SCHEMA), model.partitions)
+        sums.append(shared_table(map_arrow(found, _add_up, "uid bigint, s2 double, e2 double"), "kn-sums"))
     longer = reduce(DataFrame.union, sums).groupBy("uid").agg(F.sum("s2").alias("s2"), F.sum("e2").alias("e2"))
     mean = lambda c: -(F.col(c) + F.coalesce(F.col(c + "2"), F.lit(0.0))) / F.col("words") - model.words.unknown
     out = single.join(longer, "uid", "left").select("uid", "id", "lang", "trusted", "words", "novel", mean("s").alias("mean"), mean("e").alias("mean_elsewhere"))
