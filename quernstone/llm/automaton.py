@@ -100,18 +100,17 @@ class _Parser:
 
 
 class Nfa:
-    """Epsilon-automaton of several rules with a common start state 0."""
+    """Epsilon-automaton of several rules with a common start state 0; ``backward`` reads the rules from their ends."""
 
-    def __init__(self, rules: list[tuple[str, bool]]):
+    def __init__(self, rules: list[tuple[str, bool]], backward: bool = False):
+        self.backward = backward
         self.moves: list[list[tuple[frozenset, int]]] = [[]]
         self.free: list[list[int]] = [[]]
         self.accepts: dict[int, int] = {}
-        self.owner: list[int] = [-1]
         for number, (pattern, fold) in enumerate(rules):
             start = self.state()
             self.free[0].append(start)
             self.accepts[self.build(_Parser(pattern, fold).alternatives(), start)] = number
-            self.owner += [number] * (len(self.moves) - len(self.owner))
 
     def state(self) -> int:
         self.moves.append([])
@@ -125,7 +124,7 @@ class Nfa:
             self.moves[at].append((body, end := self.state()))
             return end
         if kind == "seq":
-            for part in body:
+            for part in reversed(body) if self.backward else body:
                 at = self.build(part, at)
             return at
         end = self.state()
@@ -169,14 +168,14 @@ class Dfa:
         return len(self.step) // 256
 
 
-def compile_rules(rules: list[tuple[str, bool]], search: bool) -> Dfa:
+def compile_rules(rules: list[tuple[str, bool]], starts: bool) -> Dfa:
     """One minimal automaton for (pattern, fold ASCII case) rules.
 
-    search: a match may begin at any byte, and a rule's threads end where it
-    accepts, so that one pass over a text reports each rule that matches
-    somewhere; else matches begin at the first byte and all their ends are kept.
+    starts: the automaton reads a text from its end, once, and is in a state that accepts a
+    rule wherever a match of the rule starts; else it reads forwards, matches begin
+    at the first byte and all their ends are accepted.
     """
-    nfa = Nfa(rules)
+    nfa = Nfa(rules, starts)
     # bytes that no rule tells apart share a class
     signature: dict[int, list[int]] = {b: [] for b in range(256)}
     for k, s in enumerate({s for moves in nfa.moves for s, _ in moves}):
@@ -192,13 +191,11 @@ def compile_rules(rules: list[tuple[str, bool]], search: bool) -> Dfa:
     for subset in order:  # grows while it is walked
         done = {nfa.accepts[s] for s in subset if s in nfa.accepts}
         accepted.append(tuple(sorted(done)))
-        if search and done:
-            subset = frozenset(s for s in subset if nfa.owner[s] not in done)
         row = []
         for c in range(len(classes)):
             b = sample[c]
             reached = {t for s in subset for chars, t in nfa.moves[s] if b in chars}
-            target = nfa.closure(reached | {0}) if search else nfa.closure(reached)
+            target = nfa.closure(reached | {0}) if starts else nfa.closure(reached)
             if target not in numbers:
                 numbers[target] = len(order)
                 order.append(target)
@@ -230,9 +227,10 @@ def compile_rules(rules: list[tuple[str, bool]], search: bool) -> Dfa:
     return Dfa(step, place[block[0]], accepting, min(accepting, default=256 * len(ranked)), dead)
 
 
-def first_bytes(dfa: Dfa) -> bytes:
-    """256 flags: whether a match of an anchored automaton can begin with the byte."""
-    return bytes(dfa.step[dfa.start + b] != dfa.dead for b in range(256))
+def ends_at_once(dfa: Dfa) -> bool:
+    """Whether an anchored automaton is dead as soon as it leaves its accepting states, so that a walk reads one byte beyond a match at most."""
+    reached = {int(t) for s in dfa.accepting for t in dfa.step[s : s + 256]}
+    return all(t == dfa.dead or t in dfa.accepting for t in reached)
 
 
 def longest_from(dfa: Dfa, data: bytes, at: int) -> int:

@@ -1,11 +1,12 @@
 """Secret scan with one combined deterministic automaton.
 
-All rules are compiled into one search automaton (``automaton.compile_rules``);
-a text is walked once, byte by byte, and the pass tells which rules match
-somewhere. Only texts with a hit, and only the
-rules hit there, are walked again with the rule's own anchored automaton, which
-gives leftmost, longest, non-overlapping spans. Offsets are turned into code
-points at the end. All of it is ASCII rules over UTF-8 bytes, so a match can
+All rules are compiled into one automaton (``automaton.compile_rules``) that reads a
+text once, byte by byte, from its end, and is in an accepting state wherever a match of a
+rule starts. So the pass gives the starts of all rules' matches; from the leftmost, the
+rule's own automaton walks over the match to its longest end, and the next match is
+the leftmost start behind it. Every byte is read once for all rules and once more for each
+match that holds it: linear in the text, whatever it holds. Offsets are turned into
+code points at the end. All of it is ASCII rules over UTF-8 bytes, so a match can
 never begin or end inside a character.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.automaton import Dfa, compile_rules, first_bytes, longest_from
+from quernstone.llm.automaton import Dfa, compile_rules, ends_at_once, longest_from
 from quernstone.plans import map_arrow
 
 
@@ -66,40 +67,43 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.joint: Dfa = compile_rules([(r.pattern, r.fold) for r in rules], search=True)
-        self.single = [compile_rules([(r.pattern, r.fold)], search=False) for r in rules]
-        self.begins = [first_bytes(d) for d in self.single]
-        self.leads = [compile_rules([(r.lead, r.fold)], search=False) if r.lead else None for r in rules]
-
-    def hits(self, data: bytes) -> set[int]:
-        """Rules that match somewhere, by one pass of the joint automaton."""
-        step, state, first, accepting = self.joint.step, self.joint.start, self.joint.first_accepting, self.joint.accepting
-        seen: set[int] = set()
-        for b in data:
+        self.joint: Dfa = compile_rules([(r.pattern, r.fold) for r in rules], starts=True)
+        self.single = [compile_rules([(r.pattern, r.fold)], starts=False) for r in rules]
+        self.leads = [compile_rules([(r.lead, r.fold)], starts=False) if r.lead else None for r in rules]
+        for r, dfa in zip(rules, self.single, strict=True):
+            if not ends_at_once(dfa):
+                raise ValueError(f"rule {r.kind} may read on behind its match, which isn't linear")
+
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """(position, accepting state) wherever a match of some rule starts, from the left, by one pass from the right."""
+        step, state, first = self.joint.step, self.joint.start, self.joint.first_accepting
+        found = []
+        at = len(data)
+        for b in reversed(data):
+            at -= 1
             state = step[state + b]
             if state >= first:
-                seen.update(accepting[state])
-        return seen
-
-    def rule_spans(self, r: int, data: bytes) -> list[tuple[int, int]]:
-        """Byte spans of rule ``r``, short ones dropped."""
-        rule, dfa, begins, lead = self.rules[r], self.single[r], self.begins[r], self.leads[r]
-        out, at = [], 0
-        while at < len(data):
-            end = longest_from(dfa, data, at) if begins[data[at]] else -1
-            if end <= at:
-                at += 1
-                continue
-            size = end - (longest_from(lead, data, at) if lead else at)
-            if size >= rule.least:
-                out.append((at, end))
-            at = end
+                found.append((at, state))
+        found.reverse()
+        return found
+
+    def byte_spans(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(start, end, rule) in bytes: leftmost, longest matches without overlaps within a rule, short ones dropped."""
+        out = []
+        behind = [0] * len(self.rules)
+        for at, state in self.starts(data):
+            for r in self.joint.accepting[state]:
+                if at >= behind[r]:
+                    end = behind[r] = longest_from(self.single[r], data, at)
+                    lead = self.leads[r]
+                    if end - (longest_from(lead, data, at) if lead else at) >= self.rules[r].least:
+                        out.append((at, end, r))
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, rule) in code points, by start, then rule."""
         data = text.encode("utf-8", "surrogatepass")
-        found = [(s, e, r) for r in self.hits(data) for s, e in self.rule_spans(r, data)]
+        found = self.byte_spans(data)
         if len(data) != len(text):
             marks, chars, last = {}, 0, 0
             for p in sorted({x for s, e, _ in found for x in (s, e)}):

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -27,7 +28,7 @@ from quernstone.llm.licences import Recogniser, scan_licences
 from quernstone.llm.mixing import mix_sources, schedule, source_targets
 from quernstone.llm.pieces import Pieces, piece_digests, piece_ids, read_model
 from quernstone.llm.rows import number_rows
-from quernstone.llm.secrets import RULES, Scanner, scan_secrets, secret_report
+from quernstone.llm.secrets import RULES, Rule, Scanner, scan_secrets, secret_report
 from quernstone.llm.simhash import fingerprint, member_links, simhash_classes
 from tests.compare import rows
 
@@ -218,17 +219,32 @@ def test_secrets(spark, sf_dir, odd, none):
 def test_automaton():
     rng = random.Random(6)
     for pattern in (r"(ab|a)*c?d", r"[a-c]{2,3}x+", r"a(b|cd)?[^a]", r"\x61\d+|b{2,}"):
-        dfa = compile_rules([(pattern, False)], search=False)
-        search = compile_rules([(pattern, False), ("zz", False)], search=True)
+        dfa = compile_rules([(pattern, False)], starts=False)
+        back = compile_rules([(pattern, False), ("zz", False)], starts=True)
         for _ in range(400):
             data = "".join(rng.choice("abcdx1") for _ in range(rng.randrange(12))).encode()
             ends = [e for e in range(len(data) + 1) if re.fullmatch(pattern.encode(), data[:e])]
             assert longest_from(dfa, data, 0) == max([e for e in ends if e], default=-1)
-            state, seen = search.start, False
-            for b in data:
-                state = search.step[state + b]
-                seen |= 0 in search.accepting.get(state, ())
-            assert seen == any(m.end() > m.start() for m in re.finditer(pattern.encode(), data))
+            state, at = back.start, []
+            for i in reversed(range(len(data))):
+                state = back.step[state + data[i]]
+                if 0 in back.accepting.get(state, ()):
+                    at.append(i)
+            assert at[::-1] == [i for i in range(len(data)) if any(re.fullmatch(pattern.encode(), data[i:e]) for e in range(i + 1, len(data) + 1))]
+
+
+def test_secrets_linear():
+    """No text makes the scan go over its bytes again and again; a rule that would is refused."""
+    scanner = Scanner()
+    for part in ("eyJ", "eyJa.eyJ", "token=", "postgres://a:", "mysql://x:y", "0f", "AKIA", "sk_live_"):
+        text = part * (300_000 // len(part))
+        began = time.perf_counter()
+        scanner.spans(text)
+        assert time.perf_counter() - began < 3
+    jwt = "eyJ" * 5000 + ".eyJab.cd" + " " * 9
+    assert [(s, e, RULES[r].kind) for s, e, r in scanner.spans(jwt) if RULES[r].kind == "jwt"] == [(0, len(jwt) - 9, "jwt")]
+    with pytest.raises(ValueError):
+        Scanner((Rule("late", "a(b*c)?"),))
 
 
 # --- licences ---
