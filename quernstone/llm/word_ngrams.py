@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,46 +40,84 @@ BITS = 21
 SLOTS = 1 << BITS
 NONE, EDGE, END = 0, 1, 2
 _LOW = SLOTS - 1
-#: Texts are handled in portions of about so many characters.
-_PORTION = 5_000_000
-_CACHED = 1_000_000
-#: How an edge and the end are written between joined texts; texts themselves get no NUL.
-_EDGE, _END = "\0e", "\0z"
+#: Texts are handled in portions of at most so many bytes, longer ones alone.
+_PORTION = 3_000_000
+_BASE = 0x9E3779B97F4A7C15
+_FINISH = np.uint64(0xD6E8FEB86659FD93)
 
+# Bytes that part words, and one of which may go in front of a word or behind it.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_OPENS = np.zeros(256, bool)
+_OPENS[list(b"(\"'")] = True
+_CLOSES = np.zeros(256, bool)
+_CLOSES[list(b".,;:?!)\"'")] = True
 
-class Slots(dict):
-    """The slot of each word, worked out when it is first met.
+
+class Slots:
+    """Slots of the words of texts, worked out for many texts at once.
 
     A word is a run of other characters than white space, lower-cased, without one opening
-    mark in front and one sentence mark behind; other signs belong to it.
+    mark in front and one sentence mark behind; other signs belong to it. Its hash is a
+    polynomial of its bytes, taken from sums over all bytes of the texts.
     """
 
-    def __missing__(self, raw: str) -> int:
-        if raw in (_EDGE, _END):
-            return EDGE if raw == _EDGE else END
-        w = raw[1:] if raw[0] in "(\"'" and len(raw) > 1 else raw
-        w = w[:-1] if w[-1] in ".,;:?!)\"'" and len(w) > 1 else w
-        n = self[raw] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % (SLOTS - 3) + 3
-        return n
-
-
-def _portions(texts: list[str | None], known: Slots) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, slots, number of the text within the portion); null texts count as empty.
-
-    A text is its words' slots between two edges in front and the end.
-    """
-    first, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(text.replace("\0", "\1") if text and "\0" in text else text or "")
-        size += len(held[-1])
-        if size >= _PORTION or len(held) == 65535 or i == len(texts) - 1:
-            if len(known) > _CACHED:
-                known.clear()
-            words = "".join([f"{_EDGE} {_EDGE} {t} {_END} " for t in held]).lower().split()
-            w = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            ended = w == END
-            yield first, w, np.cumsum(ended) - ended
-            first, held, size = i + 1, [], 0
+    def __init__(self) -> None:
+        self.powers = self.inverse = np.empty(0, np.uint64)
+
+    def _reserve(self, n: int) -> None:
+        if len(self.powers) < n:
+            power = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))))
+            self.powers, self.inverse = power(_BASE), power(pow(_BASE, -1, 1 << 64))
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slots, number of the text) of the words of texts that begin at ``offsets`` in ``data`` and end at the next."""
+        n = len(data)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        inside = ~_SPACE[data]
+        cut = np.zeros(n + 1, bool)
+        cut[offsets] = True
+        before = np.empty(n, bool)
+        before[0], before[1:] = False, inside[:-1]
+        begin = np.flatnonzero(inside & (~before | cut[:-1]))
+        before[:-1], before[-1] = inside[1:], False
+        end = np.flatnonzero(inside & (~before | cut[1:])) + 1
+        text = np.searchsorted(offsets, begin, side="right") - 1
+        begin = begin + (_OPENS[data[begin]] & (end - begin > 1))
+        end = end - (_CLOSES[data[end - 1]] & (end - begin > 1))
+        self._reserve(n)
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(self.powers[:n] * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+        h = (sums[end] - sums[begin]) * self.inverse[begin]
+        h ^= h >> np.uint64(32)
+        h *= _FINISH
+        return ((h >> np.uint64(32)) % np.uint64(SLOTS - 3)).astype(np.int64) + 3, text
+
+    def portions(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, slots, number of the text within the portion); null texts count as empty.
+
+        A text is its words' slots between two edges in front and the end.
+        """
+        lower = pc.utf8_lower(pc.fill_null(column, "")).cast(pa.large_string())
+        if not len(lower):
+            return
+        _, places, data = lower.buffers()
+        offsets = np.frombuffer(places, np.int64)[lower.offset : lower.offset + len(lower) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        first = 0
+        while first < len(lower):
+            last = int(np.searchsorted(offsets, offsets[first] + _PORTION, side="right")) - 1
+            last = min(max(last, first + 1), first + 65535, len(lower))
+            slots, text = self.words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            docs = last - first
+            w = np.full(len(slots) + 3 * docs, EDGE, np.int64)
+            w[np.arange(len(slots)) + 3 * text + 2] = slots
+            sizes = np.bincount(text, minlength=docs) + 3
+            w[np.cumsum(sizes) - 1] = END
+            yield first, w, np.repeat(np.arange(docs), sizes)
+            first = last
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +131,9 @@ def trigram_rows(texts: DataFrame, shard_bits: int) -> DataFrame:
     """Packed (v w u, n) of the texts' trigrams u v w, dealt by (v, w); tasks count their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Slots()
+        slots = Slots()
         for batch in batches:
-            for _, w, at in _portions(batch.column(0).to_pylist(), known):
+            for _, w, at in slots.portions(batch.column(0)):
                 # a text without a word has nothing but the edges and the end
                 inside = (at[2:] == at[:-2]) & ((w[1:-1] != EDGE) | (w[2:] != END))
                 keys, n = _distinct((w[1:-1] << 2 * BITS | w[2:] << BITS | w[:-2])[inside])
@@ -292,7 +330,7 @@ def estimate(texts: DataFrame, words: Words, shard_bits: int, partitions: int, r
     return [one(r) for r in range(rounds)]
 
 
-def train_words(trusted: DataFrame, text_col: str = "text", rounds: int = 4, shard_words: int = 1 << 17) -> WordModel | None:
+def train_words(trusted: DataFrame, text_col: str = "text", rounds: int = 6, shard_words: int = 1 << 17) -> WordModel | None:
     """The model of all rows of ``trusted``, or None if they have no text.
 
     Shards hold about ``shard_words`` trigrams at most.
@@ -317,10 +355,10 @@ def _single_words(rows: DataFrame, words: Words) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, occurs = shared.value
-        known = Slots()
+        slots = Slots()
         for batch in batches:
             own = batch.column(3).to_numpy(zero_copy_only=False)
-            for first, w, at in _portions(batch.column(4).to_pylist(), known):
+            for first, w, at in slots.portions(batch.column(4)):
                 docs = int(at[-1]) + 1
                 part = batch.slice(first, docs)
                 words = np.bincount(at) - 2
@@ -352,11 +390,11 @@ def _document_rows(rows: DataFrame, shard_bits: int, r: int, rounds: int) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Slots()
+        slots = Slots()
         for batch in batches:
             uids = batch.column(0).to_numpy()
             trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-            for first, w, at in _portions(batch.column(2).to_pylist(), known):
+            for first, w, at in slots.portions(batch.column(2)):
                 # behind the last word there is none
                 third = np.append(w[2:], NONE)
                 third[w[1:] == END] = NONE
