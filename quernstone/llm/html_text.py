@@ -2,10 +2,11 @@
 
 A page becomes a sequence of words and tags. Elements that are never content (menus,
 forms, scripts, notices, reader comments, ...) are taken out with all they hold. Of the rest,
-each word scores +1 and each tag a negative weight, learnt from labelled pages: how much
-more often the tag stands outside the main text than inside. One linear scan finds the
-contiguous region with the highest sum. Its text is given by whole blocks: the region is
-widened to the children of the smallest element that holds it.
+each word scores positive, less within links, and each tag negative, with weights learnt from
+labelled pages: how much more often a tag, or a word of a link, stands outside the main text
+than inside. One linear scan finds the contiguous region with the highest sum. Its text is
+given by whole blocks: the region is widened to the smallest element that holds it, and below
+the body to the children that lie in it for the most part.
 """
 
 from __future__ import annotations
@@ -47,8 +48,11 @@ comment comments commentlist respond reply replies disqus discussion widget widg
 #: Words of class or id that name the article itself: with one of them, ``header`` doesn't exclude.
 OWN = frozenset("article post entry content story main body page".split())
 CONTENT = frozenset(["article", "main"])
-#: Tags nested deeper than this open no element, as in browsers.
-MOST_DEPTH = 512
+#: A short block of one of these kinds that begins so is a notice of rights, if it isn't in an article or main.
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
+_RIGHTS_IN = frozenset("div section td center address".split())
+#: The weight of a word within a link has this name among the tags' weights.
+LINK_WORD = "a word"
 #: Names of page parts that also turn up in names of wrappers, and the words that wrappers have.
 PARTS = frozenset("sidebar sidebars nav navbar navigation menu footer foot topbar toolbar search widget widgets login skip banner header".split())
 WRAPPERS = frozenset("layout wrapper wrap has with no container page site grid".split())
@@ -56,14 +60,16 @@ WRAPPERS = frozenset("layout wrapper wrap has with no container page site grid".
 
 @dataclass(slots=True)
 class Element:
-    """An element; ``words`` counts all words inside, ``content`` whether an article or main is inside."""
+    """An element; ``words`` counts all words inside, ``content`` whether an article or main is inside, ``link`` whether it is in a link."""
 
     name: str
     parent: int
     depth: int
     out: bool = False
+    link: bool = False
     words: int = 0
     content: bool = False
+    said: bool = False
 
 
 @dataclass(slots=True)
@@ -98,6 +104,8 @@ def parse(source: str) -> Page:
     page = Page()
     elements, tokens = page.elements, page.tokens
     stack, at, n = [0], 0, len(source)
+    # places in the stack of the open elements of each name, so that no depth makes a look-up long
+    places: dict[str, list[int]] = {}
     last_end = source.rfind(">")
 
     def text(piece: str) -> None:
@@ -108,14 +116,15 @@ def parse(source: str) -> Page:
         elif piece:
             tokens.append((stack[-1], " ", ""))
 
+    def innermost(names: set[str] | frozenset[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def shut(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            name = elements[stack[k]].name
-            if name in names:
-                del stack[k:]
-                return
-            if name in stop:
-                return
+        k = innermost(names)
+        if k and k >= innermost(stop):
+            for e in stack[k:]:
+                places[elements[e].name].pop()
+            del stack[k:]
 
     while at < n:
         # without an end to come there is no tag to look for
@@ -131,7 +140,7 @@ def parse(source: str) -> Page:
         if not name:
             continue
         if m[1] or m[4]:
-            if name == "p" and not any(elements[e].name == "p" for e in stack):
+            if name == "p" and not places.get("p"):
                 tokens.append((stack[-1], None, "p"))
             elif name not in ("body", "html"):
                 shut({name}, CONTENT - {name})
@@ -142,16 +151,26 @@ def parse(source: str) -> Page:
             shut({"p"}, SCOPES | {"li", "td", "th", "dd", "dt", "blockquote", "form"})
         if name in SIBLINGS:
             shut(SIBLINGS[name], SCOPES - {"div"})
-        inside = any(elements[e].name in CONTENT for e in stack)
+        inside = any(places.get(x) for x in CONTENT)
         tokens.append((stack[-1], None, name))
-        if name in VOID or len(stack) > MOST_DEPTH and name not in RAW or attributes.endswith("/") and name not in BLOCKS and name not in RAW:
+        if name in VOID or attributes.endswith("/") and name not in BLOCKS and name not in RAW:
             continue
-        elements.append(Element(name, stack[-1], len(stack), name not in ("body", "html") and _excluded(name, attributes, inside)))
+        elements.append(Element(name, stack[-1], len(stack), name not in ("body", "html") and _excluded(name, attributes, inside), name == "a" or elements[stack[-1]].link))
         if name in RAW:
             end = re.compile(f"</{name}(?![a-zA-Z0-9-])[^>]*>", re.I).search(source, at)
             at = end.end() if end else n
             continue
+        places.setdefault(name, []).append(len(stack))
         stack.append(len(elements) - 1)
+    home: list[bool] = []
+    for e in elements:
+        home.append(e.name in CONTENT or e.parent >= 0 and home[e.parent])
+    for k, piece, _ in tokens:
+        e = elements[k]
+        if piece is not None and not e.said and piece != " ":
+            e.said = True
+            if e.name in _RIGHTS_IN and not home[k] and e.words < 40 and _RIGHTS.match(piece):
+                e.out = True
     for e in reversed(elements[1:]):
         up = elements[e.parent]
         up.words += e.words
@@ -171,24 +190,17 @@ def _alive(page: Page) -> list[bool]:
     return alive
 
 
-def best_region(page: Page, alive: list[bool], weights: dict[str, float], unknown: float = -2.0, wall: float = -1e6) -> tuple[int, int]:
-    """First and last token of the best region by one scan, (0, -1) if there is no word.
-
-    The bounds of an article or main element are walls: a region is inside or outside. On
-    a page with such an element, words outside it score little.
-    """
+def best_region(page: Page, alive: list[bool], weights: dict[str, float], unknown: float = -2.0) -> tuple[int, int]:
+    """First and last token of the best region by one scan, (0, -1) if there is no word."""
     best, best_at, total, start = 0.0, (0, -1), 0.0, 0
-    home: list[bool] = []
-    for e in page.elements:
-        home.append(e.name in CONTENT or e.parent >= 0 and home[e.parent])
-    outside = 0.01 if any(h and a and e.words for h, a, e in zip(home, alive, page.elements, strict=True)) else 1.0
+    link_word = weights.get(LINK_WORD, 1.0)
     for k, (e, text, tag) in enumerate(page.tokens):
         if not alive[e]:
             continue
         if text is None:
-            total += wall if tag in CONTENT else weights.get(tag, unknown)
+            total += weights.get(tag, unknown)
         else:
-            total += len(text.split()) * (1.0 if home[e] else outside)
+            total += len(text.split()) * (link_word if page.elements[e].link else 1.0)
         if total <= 0:
             total, start = 0.0, k + 1
         elif text is not None and total > best:
@@ -204,7 +216,12 @@ def _chain(page: Page, e: int) -> list[int]:
 
 
 def widen(page: Page, alive: list[bool], first: int, last: int) -> tuple[int, int]:
-    """The region with whole children of the smallest element that holds it; all of an article or main."""
+    """The region as whole blocks.
+
+    If the smallest element that holds it is a block, that is taken whole, and so is an article or
+    main that it is in. If it is the body, those of its children are taken, from the first to the
+    last, that have at least half of their words in the region.
+    """
     live = [k for k in range(first, last + 1) if page.tokens[k][1] is not None and alive[page.tokens[k][0]] and page.tokens[k][1] != " "]
     chains = [_chain(page, page.tokens[k][0]) for k in (live[0], live[-1])]
     common = 0
@@ -213,19 +230,30 @@ def widen(page: Page, alive: list[bool], first: int, last: int) -> tuple[int, in
             break
         common = a
     whole = next((e for e in reversed(_chain(page, common)) if page.elements[e].name in CONTENT), None)
+    # the block that holds an inline element is taken whole
+    while whole is None and page.elements[common].parent >= 0 and page.elements[common].name not in BLOCKS:
+        common = page.elements[common].parent
+    if whole is None and page.elements[common].name not in ("", "html", "body"):
+        whole = common
     if whole is not None:
-        inside = {whole}
-    else:
-        # the block that holds an inline element is taken whole
-        while page.elements[common].parent >= 0 and page.elements[common].name not in BLOCKS:
-            common = page.elements[common].parent
-        depth = page.elements[common].depth
-        inside = {c[depth + 1] if len(c) > depth + 1 else common for c in chains} if page.elements[common].name in ("", "html", "body") else {common}
-    held = [False] * len(page.elements)
+        held = [False] * len(page.elements)
+        for k, e in enumerate(page.elements):
+            held[k] = k == whole or e.parent >= 0 and held[e.parent]
+        own = [k for k, t in enumerate(page.tokens) if held[t[0]] and t[1] is not None]
+        return own[0], own[-1]
+    # the child of ``common`` that each element is in
+    child = [-1] * len(page.elements)
     for k, e in enumerate(page.elements):
-        held[k] = k in inside or e.parent >= 0 and held[e.parent]
-    own = [k for k, t in enumerate(page.tokens) if held[t[0]] and t[1] is not None]
-    return min(own[0], first) if whole is None else own[0], max(own[-1], last) if whole is None else own[-1]
+        child[k] = k if e.parent == common else child[e.parent] if e.parent >= 0 else -1
+    words: Counter = Counter()
+    found: Counter = Counter()
+    for k, (e, text, _) in enumerate(page.tokens):
+        if text is not None and alive[e]:
+            n = len(text.split())
+            words[child[e]] += n
+            found[child[e]] += n if first <= k <= last else 0
+    own = [k for k, (e, text, _) in enumerate(page.tokens) if text is not None and alive[e] and text != " " and (2 * found[child[e]] >= words[child[e]] if child[e] >= 0 else first <= k <= last)]
+    return (own[0], own[-1]) if own else (first, last)
 
 
 def region_text(page: Page, alive: list[bool], first: int, last: int) -> str:
@@ -261,7 +289,10 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
 
 
 def tag_counts(source: str | None) -> Counter | None:
-    """(tag, inside) counts of a page that labels its main text by one article or main element, else None."""
+    """(tag, inside) counts of a page that labels its main text by one article or main element, else None.
+
+    The label's own tags count as outside, and as tags of a ``div`` too, so that pages without the label are learnt as well.
+    """
     page = parse(source or "")
     homes = [k for k, e in enumerate(page.elements) if e.name in CONTENT and not e.out]
     if len(homes) != 1 or not page.elements[homes[0]].words:
@@ -270,20 +301,35 @@ def tag_counts(source: str | None) -> Counter | None:
     for k, e in enumerate(page.elements):
         inside[k] = k == homes[0] or e.parent >= 0 and inside[e.parent]
     alive = _alive(page)
-    return Counter((tag, inside[e] and alive[e]) for e, text, tag in page.tokens if text is None)
+    out: Counter = Counter()
+    for e, text, tag in page.tokens:
+        if text is not None:
+            out["word", inside[e] and alive[e]] += len(text.split())
+            if page.elements[e].link:
+                out[LINK_WORD, inside[e] and alive[e]] += len(text.split())
+        else:
+            out[tag, inside[e] and alive[e] and tag not in CONTENT] += 1
+            if tag in CONTENT:
+                out["div", False] += 1
+    return out
 
 
 # Prior counts of tags (inside, outside main text) that stand for plain pages.
-PRIOR = {"p": (40, 2), "br": (10, 2), "b": (5, 1), "i": (5, 1), "em": (5, 1), "strong": (5, 1), "span": (4, 4), "a": (4, 8), "h1": (5, 1), "h2": (8, 2), "h3": (8, 3), "blockquote": (5, 1), "pre": (5, 1), "code": (5, 1), "ul": (2, 6), "ol": (3, 2), "li": (4, 12), "img": (3, 3), "figure": (4, 1), "figcaption": (4, 1), "table": (2, 2), "tr": (4, 4), "td": (8, 8), "th": (4, 4), "div": (4, 16), "section": (3, 5)}
+PRIOR = {"article": (1, 400), "main": (1, 400), "p": (40, 2), "br": (10, 2), "b": (5, 1), "i": (5, 1), "em": (5, 1), "strong": (5, 1), "span": (4, 4), "a": (4, 8), "h1": (5, 1), "h2": (8, 2), "h3": (8, 3), "blockquote": (5, 1), "pre": (5, 1), "code": (5, 1), "ul": (2, 6), "ol": (3, 2), "li": (4, 12), "img": (3, 3), "figure": (4, 1), "figcaption": (4, 1), "table": (2, 2), "tr": (4, 4), "td": (8, 8), "th": (4, 4), "div": (4, 16), "section": (3, 5)}
 
 
 def learn_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Negative weight of each tag: log odds of standing inside the main text, from -8 to -0.1."""
-    tags = {t for t, _ in counts} | set(PRIOR)
+    """Negative weight of each tag: log odds of standing inside the main text, from -8 to -0.1; and of a link's word, from 0.05 to 1.
+
+    The latter is its odds of standing inside, against those of any word.
+    """
+    tags = {t for t, _ in counts} - {"word", LINK_WORD} | set(PRIOR)
     out = {}
     for t in tags:
         a, b = PRIOR.get(t, (1, 4))
         out[t] = max(-8.0, min(-0.1, math.log((counts.get((t, True), 0) + a) / (counts.get((t, False), 0) + b))))
+    odds = lambda t, a, b: (counts.get((t, True), 0) + a) / (counts.get((t, False), 0) + b)
+    out[LINK_WORD] = max(0.05, min(1.0, odds(LINK_WORD, 10, 100) / odds("word", 100, 100)))
     return out
 
 
