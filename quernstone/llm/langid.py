@@ -1,9 +1,9 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is cut from a bounded
-sample of labelled documents. A text is coded with every dictionary, and the
+For each language a raw-content zstandard dictionary is made of a bounded sample of
+labelled documents, of whole texts in the order of a hash. A text is coded with every dictionary, and the
 language that gives the fewest bytes is the answer; where the best two are close,
-the answer is marked as rejected. Texts are coded whole, as their distinct
+the answer is marked as rejected. All of a text is read; it is coded as its distinct
 lower-cased words in order, in blocks, so that a text can't become its own
 dictionary and repetition doesn't drown the rest.
 """
@@ -30,25 +30,29 @@ def normal_words(text: str) -> bytes:
     return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode("utf-8", "replace")
 
 
-def language_samples(docs: DataFrame, lang_col: str, text_col: str, id_col: str, per_language: int, chars: int) -> dict[str, list[str]]:
-    """Up to about ``per_language`` texts for each language, chosen by a hash of the id.
+def language_samples(docs: DataFrame, lang_col: str, text_col: str, per_language: int) -> dict[str, list[str]]:
+    """Up to about ``per_language`` whole texts for each language, in the order of a hash of the text.
 
-    Each contributes its first ``chars`` characters; equal texts count once. The sample is
-    bounded by languages * per_language * chars and is all that reaches the driver.
+    Texts are chosen by that hash, so equal texts count once however often they occur; the bound on
+    the number of texts is what limits the sample that reaches the driver.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    mark = F.xxhash64("text")
+    # distinct texts of each language, counted by their hashes
+    counts = {r[0]: r[1] for r in rows.select("lang", mark.alias("mark")).distinct().groupBy("lang").agg(F.count(F.lit(1))).collect()}
     if not counts:
         return {}
-    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.pmod(mark, F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = None
     for lang, n in sorted(counts.items()):
-        hit = (F.col(lang_col) == lang) & (share < per_language / n)
+        hit = (F.col("lang") == lang) & (share < per_language / n)
         chosen = hit if chosen is None else chosen | hit
-    found: dict[str, set[str]] = {lang: set() for lang in counts}
-    for lang, text in rows.where(chosen).select(lang_col, F.substring(text_col, 1, chars)).collect():
-        found[lang].add(text)
-    return {lang: sorted(texts) for lang, texts in found.items()}
+    # one row for each hash before anything is sent on
+    kept = rows.where(chosen).groupBy("lang", mark.alias("mark")).agg(F.first("text").alias("text")).orderBy("lang", "mark")
+    found: dict[str, list[str]] = {lang: [] for lang in counts}
+    for lang, _, text in kept.collect():
+        found[lang].append(text)
+    return found
 
 
 class Coders:
@@ -76,15 +80,18 @@ class Coders:
 
 
 def dictionaries(samples: dict[str, list[str]], size: int) -> dict[str, bytes]:
+    """Dictionaries of the samples' distinct words, in the order of the texts, up to the word that fills ``size`` bytes."""
     out = {}
     for lang, texts in samples.items():
-        data = b" ".join(normal_words(t) for t in texts)[:size]
+        words = dict.fromkeys(w for t in texts for w in _WORD.findall(t.lower()))
+        data = " ".join(words).encode("utf-8", "replace")
+        data = data if len(data) <= size else data[: data.rfind(b" ", 0, size)]
         if len(data) >= 8:
             out[lang] = data
     return out
 
 
-def identify_language(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 64, sample_chars: int = 1500, dictionary_bytes: int = 65536) -> DataFrame:
+def identify_language(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 64, dictionary_bytes: int = 65536) -> DataFrame:
     """(id, lang_pred, score, rejected) for each row of ``docs``.
 
     Only the text decides. ``labelled`` gives the languages: null texts and null
@@ -92,7 +99,7 @@ def identify_language(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_i
     without any labelled text give ``und`` with score 0. Repeated rows are
     answered as often as they occur; an empty table gives an empty result.
     """
-    samples = language_samples(labelled, lang_col, text_col, id_col, per_language, sample_chars)
+    samples = language_samples(labelled, lang_col, text_col, per_language)
     dicts = dictionaries(samples, dictionary_bytes)
     order = {lang: k for k, lang in enumerate(sorted(dicts, key=lambda x: (-len(samples[x]), x)))}
     shared = docs.sparkSession.sparkContext.broadcast((dicts, order))
