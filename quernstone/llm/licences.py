@@ -145,8 +145,7 @@ class Recogniser:
             said = m[0]
             if not said or said.isspace():
                 continue
-            # a piece longer than any known sentence with its marks is none
-            key = normal(said) if len(said) <= 4 * self.longest else "-" * (self.longest + 1)
+            key = normal(said)
             if not key:
                 continue
             recent.append((key, m.start() + len(said) - len(said.lstrip())))

@@ -184,6 +184,36 @@ def test_language(spark, sf_dir, odd, none):
     assert L.identify_language(none, odd).count() == 0
 
 
+def test_language_samples(spark, odd):
+    """Whole texts, each once however often it occurs, bounded in number; dictionaries hold whole words up to their size."""
+    rows = [(f"text number {k} " + "x" * 5000, "en") for k in range(300)] + [("the same copy", "en")] * 500 + [("un texte", "fr"), (None, "fr"), ("no language", None)]
+    found = L.language_samples(spark.createDataFrame(rows, "text string, lang string"), "lang", "text", 40)
+    assert set(found) == {"en", "fr"} and found["fr"] == ["un texte"]
+    assert 15 <= len(found["en"]) <= 80 and len(set(found["en"])) == len(found["en"])
+    assert all(len(t) > 5000 or t == "the same copy" for t in found["en"])
+    cut = L.dictionaries({"en": ["zeta alpha beta gamma alpha"]}, 12)["en"]
+    assert cut == b"zeta alpha"
+
+
+def test_language_choice():
+    """The choice is the smallest coding by dictionaries, coded here one by one."""
+    import zstandard
+
+    rng = random.Random(9)
+    words = {lang: ["".join(rng.choice(a) for _ in range(5)) for _ in range(200)] for lang, a in (("p", "abcdefg"), ("q", "hijklmn"), ("r", "opqrstu"))}
+    dicts = L.dictionaries({k: [" ".join(v)] for k, v in words.items()}, 65536)
+    coders, order = L.Coders(dicts), {"p": 0, "q": 1, "r": 2}
+    for _ in range(60):
+        text = " ".join(rng.choice(words[rng.choice("pqr")]) for _ in range(rng.randrange(1, 30)))
+        data = L.normal_words(text)
+        size = {}
+        for k, d in dicts.items():
+            coder = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=3, target_length=0, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False), dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            size[k] = sum(len(coder.compress(bytes(64) + data[i : i + 2048])) for i in range(0, len(data), 2048))
+        lang, score, _ = coders.classify(text, order)
+        assert lang == min(size, key=lambda k: (size[k], order[k])) and 0 <= score <= 1
+
+
 # --- secrets ---
 
 def brute_secrets(text):
@@ -257,6 +287,7 @@ def test_licences(spark, odd, none):
     assert find("// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.") == ["Apache-2.0"]
     assert find("it was not released under the MIT License today") == []
     assert find("This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0.") == ["GPL-3.0", "CC-BY-NC-4.0"]
+    assert find("Released under the" + " " * 3000 + "MIT License.") == ["MIT"]
     text = "é. Released under the MIT License."
     assert r.licences(r.sentences(text)) == [("MIT", 3, len(text))]
     assert len(find("Released under the MIT License.\n" * 3000)) == 3000
@@ -509,11 +540,41 @@ def test_main_text(spark, sf_dir, none):
         inner = re.sub(r"</?b>", "", h[h.index("<article>") + 9 : h.index("</article>")])
         blocks = [" ".join(html.unescape(x).split()) for x in re.split("<[^>]*>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+    learnt = H.train_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    for r in got:
+        # with the labels hidden, the scan finds the same text
+        assert H.main_text(re.sub("(</?)article>", r"\1div>", pages[r.page_id]), learnt) == r.text
     odd_pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>x y</p>"), (1, None, None)], "page_id long, url string, html string")
     assert sorted(r.text for r in H.extract_text(odd_pages, H.train_weights(odd_pages)).collect()) == ["", "", "x y"]
     assert H.extract_text(odd_pages.limit(0), w).count() == 0
 
 
+def test_main_text_by_weights(spark, sf_dir):
+    """Links and a copyright line beside the text stay out by the learnt weights alone, in any depth."""
+    w = H.train_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    text = [" ".join(f"word{k}{i}" for i in range(50)) for k in range(3)]
+    links = "".join(f"<li><a href='/{k}'>link {k}</a></li>" for k in range(10))
+    page = f"<html><body><div class='x'><div class='left'><ul>{links}</ul></div><div class='mid'>" + "".join(f"<p>{t}</p>" for t in text) + "</div><div>Copyright 2024 Some Company</div></div></body></html>"
+    assert H.main_text(page, w) == "\n\n".join(text)
+    assert "link 3" in H.main_text(page, dict.fromkeys([*w, "div", "ul", "li", "a", "p"], 0.0) | {H.LINK_WORD: 1.0})
+    deep = "<div>" * 600 + "<nav>Menu of a deep page</nav><p>" + text[0] + "</p>" + "</div>" * 600
+    assert H.main_text(deep, w) == text[0]
+    began = time.perf_counter()
+    many = H.main_text("<div><p>" * 20000 + "<i>" * 20000 + text[1] + "</b></u>" * 20000, w)
+    assert text[1] in many and time.perf_counter() - began < 5
+
+
+def test_main_text_odd_pages(spark):
+    w = H.learn_weights({})
+    long = "<article>" + "".join(f"<p>paragraph number {k} of a very long page</p>" for k in range(20000)) + "</article>"
+    rows = [(1, "u", long, "t", 7, "n"), (2, "u", "<p>one two</p><hr><p>one two</p>", None, None, None), (2, "u", "<p>one two</p><hr><p>one two</p>", None, None, None), (3, None, " ", "x", 1, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, id string")
+    got = H.extract_text(pages, w)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted(got.collect(), key=lambda r: (r.page_id, r.n_chars))
+    assert [r.page_id for r in got] == [1, 2, 2, 3] and got[0].text.count("\n\n") == 19999 and got[1].text == got[2].text and got[3].text == ""
+
+
 # --- pieces ---
 
 def test_pieces(spark, sf_dir, odd, none):
