@@ -42,6 +42,8 @@ NONE, EDGE, END = 0, 1, 2
 _LOW = SLOTS - 1
 #: Texts are handled in portions of at most so many bytes, longer ones alone.
 _PORTION = 3_000_000
+#: Bytes are hashed in blocks of whole texts, of about so many bytes each, which bounds a worker's arrays.
+_BLOCK = 400_000
 _BASE = 0x9E3779B97F4A7C15
 _FINISH = np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,7 +112,14 @@ class Slots:
         while first < len(lower):
             last = int(np.searchsorted(offsets, offsets[first] + _PORTION, side="right")) - 1
             last = min(max(last, first + 1), first + 65535, len(lower))
-            slots, text = self.words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            found, at = [], first
+            while at < last:
+                end = int(np.searchsorted(offsets, offsets[at] + _BLOCK, side="right")) - 1
+                end = min(max(end, at + 1), last)
+                slots, text = self.words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+                found.append((slots, text + (at - first)))
+                at = end
+            slots, text = (np.concatenate(x) for x in zip(*found, strict=True))
             docs = last - first
             w = np.full(len(slots) + 3 * docs, EDGE, np.int64)
             w[np.arange(len(slots)) + 3 * text + 2] = slots
