@@ -49,14 +49,22 @@ def zero_filled(counts: DataFrame, key: str, value: str, domain: list[str]) -> D
 def percentile_n(df: DataFrame, group: list[str], value: str, alias: str) -> DataFrame:
     """Share of rows with a smaller value, in whole percent; the denominator is n, not n - 1.
 
-    Counted from the distinct values, so a group of any size is pre-aggregated before it meets.
+    Counted from the distinct values, so a group of any size is pre-aggregated before it meets. Nulls
+    are a group of their own, and a null value is smaller than all others.
     """
     per = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group)
     below = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
     per = per.withColumn(alias, F.floor(F.coalesce(below, F.lit(0)) * 100 / F.sum("_n").over(w) + F.lit(0.5)).cast("long"))
     keys = [*group, value]
-    return df.join(per.drop("_n"), keys)
+    return null_safe_join(df, per.drop("_n"), keys)
+
+
+def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of ``other``, one row for each combination of ``keys``; null keys meet null keys."""
+    renamed = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(renamed, same).drop(*[f"_{k}" for k in keys])
 
 
 def overlaps(df: DataFrame, key: str, row_id: str, start: str, end: str, bucket: int) -> DataFrame:

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.plans import map_arrow, shared_table
+
 #: Parameters of BM25, and the least weight of a term that most rows contain.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 _TOKEN = r"[\p{L}\p{N}]"
@@ -89,6 +95,71 @@ def nearest(df: DataFrame, row_id: str, vector: str, wanted: list[float], k: int
     return scored.orderBy(F.desc("similarity"), row_id).limit(k)
 
 
+def nearest_many(df: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int, least: float | None = None, strict: bool = False, measure: str = "cosine", block: int = 8192) -> DataFrame:
+    """(query_id, row_id, similarity): the ``k`` rows most similar to each of ``queries``, ties by id.
+
+    Queries are taken in blocks of ``block`` vectors, the bound of what is broadcast; each block meets all rows in one
+    scan, where a task keeps its best ``k`` for each query. ``measure`` is ``cosine`` or ``l2`` (as ``l2_similarity``, rounded
+    to 9 places). Null vectors and those of another dimension than the query's have no similarity.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    schema = "query_id bigint, id bigint, similarity double"
+    wanted = queries.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+
+    def one(asked: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast([(r.id, r.v) for r in asked])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_size: dict[int, list] = {}
+            for i, v in shared.value:
+                by_size.setdefault(len(v), []).append((i, v))
+            sets = {n: (np.array([i for i, _ in x]), np.array([v for _, v in x]).reshape(len(x), n)) for n, x in by_size.items()}
+            best = {n: [[(np.empty(0), np.empty(0, np.int64))] for _ in ids] for n, (ids, _) in sets.items()}
+            for batch in batches:
+                size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                for n, (_, q) in sets.items():
+                    at = np.flatnonzero(size == n)
+                    part = batch.take(pa.array(at))
+                    ids, e = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+                    for b in range(0, len(q), 512):
+                        sim = similarities(e, q[b : b + 512])
+                        for j in range(sim.shape[1]):
+                            s = sim[:, j]
+                            ok = np.flatnonzero(s > least if strict else s >= least) if least is not None else np.arange(len(s))
+                            held = best[n][b + j]
+                            held.append((s[ok], ids[ok]))
+                            s, i = (np.concatenate(x) for x in zip(*held, strict=True))
+                            top = np.lexsort((i, -s))[:k]
+                            best[n][b + j] = [(s[top], i[top])]
+            for n, (ids, _) in sets.items():
+                counts = [len(x[0][0]) for x in best[n]]
+                if sum(counts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([x[0][1] for x in best[n]])), pa.array(np.concatenate([x[0][0] for x in best[n]]))], names=["query_id", "id", "similarity"])
+
+        def similarities(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+            dots, a, b = e @ q.T, (e * e).sum(axis=1), (q * q).sum(axis=1)
+            if measure == "l2":
+                return np.round(np.maximum(0.0, 1 - (a[:, None] + b - 2 * dots) / 2), 9)
+            norm = np.sqrt(a)[:, None] * np.sqrt(b)
+            return np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
+
+        found = map_arrow(rows, run, schema)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+        return found.withColumn("_place", place).where(F.col("_place") <= k).select("query_id", F.col("id").alias(row_id), "similarity")
+
+    out, held = None, []
+    for r in wanted.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            part = shared_table(one(held), "nearest")
+            out, held = part if out is None else out.union(part), []
+    if held or out is None:
+        part = one(held)
+        out = part if out is None else out.union(part)
+    return out
+
+
 def fuse(text_hits: DataFrame, vector_hits: DataFrame, row_id: str, text_weight: float = 0.5, vector_weight: float = 0.5, full: bool = False) -> DataFrame:
     """Weighted sum of normalised text scores and similarities, times 100.
 

@@ -42,11 +42,17 @@ def symbol_weights(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", (weight * C.path_boost(kind, "small", ["brass", "nickel"])).alias("weight"))
 
 
-@query("""SELECT name, CASE WHEN name IN ('DATABASE_URL', 'JWT_SECRET', 'API_SECRET_KEY') THEN 'critical' WHEN name IN ('STRIPE_MODE', 'ACCESS_TOKEN') THEN 'high' WHEN name = 'PUBLIC_HOST' THEN 'medium' ELSE 'low' END AS severity, n
-FROM (SELECT CASE event_id % 7 WHEN 0 THEN 'DATABASE_URL' WHEN 1 THEN 'JWT_SECRET' WHEN 2 THEN 'API_SECRET_KEY' WHEN 3 THEN 'STRIPE_MODE' WHEN 4 THEN 'ACCESS_TOKEN' WHEN 5 THEN 'PUBLIC_HOST' ELSE 'LOG_LEVEL' END AS name, count(*) AS n FROM events GROUP BY 1)""")
+#: Names of every class of ``env_severity``, public ones among them.
+ENV_NAMES = [
+    "DATABASE_URL", "JWT_SECRET", "API_SECRET_KEY", "STRIPE_MODE", "ACCESS_TOKEN", "PUBLIC_HOST", "LOG_LEVEL", "OPENAI_ORG", "WEBHOOK_TARGET",
+    "NEXT_PUBLIC_API_KEY", "VITE_CLIENT_AUTH", "PUBLIC_DB_HOST", "AUTH0_REGION", "FRONTEND_PORT", "RETRIES", "SENTRY_PUBLIC_DSN", "SENTRY_VISIBLE_ID",
+]
+
+
+@query("""SELECT name, CASE WHEN name IN ('DATABASE_URL', 'JWT_SECRET', 'API_SECRET_KEY', 'PUBLIC_DB_HOST', 'SENTRY_PUBLIC_DSN') THEN 'critical' WHEN name IN ('STRIPE_MODE', 'ACCESS_TOKEN', 'OPENAI_ORG', 'VITE_CLIENT_AUTH', 'AUTH0_REGION') THEN 'high' WHEN name IN ('LOG_LEVEL', 'WEBHOOK_TARGET', 'NEXT_PUBLIC_API_KEY', 'FRONTEND_PORT', 'SENTRY_VISIBLE_ID') THEN 'medium' ELSE 'low' END AS severity, n
+FROM (SELECT CASE event_id % 17 WHEN 0 THEN 'DATABASE_URL' WHEN 1 THEN 'JWT_SECRET' WHEN 2 THEN 'API_SECRET_KEY' WHEN 3 THEN 'STRIPE_MODE' WHEN 4 THEN 'ACCESS_TOKEN' WHEN 5 THEN 'PUBLIC_HOST' WHEN 6 THEN 'LOG_LEVEL' WHEN 7 THEN 'OPENAI_ORG' WHEN 8 THEN 'WEBHOOK_TARGET' WHEN 9 THEN 'NEXT_PUBLIC_API_KEY' WHEN 10 THEN 'VITE_CLIENT_AUTH' WHEN 11 THEN 'PUBLIC_DB_HOST' WHEN 12 THEN 'AUTH0_REGION' WHEN 13 THEN 'FRONTEND_PORT' WHEN 14 THEN 'RETRIES' WHEN 15 THEN 'SENTRY_PUBLIC_DSN' WHEN 16 THEN 'SENTRY_VISIBLE_ID' END AS name, count(*) AS n FROM events GROUP BY 1)""")
 def env_severities(spark: SparkSession, d: str) -> DataFrame:
-    names = ["DATABASE_URL", "JWT_SECRET", "API_SECRET_KEY", "STRIPE_MODE", "ACCESS_TOKEN", "PUBLIC_HOST", "LOG_LEVEL"]
-    name = F.get(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 7).cast("int"))
+    name = F.get(F.array(*[F.lit(n) for n in ENV_NAMES]), (F.col("event_id") % len(ENV_NAMES)).cast("int"))
     return table(spark, d, "events").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).select("name", C.env_severity(F.col("name")).alias("severity"), "n")
 
 

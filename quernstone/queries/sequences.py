@@ -44,7 +44,7 @@ def max_normalise(spark: SparkSession, d: str) -> DataFrame:
     """Scores by the best of a group; maxima are aggregated first, so a large group isn't gathered."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
     best = lambda k, least: docs.groupBy(k).agg(F.greatest(F.max("n_chars").cast("double"), F.lit(least)).alias(f"m_{k}"))
-    out = docs.join(best("source", 1.0), "source").join(best("lang", 0.01), "lang")
+    out = R.null_safe_join(R.null_safe_join(docs, best("source", 1.0), ["source"]), best("lang", 0.01), ["lang"])
     return out.select("doc_id", "source", F.round(F.col("n_chars") / F.col("m_source"), 6).alias("share"), F.round(100.0 * F.col("n_chars") / F.col("m_lang"), 4).alias("of_lang"))
 
 

@@ -167,3 +167,38 @@ def test_upsert_and_zero_fill(spark):
     assert {tuple(r) for r in R.upsert(base, new, ["id"]).collect()} == {(1, "a", 5), (2, "b", 7), (3, "c", 8)}
     counts = spark.createDataFrame([("a", 2)], "k string, n long")
     assert {tuple(r) for r in R.zero_filled(counts, "k", "n", ["a", "b"]).collect()} == {("a", 2), ("b", 0)}
+
+
+def test_null_keys(spark):
+    """Null groups and null values keep their rows."""
+    df = spark.createDataFrame([(1, None, 5), (2, "a", None), (3, "a", 7), (4, None, 9)], "id long, g string, v int")
+    got = {r.id: r.p for r in R.percentile_n(df, ["g"], "v", "p").collect()}
+    assert got == {1: 0, 4: 50, 2: 0, 3: 50}
+    assert R.percentile_n(df, [], "v", "p").count() == 4
+
+
+def test_nearest_many(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for k in range(60)] + [(100, None), (101, [1.0, 2.0]), (102, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(4)
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 9) if any(a) and any(b) else 0.0
+    known = [r for r in rows if r[0] is not None and r[1]]
+    for block in (2, 100):
+        got = {}
+        for r in S.nearest_many(df, df.where("id % 20 = 0 or id = 101"), "id", "v", 5, 0.1, block=block).collect():
+            got.setdefault(r.query_id, []).append(round(r.similarity, 9))
+        for i, q in known:
+            if i % 20 == 0 or i == 101:
+                want = sorted((s for _, v in known if len(v) == len(q) and (s := cos(q, v)) >= 0.1), reverse=True)[:5]
+                assert sorted(got.get(i, []), reverse=True) == want
+    assert S.nearest_many(df, df.limit(0), "id", "v", 5).count() == 0
+
+
+def test_env_severity(spark):
+    from quernstone.functions import code
+
+    want = {"DATABASE_URL": "critical", "PUBLIC_HOST": "low", "LOG_LEVEL": "medium", "NEXT_PUBLIC_TOKEN": "medium", "TURSO_X": "high", "HREF": "medium", "": "low", "__": "low", "A_B": "low", "PRIVATE_KEY": "critical", "CLIENT_PRIVATE_KEY": "high"}
+    df = spark.createDataFrame([(k,) for k in want], "name string")
+    assert {r.name: r.s for r in df.select("name", code.env_severity(F.col("name")).alias("s")).collect()} == want
+    shape = spark.createDataFrame([("const a = `x ${b}`; if (null) f.g(true)",)], "c string").select(code.abstract_tokens(F.col("c")).alias("t")).first().t
+    assert shape == ["const", "V", "=", "S", ";", "if", "(", "X", ")", "V", ".", "M", "(", "B", ")"]
