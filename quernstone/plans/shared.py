@@ -13,8 +13,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark deletes a query's shuffle files when the query ends; off by default.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the writes of shared tables, unless the session has its own: Spark deletes a query's shuffle
+#: files when the query ends, and Python gets batches of about 9 MB at most, which both sides hold in memory.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "9000000",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,15 +44,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    ours = {k: v for k, v in _WRITING.items() if spark.conf.get(k, None) is None}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k in ours:
+            spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
