@@ -57,7 +57,7 @@ def deal(kind: int, shard: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -
     return [(int(sorted_shard[b]), kind, pack(keys[o := order[b:e]], *[c[o] for c in columns])) for b, e in zip(begins, ends, strict=True)]
 
 
-def to_batches(rows: list[tuple[int, int, bytes]], size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def to_batches(rows: list[tuple[int, int, bytes]], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Record batches of about ``size`` bytes at most."""
     held, total = [], 0
     for r in rows:

@@ -40,7 +40,7 @@ BITS = 21
 SLOTS = 1 << BITS
 NONE, EDGE, END = 0, 1, 2
 _LOW = SLOTS - 1
-#: Texts are handled in portions of at most so many bytes, longer ones alone.
+#: Texts are handled in equal portions of about so many bytes, longer ones alone.
 _PORTION = 3_000_000
 #: Bytes are hashed in blocks of whole texts, of about so many bytes each, which bounds a worker's arrays.
 _BLOCK = 400_000
@@ -108,9 +108,12 @@ class Slots:
         _, places, data = lower.buffers()
         offsets = np.frombuffer(places, np.int64)[lower.offset : lower.offset + len(lower) + 1]
         data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        # a little more than an equal share, as portions end with a whole text; no tiny one is left over
+        total = int(offsets[-1] - offsets[0])
+        size = int(1.05 * total / max(1, math.ceil(total / _PORTION - 0.1))) + 1
         first = 0
         while first < len(lower):
-            last = int(np.searchsorted(offsets, offsets[first] + _PORTION, side="right")) - 1
+            last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
             last = min(max(last, first + 1), first + 65535, len(lower))
             found, at = [], first
             while at < last:
