@@ -131,6 +131,41 @@ def test_near_stage(spark, tmp_path):
     assert got == want | {900, 902, 903}
 
 
+def test_near_large_bands(spark, tmp_path):
+    """Variants near their base but not each other, in bands of many rows: classes as of all pairs, in any order of the files."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for with_base, many in ((True, 90), (False, 24), (True, 12)):
+        base = [word() for _ in range(100)]
+        texts += [" ".join(base)] * with_base
+        for _ in range(many):
+            at, ws = rng.randrange(98), list(base)
+            ws[at : at + 3] = [word() for _ in range(3)]
+            texts.append(" ".join(ws))
+    sets = [set(shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    want = [k for k in range(len(root)) if top(k) == k]
+    assert 3 < len(want) < 27
+    for seed in (1, 2):
+        rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+        random.Random(seed).shuffle(rows)
+        path = str(tmp_path / f"documents{seed}")
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+        assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, spark.read.parquet(path), "").collect()) == want
+
+
 def test_stages_odd(spark, tmp_path):
     """Nulls, blanks, repeated rows, ties and clashing names pass all stages, and so do empty tables."""
     spark.createDataFrame([(3, 1, 0), (4, 0, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
