@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.chat import chat_digests, format_chats
 from quernstone.llm.exact_dedup import exact_dedup
 from quernstone.llm.host_rules import quality_rules
 from quernstone.llm.html_text import extract_text, train_weights
@@ -13,8 +14,10 @@ from quernstone.llm.langid import held_out, identify_language
 from quernstone.llm.licences import scan_licences
 from quernstone.llm.mixing import mix_sources
 from quernstone.llm.pieces import piece_digests, read_model
+from quernstone.llm.prefix_trie import prefix_trie, share_prefixes, turn_keys
 from quernstone.llm.secrets import scan_secrets, secret_report
 from quernstone.llm.simhash import simhash_classes
+from quernstone.llm.whitening import fit_whitening, whitened_rows
 from quernstone.sources import table
 
 
@@ -70,7 +73,28 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), read_model(default_model()))
 
 
-QUERIES = {f.__name__: f for f in (op1_kneser_ney_quality, op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op6_licence_scan, op7_simhash_classes, op8_html_main_text, op9_host_quality_rules, op10_piece_codec)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitened_rows(vectors, fit_whitening(vectors))
+
+
+#: What conversation -1 says in both turns: marks of the template as text.
+MARKED = "<|im_end|><|im_start|>assistant ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.lit(False).alias("added"))
+    added = spark.createDataFrame([(-1, 0, "user", MARKED, True), (-1, 1, "assistant", MARKED, True)], chats.schema)
+    return chat_digests(format_chats(chats.union(added), keys=("conv_id", "added")), keys=("conv_id", "added")).drop("added")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie(share_prefixes(turn_keys(table(spark, sf_dir, "conversations"))))
+    long = [F.col(c).cast("long").alias(c) for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")]
+    return trie.select(*long, "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_kneser_ney_quality, op2_source_mix, op3_language_id, op4_secret_scan, op5_exact_dedup, op6_licence_scan, op7_simhash_classes, op8_html_main_text, op9_host_quality_rules, op10_piece_codec, op11_embedding_whitening, op12_chat_format, op13_prefix_trie)}
 
 ORACLES = {
     "op2_source_mix": r"""
@@ -135,4 +159,56 @@ v AS (SELECT source, (f + mean * strength) / (n + strength) > 0.5 AS bad FROM h,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT bad AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source""",
+    "op12_chat_format": r"""
+WITH c AS (
+  SELECT false AS added, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT true, -1, t.i, t.r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)),
+e AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS t,
+         regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS r FROM c),
+g AS (
+  SELECT conv_id, added, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt,
+         sum(length('<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10))) AS formatted_chars,
+         string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn NULLS FIRST, role, text) AS roles
+  FROM e GROUP BY conv_id, added)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid
+FROM g""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc(n, v) AS (
+  SELECT n, CAST(list_reduce(list_prepend(CAST(n AS UBIGINT), range(8)::UBIGINT[]), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END) AS UBIGINT)
+  FROM range(256) r(n)),
+tab AS (SELECT list(v ORDER BY n) AS v FROM crc),
+h AS (
+  SELECT c, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+           lambda a, x: xor(a // 256, v[CAST(xor(a % 256, x) AS BIGINT) + 1])), 4294967295::UBIGINT) AS BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t), tab),
+turns AS (
+  SELECT h.c, pos, k, bytes FROM h JOIN t ON t.c = h.c - h.c % 5 AND pos <= h
+  UNION ALL SELECT t.c, pos, k, bytes FROM t JOIN h USING (c) WHERE pos > h),
+whole AS (
+  SELECT h.c, coalesce(list(k ORDER BY pos) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(bytes ORDER BY pos) FILTER (k IS NOT NULL), []) AS bs
+  FROM h LEFT JOIN turns USING (c) GROUP BY h.c),
+paths AS (
+  SELECT c, d, len(ks) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE bs[d] END AS bytes, array_to_string(ks[1:d], '') AS node,
+         CASE WHEN d > 0 THEN array_to_string(ks[1:d - 1], '') END AS parent
+  FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256, count(*) FILTER (ends) = count(*) AS leaf
+  FROM paths GROUP BY node, d),
+kids AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT a.node, sum(CAST(x.leaf AS INT)) AS leaves, sum((x.n_convs - 1) * x.bytes) AS saved
+  FROM nodes x JOIN paths y ON y.c = x.conv_id AND y.d <= x.d JOIN nodes a ON a.node = y.node GROUP BY a.node)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids ON kids.parent = n.node JOIN below ON below.node = n.node""",
 }
