@@ -9,7 +9,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
         if hasattr(x, "__len__") and not isinstance(x, str):
             return str(list(x))
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return None
         return f"{x:.9g}" if isinstance(x, float) else str(x)
 
