@@ -189,7 +189,7 @@ def whiten(df: DataFrame, model: Whitening, id_col: str = "vec_id", vector_col:
     schema = f"id {kind}, deviation decimal(38,0), whitened array<double>"
     rows = df.where(complete(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     if not model.count or not model.dims:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
