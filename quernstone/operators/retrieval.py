@@ -26,12 +26,6 @@ def query_terms(text: str, least: int = 1, most: int | None = None) -> list[str]
     return list(dict.fromkeys(words))[:most]
 
 
-def postings(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(term, row, tf): the inverted index of a table, for keeping."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(f"({_TOKEN}+)"), 1)
-    return df.select(row_id, F.explode(terms).alias("term")).groupBy("term", row_id).agg(F.count(F.lit(1)).alias("tf"))
-
-
 def _frequency(text: Column, term: str, prefix: bool) -> Column:
     quoted = "".join("\\" + c if not c.isalnum() else c for c in term)
     tail = f"{_TOKEN}*" if prefix else ""

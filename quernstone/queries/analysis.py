@@ -134,7 +134,7 @@ def boosted_priorities(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def unified_search(spark: SparkSession, d: str) -> DataFrame:
     """Documents by text, then benchmark items that contain one of the terms, as one list with its part."""
-    docs = _hits(spark, d).orderBy(F.desc("score"), "doc_id").limit(10).select(F.lit("documents").alias("part"), F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
+    docs = _hits(spark, d, 10).select(F.lit("documents").alias("part"), F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
     items = table(spark, d, "benchmark").where(F.lower("text").rlike("thwhing|ouvi|licen")).orderBy("item_id").limit(10)
     return docs.unionByName(items.select(F.lit("benchmark").alias("part"), F.col("item_id").alias("id"), F.lit(0.5).alias("score")))
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.scoring import smart_relevance
 from quernstone.operators import relational as R
 from quernstone.operators import retrieval as S
+from quernstone.operators import search as Q
+from quernstone.operators.text_index import TextIndex
+from quernstone.plans import shared_dir
 from quernstone.queries import query
 from quernstone.sources import table
 
@@ -20,8 +25,36 @@ b AS (SELECT doc_id, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2
 _WANTED = "licen thwhing ouvi"
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0}, S.query_terms(_WANTED))
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def _state(docs: DataFrame) -> tuple:
+    """What tells a table's files from those of another state of it."""
+    file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return tuple(docs.select(file.alias("f")).distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("f").cast("decimal(38,0)"))).first())
+
+
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of ``documents``: made once in an application for each state of its files."""
+    docs = table(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, d, *_state(docs))
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.build(docs, "doc_id", ["text"], f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def _hits(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    return _index(spark, d).search(S.query_terms(_WANTED), k=k)
+
+
+def _bm25_of(tests: list[str]) -> str:
+    """SQL that scores documents by words that pass the tests, as ``_DOCS_BM25``."""
+    k = range(len(tests))
+    score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / m))" for i in k)
+    return rf"""t AS (SELECT *, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS dl, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+c AS (SELECT * EXCLUDE (w), {", ".join(f"len(list_filter(w, lambda x: {x})) AS t{i}" for i, x in enumerate(tests))} FROM t),
+s AS (SELECT count(*) AS n, avg(dl) AS m, {", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS d{i}" for i in k)} FROM c),
+b AS (SELECT c.*, {score} AS score FROM c, s WHERE {" + ".join(f"t{i}" for i in k)} > 0)"""
 
 
 def _vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
@@ -31,7 +64,51 @@ def _vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
 
 @query(f"WITH {_DOCS_BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
+    return _hits(spark, d, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+# Words of the stems that the query below asks for.
+_STEMS = {"licens": ["license", "licenses", "licensed", "licensing", "licensable"], "onth": ["onth", "onthe", "onths", "onthes", "onthed", "onthing"], "hath": ["hath", "hathe", "haths", "hathes", "hathed", "hathing"]}
+
+
+@query(f"""WITH {_bm25_of(["x IN (" + ", ".join(f"'{w}'" for w in words) + ")" for words in _STEMS.values()])}
+SELECT doc_id, round(score, 6) AS score FROM b ORDER BY score DESC, doc_id LIMIT 20""")
+def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Words by their stems, which only the dictionary's distinct terms have."""
+    return _index(spark, d).search(S.query_terms("Licensing (onthing) hathed"), prefix=False, stems=True, k=20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_bm25_of(["starts_with(x, 'licen')", "starts_with(x, 'ouvi')"])}
+SELECT doc_id, source, round(100 * score, 4) AS relevance FROM b WHERE (source = 'src1' OR lang = 'es') AND n_chars > 400 AND doc_id % 3 <> 0 ORDER BY score DESC, doc_id LIMIT 10""")
+def filtered_text_search(spark: SparkSession, d: str) -> DataFrame:
+    """A project's rows and the global ones, of some kinds only; the filters change no score."""
+    rows = table(spark, d, "documents").where(((F.col("source") == "src1") | (F.col("lang") == "es")) & (F.col("n_chars") > 400) & (F.col("doc_id") % 3 != 0))
+    return Q.filtered_search(_index(spark, d), rows.select("doc_id", "source"), S.query_terms("licen ouvi"), 10).select("doc_id", "source", F.round("relevance", 4).alias("relevance"))
+
+
+_RULES = "SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN doc_id + 1 END AS superseded_by, doc_id * 13 % 17 AS usage_count, doc_id AS created FROM documents"
+
+
+def _rules(spark: SparkSession, d: str, source: str) -> DataFrame:
+    superseded = F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1).alias("superseded_by")
+    return table(spark, d, "documents").where(F.col("source") == source).select("doc_id", superseded, (F.col("doc_id") * 13 % 17).alias("usage_count"), F.col("doc_id").alias("created"))
+
+
+@query(f"""WITH {_bm25_of(["x = 'license'", "x = 'under'"])}, r AS ({_RULES})
+SELECT doc_id, round(score, 6) AS score FROM b JOIN r USING (doc_id) WHERE t0 > 0 AND t1 > 0 AND r.source = 'src0' AND superseded_by IS NULL ORDER BY score DESC, doc_id LIMIT 10""")
+def guardrail_search(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of a project that aren't superseded and have all words of the search."""
+    return Q.search_rules(_index(spark, d), _rules(spark, d, "src0"), ["license", "under"], 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_bm25_of(["x = 'license'", "x = 'wherhere'"])}, r AS ({_RULES}), f AS (SELECT doc_id, 'tags' AS list, score, usage_count FROM b JOIN r USING (doc_id) WHERE r.source = 'src0' AND superseded_by IS NULL ORDER BY score DESC, usage_count DESC, doc_id LIMIT 5),
+g AS (SELECT doc_id, 'none' AS list, 0.0 AS score, usage_count FROM r WHERE source = 'src0' AND superseded_by IS NULL ORDER BY usage_count DESC, created DESC, doc_id LIMIT 5)
+SELECT list, doc_id, round(score, 6) AS score, usage_count FROM (SELECT * FROM f UNION ALL SELECT * FROM g)""")
+def guardrails_by_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Rules in force for a task's tags, and for a task without tags."""
+    rules, index = _rules(spark, d, "src0"), _index(spark, d)
+    lists = [Q.rules_for_tags(index, rules, tags).withColumn("list", F.lit(name)) for name, tags in (("tags", ["license", "wherhere"]), ("none", []))]
+    return lists[0].unionByName(lists[1]).select("list", "doc_id", F.round("score", 6).alias("score"), "usage_count")
 
 
 @query(r"""WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(p_type), '[\p{L}\p{N}]+') AS k FROM part),
@@ -56,7 +133,7 @@ def like_fallback_search(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, round(score, 4) AS score, level FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2)""")
 def feature_search(spark: SparkSession, d: str) -> DataFrame:
     """Text hits first, then rows whose source contains the feature, none twice."""
-    first = _hits(spark, d).orderBy(F.desc("score"), "doc_id").limit(5).select("doc_id", (F.col("score") * 100).alias("score"), F.lit(1).alias("level"))
+    first = _hits(spark, d, 5).select("doc_id", (F.col("score") * 100).alias("score"), F.lit(1).alias("level"))
     second = R.missing(table(spark, d, "documents").where(F.lower("source").contains("src1")).select("doc_id"), first, "doc_id").orderBy("doc_id").limit(10).select("doc_id", F.lit(30.0).alias("score"), F.lit(2).alias("level"))
     return first.unionByName(second).select("doc_id", F.round("score", 4).alias("score"), "level")
 
@@ -111,7 +188,7 @@ def embedding_backfill(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, round(100 * (0.5 * score / greatest((SELECT max(score) FROM x), 1) + 0.5 * coalesce(sim, 0)), 4) AS score FROM x LEFT JOIN y ON doc_id = vec_id""")
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Twice the wanted rows from the text side, many from the vector side, fused from the text hits."""
-    text = _hits(spark, d).orderBy(F.desc("score"), "doc_id").limit(40)
+    text = _hits(spark, d, 40)
     vectors = S.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", _vector(spark, d), 400).withColumnRenamed("vec_id", "doc_id")
     return S.fuse(text, vectors, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
@@ -148,6 +225,6 @@ def agent_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_DOCS_BM25}, hit AS (SELECT doc_id, 1 AS tier FROM b ORDER BY score DESC, doc_id LIMIT 8), fill AS (SELECT doc_id, 2 AS tier FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit) ORDER BY n_chars DESC, doc_id LIMIT 4) SELECT * FROM hit UNION ALL SELECT * FROM fill""")
 def select_with_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Text hits, filled up with the longest of the rest."""
-    hit = _hits(spark, d).orderBy(F.desc("score"), "doc_id").limit(8).select("doc_id", F.lit(1).alias("tier"))
+    hit = _hits(spark, d, 8).select("doc_id", F.lit(1).alias("tier"))
     rest = R.missing(table(spark, d, "documents").select("doc_id", "n_chars"), hit, "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(4)
     return hit.unionByName(rest.select("doc_id", F.lit(2).alias("tier")))
