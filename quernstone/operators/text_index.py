@@ -1,20 +1,22 @@
 """A stored inverted index: texts are read once, searches read the rows of their terms.
 
 An index is a folder of three Parquet tables. ``postings`` has a row for each field, term and
-block of up to 1,024 documents, with the documents' ids, frequencies and lengths as arrays, in
-folders by a hash of the term and sorted by term within a file. ``terms`` is the dictionary:
+block of up to 1,024 documents of like length, with the documents' ids, frequencies and lengths
+as arrays, in folders by a hash of the term and sorted by term within a file; of a term that few
+documents of a chunk of blocks have, one row for the whole chunk. ``terms`` is the dictionary:
 each term with its stem and the number of its documents, sorted by stem, so that prefixes and
 stems are found without the postings. ``segments`` says which segments count: an append or a
 removal writes a segment of its own and enters it there last, so that readers never see half
 of it.
 
-A task turns its documents into postings before anything is shuffled; what is shuffled is one
-row for each block and term.
+A task turns a chunk of documents into postings before anything is shuffled; what is shuffled
+is one compressed piece for each chunk and bucket of terms.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,8 +29,10 @@ from quernstone.functions.stemming import stem
 from quernstone.operators.retrieval import K1, LEAST_IDF, B
 from quernstone.plans import discard, map_arrow, shared_table
 
-#: Documents of a block, and of what a task holds before it gives its postings out (or so many words).
+#: Documents of a block, and of a chunk, which a task holds before it gives its postings out (or so many words).
 BLOCK, HELD, HELD_WORDS = 1024, 8192, 2_000_000
+#: Documents of a chunk from which on a term has a row for each block; and the number that stands for all blocks.
+SPLIT, WHOLE = 128, 255
 #: Terms that one search names in its filters; beyond, postings are joined with the dictionary.
 MAX_TERMS = 1000
 #: Blocks that one search names in its filters; beyond, they are joined.
@@ -45,8 +49,8 @@ _TABLES = {
 }
 
 
-def _invert(lengths: list[np.ndarray], words: list[pa.Array], ids: pa.Array, first_block: int, size_of_block: int) -> Iterator[pa.RecordBatch]:
-    """Postings of some documents, those of like length together: ``lengths`` and ``words`` by field."""
+def _invert(lengths: list[np.ndarray], words: list[pa.Array], ids: pa.Array, chunk: int, size_of_block: int, split: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a chunk of documents, those of like length together: ``lengths`` and ``words`` by field."""
     n = len(ids)
     total = np.sum(lengths, axis=0)
     order = np.argsort(total, kind="stable")
@@ -59,59 +63,82 @@ def _invert(lengths: list[np.ndarray], words: list[pa.Array], ids: pa.Array, fir
         coded = flat.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         key, tf = np.unique(code * n + np.repeat(rank, length), return_counts=True)
-        code, place = key // n, key % n
-        group = code * (n // size_of_block + 1) + place // size_of_block
+        code, place, tf = key // n, key % n, tf.astype(np.int32)
+        part = np.where(np.bincount(code)[code] >= split, place // size_of_block, WHOLE)
+        group = code * (WHOLE + 1) + part
         begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        tf = tf.astype(np.int32)
-        most = np.maximum.reduceat(tf, begin)
-        for a in range(0, len(begin), 20_000):
-            own = begin[a : a + 20_000]
-            end = begin[a + 20_000] if a + 20_000 < len(begin) else len(key)
-            at = place[own[0] : end]
-            offsets = pa.array(np.append(own, end) - own[0], pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(own), field), pa.int8()), coded.dictionary.take(pa.array(code[own])), pa.array(first_block + place[own] // size_of_block), pa.array(np.diff(np.append(own, end)), pa.int64()), pa.array(most[a : a + 20_000], pa.int32()), pa.array(size[place[own]].astype(np.int64)),
-                pa.ListArray.from_arrays(offsets, by_rank.take(pa.array(at))), pa.ListArray.from_arrays(offsets, pa.array(tf[own[0] : end])), pa.ListArray.from_arrays(offsets, pa.array(size[at])),
-            ], names=["field", "term", "block", "n", "most", "shortest", "rows", "tfs", "sizes"])
-
-
-def _postings(df: DataFrame, row_id: str, fields: list[str], size_of_block: int = BLOCK, most_held: int = HELD) -> DataFrame:
-    """Rows of ``_invert`` for all documents; a row of field -1 has the number of documents and of words."""
-    kind = df.schema[row_id].dataType.simpleString()
+        offsets = pa.array(np.append(begin, len(key)), pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(begin), field), pa.int8()), coded.dictionary.take(pa.array(code[begin])), pa.array((chunk << 8) + part[begin]), pa.array(np.diff(np.append(begin, len(key))), pa.int64()), pa.array(np.maximum.reduceat(tf, begin), pa.int32()), pa.array(size[place[begin]].astype(np.int64)),
+            pa.ListArray.from_arrays(offsets, by_rank.take(pa.array(place))), pa.ListArray.from_arrays(offsets, pa.array(tf)), pa.ListArray.from_arrays(offsets, pa.array(size[place])),
+        ], names=["field", "term", "block", "n", "most", "shortest", "rows", "tfs", "sizes"])
+
+
+def _pieces(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, compressed rows) of postings; a term's bucket is the CRC-32 of its bytes modulo their number."""
+    bucket = np.array([zlib.crc32(t.encode()) % buckets for t in batch.column(1).to_pylist()], np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if bounds[b] < bounds[b + 1]:
+            own = batch.take(pa.array(order[bounds[b] : bounds[b + 1]]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(own)
+            yield b, sink.getvalue().to_pybytes()
+
+
+def _packed(df: DataFrame, row_id: str, fields: list[str], segment: int, buckets: int, size_of_block: int, most_held: int, split: int) -> DataFrame:
+    """(bucket, chunk, n, words, data): the chunks' postings in pieces; a piece of bucket -1 counts documents and words."""
     words = [F.regexp_extract_all(F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))), F.lit(_WORDS), 1).alias(f"w{k}") for k, f in enumerate(fields)]
-    rows = df.select(F.col(row_id).alias("id"), *words)
-    schema = _POSTINGS.format(kind=kind)
 
     def run(batches):
         from pyspark import TaskContext
 
-        held, docs, count, block, seen = [], 0, 0, TaskContext.get().partitionId() << 32, pa.int64()
+        held, docs, count, chunk = [], 0, 0, (segment << 40) + (TaskContext.get().partitionId() << 16)
 
         def out():
-            nonlocal held, docs, count, block
+            nonlocal held, docs, count, chunk
             ids = pa.concat_arrays([b.column(0) for b in held])
             lists = [[b.column(k + 1) for b in held] for k in range(len(fields))]
             lengths = [np.concatenate([np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), np.int64) for x in own]) for own in lists]
             flat = [pa.concat_arrays([x.flatten() for x in own]) for own in lists]
-            held = []
-            yield from _invert(lengths, flat, ids, block, size_of_block)
-            none = pa.array([[]], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int8()), pa.array([""]), pa.array([block]), pa.array([docs], pa.int64()), pa.array([0], pa.int32()), pa.array([int(sum(x.sum() for x in lengths))], pa.int64()), pa.array([[]], pa.list_(seen)), none, none], names=["field", "term", "block", "n", "most", "shortest", "rows", "tfs", "sizes"])
-            block, docs, count = block + docs // size_of_block + 1, 0, 0
+            held, lists = [], []
+            yield piece(-1, len(ids), int(sum(x.sum() for x in lengths)), b"")
+            for made in _invert(lengths, flat, ids, chunk, size_of_block, split):
+                for b, data in _pieces(made, buckets):
+                    yield piece(b, 0, 0, data)
+            chunk, docs, count = chunk + 1, 0, 0
+
+        def piece(bucket, n, n_words, data):
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([n], pa.int64()), pa.array([n_words], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "chunk", "n", "words", "data"])
 
         for whole in batches:
-            seen = whole.schema.field(0).type
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 held.append(batch)
                 docs += batch.num_rows
                 count += sum(len(batch.column(k + 1).flatten()) for k in range(len(fields)))
-                if docs >= most_held or count >= HELD_WORDS:
+                if docs + 256 > most_held or count >= HELD_WORDS:
                     yield from out()
         if held:
             yield from out()
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(df.select(F.col(row_id).alias("id"), *words), run, "bucket int, chunk long, n long, words long, data binary")
+
+
+def _unpacked(packed: DataFrame, kind: str) -> DataFrame:
+    """The rows of the pieces, with their bucket, where the pieces are."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, data in zip(batch.column(0), batch.column(1), strict=True):
+                for rows in pa.ipc.open_stream(data.as_py()):
+                    for at in range(0, rows.num_rows, 20_000):
+                        part = rows.slice(at, 20_000)
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, bucket.as_py()), pa.int32())], names=[*part.schema.names, "bucket"])
+
+    return map_arrow(packed.where("bucket >= 0").select("bucket", "data"), run, _POSTINGS.format(kind=kind) + ", bucket int")
 
 
 def _with_stems(terms: DataFrame) -> DataFrame:
@@ -137,18 +164,20 @@ class TextIndex:
     documents without a word count among all. Words are runs of letters and digits in lower case.
     """
 
-    def __init__(self, spark: SparkSession, path: str, row_id: str, fields: list[str], buckets: int = 32, block: int = BLOCK, held: int = HELD) -> None:
+    def __init__(self, spark: SparkSession, path: str, row_id: str, fields: list[str], buckets: int = 32, block: int = BLOCK, held: int = HELD, split: int = SPLIT) -> None:
         self.spark, self.path, self.row_id, self.fields = spark, path.rstrip("/"), row_id, list(fields)
-        self.buckets, self.block, self.held = buckets, block, held
+        if held // block >= WHOLE:
+            raise ValueError(f"a chunk has fewer than {WHOLE} blocks")
+        self.buckets, self.block, self.held, self.split = buckets, block, held, split
         #: (blocks with a term, blocks that could hold one of the best) of the last search that could skip.
         self.skipped: tuple[int, int] | None = None
         self._live: list = []
         self._kind = "long"
 
     @classmethod
-    def build(cls, df: DataFrame, row_id: str, fields: list[str], path: str, buckets: int = 32, block: int = BLOCK, held: int = HELD) -> TextIndex:
+    def build(cls, df: DataFrame, row_id: str, fields: list[str], path: str, **sizes) -> TextIndex:
         """A new index of ``df`` in the folder ``path``, which all executors must reach."""
-        index = cls(df.sparkSession, path, row_id, fields, buckets, block, held)
+        index = cls(df.sparkSession, path, row_id, fields, **sizes)
         index._kind = df.schema[row_id].dataType.simpleString()
         index._write(df, 0)
         return index
@@ -170,10 +199,10 @@ class TextIndex:
     def compact(self) -> None:
         """Write what is live as one segment, which takes the place of all before it."""
         k, (n, words) = self._next(), self._refresh()
-        live = self._entries(self._table("postings")).groupBy("field", "term", F.xxhash64("segment", "block").alias("block")).agg(
+        live = self._entries(self._table("postings")).groupBy("field", "term", "block", "bucket").agg(
             F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("size").cast("long").alias("shortest"), F.sort_array(F.collect_list(F.struct("size", "row", "tf"))).alias("e"),
-        ).select("field", "term", "block", "n", "most", "shortest", F.col("e.row").alias("rows"), F.col("e.tf").alias("tfs"), F.col("e.size").alias("sizes"))
-        self._store(live, k, n)
+        ).select("field", "term", "block", "n", "most", "shortest", F.col("e.row").alias("rows"), F.col("e.tf").alias("tfs"), F.col("e.size").alias("sizes"), "bucket")
+        self._store(live.repartition("bucket", self._spread(F.shiftright("block", 8), n)), k)
         self._enter(k, n, words, replaces=k)
 
     # --- writing ---
@@ -182,27 +211,24 @@ class TextIndex:
         self._refresh()
         return max(r["segment"] for r in self._live) + 1
 
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+    @staticmethod
+    def _spread(chunk: Column, n: int) -> Column:
+        """A term of most documents goes to as many tasks as there are millions of documents."""
+        return F.pmod(F.xxhash64(chunk), F.lit(1 + n // (1 << 20)))
 
     def _write(self, df: DataFrame, k: int, sign: int = 1) -> None:
-        made = shared_table(_postings(df, self.row_id, self.fields, self.block, self.held), "postings")
-        n, words = made.where("field = -1").agg(F.sum("n"), F.sum("shortest")).first()
-        n, words = n or 0, words or 0
-        postings = made.where("field >= 0")
+        packed = shared_table(_packed(df, self.row_id, self.fields, k, self.buckets, self.block, self.held, self.split), "postings")
+        n, words = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
         if sign > 0:
-            self._store(postings, k, n)
+            self._store(_unpacked(packed.repartition("bucket", self._spread(F.col("chunk"), n)), self._kind), k)
         else:
-            self._store_terms(postings, k, sign)
+            self._store_terms(_unpacked(packed, self._kind), k, sign)
         self._enter(k, sign * n, sign * words)
-        discard(made)
+        discard(packed)
 
-    def _store(self, postings: DataFrame, k: int, n: int) -> None:
-        # a term of most documents goes to as many tasks as there are millions of documents
-        spread = F.pmod(F.xxhash64("block"), F.lit(1 + n // (1 << 20)))
-        rows = postings.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "field", "block")
-        rows.write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={k}")
-        self._store_terms(self.spark.read.schema(postings.schema).parquet(f"{self.path}/postings/segment={k}"), k, 1)
+    def _store(self, rows: DataFrame, k: int) -> None:
+        rows.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={k}")
+        self._store_terms(self._read("postings").where(F.col("segment") == k), k, 1)
 
     def _store_terms(self, postings: DataFrame, k: int, sign: int) -> None:
         counts = postings.groupBy("field", "term").agg((F.sum("n") * sign).alias("n"))
@@ -255,7 +281,7 @@ class TextIndex:
         hits = [by.startswith(t) if prefix else by == t for t in (stem(t) if stems else t for t in terms)]
         which = F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits)]))
         found = self.dictionary(reduce(lambda a, b: a | b, hits))
-        return found.select(F.explode(which).alias("i"), "field", "term", "n", self._bucket(F.col("term")).alias("bucket"))
+        return found.select(F.explode(which).alias("i"), "field", "term", "n", (F.crc32("term") % self.buckets).cast("int").alias("bucket"))
 
     def search(self, terms: list[str], weights: dict[str, float] | None = None, prefix: bool = True, stems: bool = False, every: bool = False, among: DataFrame | None = None, k: int | None = None) -> DataFrame:
         """(row id, score): documents with a term (``every``: with all) and their BM25 score.
@@ -308,23 +334,28 @@ class TextIndex:
         return out
 
     def _promising(self, postings: DataFrame, terms: list[str], counts: list[int], n: int, mean: float, k: int) -> DataFrame:
-        """The postings of blocks that could hold one of the best ``k``.
+        """The postings of blocks that could hold one of the best ``k``; rows of whole chunks stay, which are short.
 
         The columns with a block's largest frequencies and least length bound the score of its documents. The
-        blocks with the highest bounds are scored first, and the score of their k-th document is one that the rest must reach.
+        blocks with the highest bounds are scored first, and the score of their k-th document is one that the
+        rest must reach. A document of another block keeps what rows of whole chunks give it, which is less.
         """
-        bounds = postings.groupBy("segment", "block").agg(F.min("shortest").alias("size"), *[F.sum(F.when(F.col("i") == i, F.col("most") * F.col("weight")).otherwise(0.0)).alias(f"tf{i}") for i in range(len(terms))])
-        bounds = bounds.select("segment", "block", self._score(counts, n, mean).alias("bound"))
-        first = bounds.orderBy(F.desc("bound"), "segment", "block").limit(2 + 2 * k // self.block).collect()
-        total = bounds.count()
-        if total <= len(first):
-            return postings
-        named = lambda rows: F.struct("segment", "block").isin([F.struct(F.lit(r["segment"]).alias("segment"), F.lit(r["block"]).cast("long").alias("block")) for r in rows]) & F.col("block").isin([r["block"] for r in rows])
-        best = self._pivot(postings.where(named(first)), len(terms)).select(self._score(counts, n, mean).alias("score")).orderBy(F.desc("score")).limit(k).collect()
+        largest = [F.sum(F.when(F.col("i") == i, F.col("most") * F.col("weight")).otherwise(0.0)).alias(f"tf{i}") for i in range(len(terms))]
+        whole = F.col("block") % (WHOLE + 1) == WHOLE
+        chunk = F.shiftright("block", 8).alias("chunk")
+        short = postings.where(whole).groupBy(chunk).agg(F.min("shortest").alias("chunk_size"), *largest)
+        short = short.select("chunk", "chunk_size", *[F.col(f"tf{i}").alias(f"chunk_tf{i}") for i in range(len(terms))])
+        long = postings.where(~whole).groupBy("block", chunk).agg(F.min("shortest").alias("block_size"), *[x.alias(f"block_tf{i}") for i, x in enumerate(largest)])
+        bounds = long.join(short, "chunk", "left").select("block", F.least("block_size", "chunk_size").alias("size"), *[(F.col(f"block_tf{i}") + F.coalesce(f"chunk_tf{i}", F.lit(0.0))).alias(f"tf{i}") for i in range(len(terms))])
+        bounds = bounds.select("block", self._score(counts, n, mean).alias("bound"))
+        first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(2 + 2 * k // self.block).collect()]
+        best = self._pivot(postings.where(whole | F.col("block").isin(first)), len(terms)).select(self._score(counts, n, mean).alias("score")).orderBy(F.desc("score")).limit(k).collect()
         if len(best) < k:
             return postings
         # bounds and scores add the same parts, which may be rounded otherwise
-        kept = bounds.where(F.col("bound") >= best[-1]["score"] * (1 - 1e-9)).select("segment", "block")
-        few = kept.limit(MAX_BLOCKS + 1).collect()
-        self.skipped = (total, len(few) if len(few) <= MAX_BLOCKS else kept.count())
-        return postings.where(named(few)) if len(few) <= MAX_BLOCKS else postings.join(kept, ["segment", "block"], "left_semi")
+        kept = bounds.where(F.col("bound") >= best[-1]["score"] * (1 - 1e-9)).select("block")
+        few = [r["block"] for r in kept.limit(MAX_BLOCKS + 1).collect()]
+        self.skipped = (bounds.count(), len(few) if len(few) <= MAX_BLOCKS else kept.count())
+        if len(few) <= MAX_BLOCKS:
+            return postings.where(whole | F.col("block").isin(few))
+        return postings.where(whole).unionByName(postings.where(~whole).join(kept, "block", "left_semi").select(*postings.columns))

@@ -27,6 +27,9 @@ controll control roll roll generalizations gener oscillators oscil"""
 SCHEMA = "id long, title string, body string, kind string, rows int, term string"
 
 
+SMALL = {"buckets": 4, "block": 8, "held": 300, "split": 5}
+
+
 def test_stems():
     words = PUBLISHED.split()
     assert [stem(w) for w in words[::2]] == words[1::2]
@@ -89,10 +92,10 @@ def check(index, rows, weights=(1.0, 1.0), ways=WAYS[:1]):
 
 def test_index(spark, tmp_path):
     rows = texts(1, 150) + odd()
-    index = TextIndex.build(spark.createDataFrame(rows, SCHEMA).repartition(3), "id", ["title", "body"], str(tmp_path / "ix"), 4, 8, 64)
+    index = TextIndex.build(spark.createDataFrame(rows, SCHEMA).repartition(3), "id", ["title", "body"], str(tmp_path / "ix"), **SMALL)
     check(index, rows, (3.0, 0.5), WAYS)
     # one that is opened again
-    check(TextIndex(spark, str(tmp_path / "ix"), "id", ["title", "body"], 4, 8, 64), rows)
+    check(TextIndex(spark, str(tmp_path / "ix"), "id", ["title", "body"], **SMALL), rows)
     among = spark.createDataFrame([(k,) for k in range(0, 150, 7)], "id long")
     want = plain_bm25(rows, ["alpha"], (1.0, 1.0), False, False)
     got = {r.id: round(r.score, 9) for r in index.search(["alpha"], prefix=False, among=among).collect()}
@@ -103,7 +106,7 @@ def test_index(spark, tmp_path):
 def test_index_changes(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
     a, b, c = texts(2, 60), texts(3, 40, 60), odd()
-    index = TextIndex.build(frame(a), "id", ["title", "body"], str(tmp_path / "ix"), 4, 8, 64)
+    index = TextIndex.build(frame(a), "id", ["title", "body"], str(tmp_path / "ix"), **SMALL)
     index.append(frame(b + c))
     index.remove(frame(b[:25]))
     check(index, a + b[25:] + c)
@@ -131,7 +134,7 @@ def test_index_empty(spark, tmp_path):
 def test_index_skips(spark, tmp_path):
     """Blocks that can't hold one of the best are not read, and neither are other terms."""
     rows = [(k, "", "alpha " + "x " * (k % 50), "a", 0, "") for k in range(800)]
-    index = TextIndex.build(spark.createDataFrame(rows, SCHEMA).coalesce(1), "id", ["body"], str(tmp_path / "ix"), 4, 8, 64)
+    index = TextIndex.build(spark.createDataFrame(rows, SCHEMA).coalesce(1), "id", ["body"], str(tmp_path / "ix"), **SMALL)
     top = index.search(["alpha"], prefix=False, k=4)
     assert [r.id for r in top.collect()] == [0, 50, 100, 150]
     blocks, kept = index.skipped
@@ -148,12 +151,12 @@ def test_index_many_terms(spark, tmp_path, monkeypatch):
     """A prefix of more words than a filter names."""
     monkeypatch.setattr(T, "MAX_TERMS", 3)
     rows = [(k, "", f"a{k} a{k + 1} b", "a", 0, "") for k in range(30)]
-    index = TextIndex.build(spark.createDataFrame(rows, SCHEMA), "id", ["title", "body"], str(tmp_path / "ix"), 4, 8, 64)
+    index = TextIndex.build(spark.createDataFrame(rows, SCHEMA), "id", ["title", "body"], str(tmp_path / "ix"), **SMALL)
     got = {r.id: round(r.score, 9) for r in index.search(["a", "b"]).collect()}
     assert got == pytest.approx({k: s for k, (s, _) in plain_bm25(rows, ["a", "b"], (1.0, 1.0), True, False).items()})
     monkeypatch.setattr(T, "MAX_BLOCKS", 0)
     wide = [(k, "", "alpha " + "x " * (k % 7), "a", 0, "") for k in range(100)]
-    index = TextIndex.build(spark.createDataFrame(wide, SCHEMA).coalesce(1), "id", ["body"], str(tmp_path / "ix2"), 4, 4, 64)
+    index = TextIndex.build(spark.createDataFrame(wide, SCHEMA).coalesce(1), "id", ["body"], str(tmp_path / "ix2"), buckets=4, block=4, held=300, split=3)
     assert [r.id for r in index.search(["alpha"], prefix=False, k=3).collect()] == [0, 7, 14] and index.skipped
 
 
