@@ -9,7 +9,7 @@ from quernstone.functions.text import js_round
 
 # Base score of each complexity and boost of each tag.
 COMPLEXITY_BASE = {"trivial": 10, "simple": 25, "moderate": 50, "complex": 75, "epic": 95}
-TAG_BOOST = {"architecture": 20, "security": 15, "migration": 15, "performance": 10, "refactor": 10, "database": 10, "api": 5, "cleanup": -5, "docs": -10, "rename": -10, "lint": -15, "comment": -15, "formatting": -20, "typo": -25}
+TAG_BOOST = {"architecture": 20, "security": 15, "performance": 10, "refactor": 10, "migration": 15, "database": 10, "api": 5, "lint": -15, "typo": -25, "formatting": -20, "docs": -10, "comment": -15, "rename": -10, "cleanup": -5}
 # Upper bounds of tiers, chance of escalation, price of a million tokens in and out.
 TIERS = [(20, "free"), (40, "cheap"), (65, "mid")]
 ESCALATION = {"free": 0.3, "cheap": 0.2, "mid": 0.1, "premium": 0.0}

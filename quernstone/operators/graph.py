@@ -71,7 +71,7 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     """(node, level): 0 for nodes that depend on nothing, else one more than the highest dependency.
 
     ``edges`` (src, dst) say that src depends on dst; dependencies on unknown nodes don't count.
-    Nodes in or behind a cycle get no level.
+    Nodes in or behind a cycle get no level. More than ``max_rounds`` levels are an error.
     """
     left = cut(nodes.select("node").distinct())
     open_ = cut(edges.select("src", "dst").distinct().join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
@@ -83,6 +83,8 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
         done = ready if done is None else done.union(ready)
         left = cut(left.join(ready, "node", "left_anti"))
         open_ = cut(open_.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    else:
+        raise RuntimeError(f"there are more than {max_rounds} levels")
     return done if done is not None else left.withColumn("level", F.lit(0))
 
 

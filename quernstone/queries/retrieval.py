@@ -12,6 +12,7 @@ from quernstone.operators import relational as R
 from quernstone.operators import retrieval as S
 from quernstone.operators import search as Q
 from quernstone.operators.text_index import TextIndex
+from quernstone.operators.vector_index import VectorIndex
 from quernstone.plans import shared_dir
 from quernstone.queries import query
 from quernstone.sources import table
@@ -25,24 +26,32 @@ b AS (SELECT doc_id, greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2
 _WANTED = "licen thwhing ouvi"
 
 
-_INDEXES: dict[tuple, TextIndex] = {}
+_INDEXES: dict[tuple, TextIndex | VectorIndex] = {}
 
 
-def _state(docs: DataFrame) -> tuple:
+def _state(rows: DataFrame) -> tuple:
     """What tells a table's files from those of another state of it."""
     file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    return tuple(docs.select(file.alias("f")).distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("f").cast("decimal(38,0)"))).first())
+    return tuple(rows.select(file.alias("f")).distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("f").cast("decimal(38,0)"))).first())
 
 
-def _index(spark: SparkSession, d: str) -> TextIndex:
-    """The stored index of ``documents``: made once in an application for each state of its files."""
-    docs = table(spark, d, "documents")
-    key = (spark.sparkContext.applicationId, d, *_state(docs))
+def _stored(spark: SparkSession, d: str, name: str, build) -> TextIndex | VectorIndex:
+    """The stored index of a table: made once in an application for each state of its files."""
+    rows = table(spark, d, name)
+    key = (spark.sparkContext.applicationId, d, name, *_state(rows))
     if key not in _INDEXES:
-        _INDEXES[key] = TextIndex.build(docs, "doc_id", ["text"], f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+        _INDEXES[key] = build(rows, f"{shared_dir(spark)}/index-{name}-{uuid.uuid4().hex}")
     return _INDEXES[key]
 
 
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    return _stored(spark, d, "documents", lambda rows, path: TextIndex.build(rows, "doc_id", ["text"], path))
+
+
+def _cells(spark: SparkSession, d: str) -> VectorIndex:
+    return _stored(spark, d, "embeddings", lambda rows, path: VectorIndex.build(rows, "vec_id", "embedding", path))
+
+
 def _hits(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     return _index(spark, d).search(S.query_terms(_WANTED), k=k)
 
@@ -161,6 +170,18 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return S.nearest_many(table(spark, d, "embeddings"), _asked(spark, d), "vec_id", "embedding", 10, 0.0).withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def knn_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest ten of each query in as many cells of the stored index as were measured to hold most of them."""
+    return _cells(spark, d).search(_asked(spark, d), "vec_id", "embedding", 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_best("sim", "true", 10))
+def knn_all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The exact search of the stored index: blocks of queries meet the blocks of every cell."""
+    return _cells(spark, d).exact(_asked(spark, d), "vec_id", "embedding", 10).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(_best("l2", "true", 20))
 def knn_l2_similarity(spark: SparkSession, d: str) -> DataFrame:
     return S.nearest_many(table(spark, d, "embeddings"), _asked(spark, d), "vec_id", "embedding", 20, measure="l2").withColumn("similarity", F.round("similarity", 6))
