@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.components import connected_components
-from quernstone.plans import shared_table
+from quernstone.plans import cut, discard, map_arrow, shared_table
+
+#: Links that are left when one task settles them in order, instead of further rounds (about 3 MB).
+FEW_LINKS = 200_000
 
 
 def word_set(text: Column, longer_than: int = 2) -> Column:
@@ -68,3 +72,110 @@ def clusters(pairs: DataFrame) -> DataFrame:
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     mean = pairs.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.avg("similarity").alias("mean_similarity"))
     return size.join(mean, "component")
+
+
+def _settle_in_order(links: DataFrame) -> DataFrame:
+    """(node): the members that the links a < b give, one after another; for a counted, small rest."""
+
+    def run(batches):
+        members: set[int] = set()
+        for batch in batches:
+            for a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if a not in members:  # all links to a came before, so a leads
+                    members.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(members), pa.int64())], names=["node"])
+
+    return map_arrow(links.select("a", "b").coalesce(1).sortWithinPartitions("a", "b"), run, "node long")
+
+
+def leader_clusters(pairs: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(node, leader) of all nodes in ``pairs`` (a, b), a < b, as one pass in the order of ids would give it.
+
+    In that pass a node that no earlier leader is similar to becomes a leader, and every other joins the
+    first leader it is similar to. The leaders are the first maximal independent set in that order: a round
+    takes all nodes without an unsettled earlier neighbour as leaders and their later neighbours as
+    members, and drops both, until no link is left. When few links are left, one task settles them.
+    """
+    links = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a < b").distinct()
+    links = whole = shared_table(links, "links")
+    members, steps = [], []
+    while n := links.count():
+        if n <= few:
+            found = cut(_settle_in_order(links))
+            members.append(found)
+            break
+        heads = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        found = cut(links.join(heads, "a", "left_semi").select(F.col("b").alias("node")).distinct())
+        members.append(found)
+        rest = links.join(found.select(F.col("node").alias("a")), "a", "left_anti").join(found.select(F.col("node").alias("b")), "b", "left_anti")
+        links = cut(rest)
+        steps.append(links)
+    nodes = whole.select(F.col("a").alias("node")).union(whole.select("b")).distinct()
+    if not members:
+        return nodes.select("node", F.col("node").alias("leader"))
+    member = members[0]
+    for m in members[1:]:
+        member = member.union(m)
+    member = cut(member)
+    # a member's leader may have been settled in a later round than the member
+    joined = whole.join(member.select(F.col("node").alias("a")), "a", "left_anti").join(member.select(F.col("node").alias("b")), "b", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
+    discard(*members, *steps)
+    leaders = nodes.join(member, "node", "left_anti").select("node", F.col("node").alias("leader"))
+    return leaders.unionByName(joined)
+
+
+def least_similarity(rows: DataFrame, group: str, tokens: str, floor: float = 0.0) -> DataFrame:
+    """(group, n, n_sets, least): the least Jaccard similarity of two members of each group with two or more.
+
+    Equal sets count as one with a number, so a group of copies costs nothing, and its least is 1. Distances to two
+    sets of the group, its smallest and the one farthest from that, bound the distance of any two others (Jaccard
+    distance keeps the triangle inequality); only pairs that could lie farther apart than the best so far are
+    compared. Groups found below ``floor`` aren't searched on, and their ``least`` is that of a pair below it.
+    Null sets count as empty; an empty set and another have 0 in common, two empty ones 1.
+    """
+    as_set = F.array_sort(F.coalesce(F.col(tokens), F.array().cast(rows.schema[tokens].dataType)))
+    # a name that null groups have, too
+    named = rows.select(F.to_json(F.struct(F.col(group).alias("g"))).alias("_group"), F.col(group).alias("value"), as_set.alias("set")).withColumn("key", F.md5(F.array_join(F.transform("set", lambda x: x.cast("string")), "\x00").cast("binary")))
+    sets = shared_table(named.groupBy("_group", "key").agg(F.count(F.lit(1)).alias("n"), F.any_value("set").alias("set"), F.any_value("value").alias("value")), "group-sets")
+    sizes = sets.groupBy("_group").agg(F.any_value("value").alias(group), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sets")).where("n > 1")
+    first = sets.groupBy("_group").agg(F.min_by("set", F.struct(F.size("set"), F.col("key"))).alias("pivot"))
+    near = shared_table(sets.join(first, "_group").select("_group", "key", "set", jaccard(F.col("set"), F.col("pivot")).alias("s1")), "to-first")
+    second = near.groupBy("_group").agg(F.min_by("set", F.struct("s1", "key")).alias("pivot"))
+    both = shared_table(near.join(second, "_group").select("_group", "key", "set", "s1", jaccard(F.col("set"), F.col("pivot")).alias("s2")), "to-both")
+    best = both.groupBy("_group").agg(F.least(F.min("s1"), F.min("s2")).alias("best"), F.min("s1").alias("far1"), F.min("s2").alias("far2"))
+    # with s = 1 - distance: two sets can be less similar than ``best`` only if s + s' - 1 < best for both pivots
+    could = lambda x, y, far: F.col(x) + F.col(y) - 1 < F.col(far) - 1e-12
+    open_ = both.join(best.where((F.col("best") > 0) & (F.col("best") >= floor)), "_group").where(could("s1", "far1", "best") & could("s2", "far2", "best")).select("_group", "key", "s1", "s2", "best")
+    pairs = open_.toDF("_group", "ka", "a1", "a2", "best").join(open_.drop("best").toDF("_group", "kb", "b1", "b2"), "_group").where((F.col("ka") < F.col("kb")) & could("a1", "b1", "best") & could("a2", "b2", "best")).select("_group", "ka", "kb")
+    full = pairs.join(both.select("_group", F.col("key").alias("ka"), F.col("set").alias("sa")), ["_group", "ka"]).join(both.select("_group", F.col("key").alias("kb"), F.col("set").alias("sb")), ["_group", "kb"])
+    found = full.groupBy("_group").agg(F.min(jaccard(F.col("sa"), F.col("sb"))).alias("found"))
+    out = sizes.join(best.select("_group", "best"), "_group").join(found, "_group", "left")
+    return out.select(group, "n", "n_sets", F.least("best", F.coalesce("found", "best")).alias("least"))
+
+
+def token_links(df: DataFrame, row_id: str, file: str, text: str, least: float = 0.92, length_gap: float = 0.5) -> DataFrame:
+    """(row_id, class, n_links): each row with the number of rows of other files that its text is similar to.
+
+    Texts are similar if their lengths differ by at most ``length_gap`` of the longer and the sets of their
+    words (between white space) have a Jaccard similarity of ``least`` or more. Rows of equal sets and lengths are
+    one class, named by its smallest id; classes are joined, and links are counted by class and
+    file, so copies are never paired row by row. Rows without a word have a class but no links; null files are one file.
+    """
+    words = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = df.select(F.col(row_id).alias("id"), F.col(file).alias("file"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("length"), F.array_sort(words).alias("set"))
+    rows = rows.withColumn("key", F.sha2(F.array_join("set", " "), 256))
+    rows = shared_table(rows.withColumn("class", F.min("id").over(Window.partitionBy("key", "length"))), "token-rows")
+    one = rows.where(F.col("id") == F.col("class")).select("class", "length", "set").dropDuplicates(["class"])
+    found = shared_table(similar_pairs(one, "class", "set", least).select("a", "b"), "token-pairs")
+    size = one.select("class", "length")
+    gated = found.join(size.toDF("a", "la"), "a").join(size.toDF("b", "lb"), "b").where(F.abs(F.col("la") - F.col("lb")) <= length_gap * F.greatest("la", "lb"))
+    own = one.where(F.size("set") > 0).select(F.col("class").alias("a"), F.col("class").alias("b"))
+    links = shared_table(gated.select("a", "b").union(gated.select(F.col("b"), F.col("a"))).union(own), "token-links")
+    by_file = shared_table(rows.groupBy("class", "file").agg(F.count(F.lit(1)).alias("n")), "class-files")
+    total = by_file.groupBy(F.col("class").alias("b")).agg(F.sum("n").alias("n"))
+    around = links.join(total, "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("around"))
+    # of those, the ones in the row's own file
+    mine, theirs = by_file.select(F.col("class").alias("a"), "file"), by_file.select(F.col("class").alias("b"), F.col("file").alias("file2"), "n")
+    same = mine.join(links, "a").join(theirs, (links["b"] == theirs["b"]) & F.col("file").eqNullSafe(F.col("file2"))).groupBy(F.col("a").alias("class"), "file").agg(F.sum("n").alias("same"))
+    out = rows.select("id", "file", "class").join(around, "class", "left").join(same.withColumnRenamed("class", "c2").withColumnRenamed("file", "f2"), (F.col("class") == F.col("c2")) & F.col("file").eqNullSafe(F.col("f2")), "left")
+    return out.select(F.col("id").alias(row_id), "class", (F.coalesce("around", F.lit(0)) - F.coalesce("same", F.lit(0))).alias("n_links"))

@@ -9,6 +9,7 @@ from quernstone.functions import strings as C
 from quernstone.functions import text as X
 from quernstone.operators import similarity as M
 from quernstone.operators.components import connected_components
+from quernstone.plans import shared_table
 from quernstone.queries import query
 from quernstone.sources import table
 
@@ -122,6 +123,42 @@ def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return members.join(comp, "class", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "class").alias("component"))
 
 
+@query(f"""WITH RECURSIVE {_SHINGLES}, e AS (SELECT b AS node, list(a) AS earlier FROM p GROUP BY 1), o AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM (SELECT a AS node FROM p UNION SELECT b FROM p)),
+z(i, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT z.i + 1, CASE WHEN len(list_intersect(coalesce(earlier, []), leaders)) = 0 THEN list_append(leaders, o.node) ELSE leaders END FROM z JOIN o ON o.i = z.i + 1 LEFT JOIN e ON e.node = o.node),
+l AS (SELECT unnest(leaders) AS leader FROM (SELECT leaders FROM z ORDER BY i DESC LIMIT 1)), j AS (SELECT b AS node, min(a) AS leader FROM p WHERE a IN (FROM l) AND b NOT IN (FROM l) GROUP BY 1),
+m AS (SELECT k.doc_id, min(r2.class) AS class FROM k JOIN (SELECT min(doc_id) AS class, h, n FROM k GROUP BY h, n) r2 ON k.h = r2.h AND k.n = r2.n GROUP BY 1)
+SELECT documents.doc_id, coalesce(j.leader, m.class, (SELECT min(doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k))) AS leader FROM documents LEFT JOIN m ON m.doc_id = documents.doc_id LEFT JOIN j ON j.node = m.class""")
+def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the first leader that it is similar to, in the order of ids."""
+    members, pairs = _near(spark, d)
+    led = M.leader_clusters(pairs).select(F.col("node").alias("class"), "leader")
+    return members.join(led, "class", "left").select(F.col("id").alias("doc_id"), F.coalesce("leader", "class").alias("leader"))
+
+
+@query(f"""WITH RECURSIVE {_SHINGLES}, u AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), f AS (SELECT x AS node, x AS top FROM u UNION SELECT f.node, u.y FROM f JOIN u ON u.x = f.top), c AS (SELECT node, min(top) AS component FROM f GROUP BY 1),
+q AS (SELECT k.doc_id, r2.class FROM k JOIN (SELECT min(doc_id) AS class, h, n FROM k GROUP BY h, n) r2 ON k.h = r2.h AND k.n = r2.n), g AS (SELECT q.doc_id, q.class, coalesce(component, q.class) AS component FROM q LEFT JOIN c ON c.node = q.class),
+x AS (SELECT DISTINCT component, class FROM g), w AS (SELECT a.component, a.class AS ca, b.class AS cb, a.n AS na, b.n AS nb FROM (SELECT x.*, n FROM x JOIN r USING (class)) a JOIN (SELECT x.*, n FROM x JOIN r USING (class)) b ON a.component = b.component AND a.class < b.class),
+y AS (SELECT w.component, w.ca, w.cb, any_value(na) AS na, any_value(nb) AS nb, count(t2.g) AS shared FROM w JOIN t t1 ON t1.class = ca LEFT JOIN t t2 ON t2.class = cb AND t2.g = t1.g GROUP BY 1, 2, 3), v AS (SELECT component, min(shared / (na + nb - shared)) AS least FROM y GROUP BY 1)
+SELECT component, count(*) AS n, count(DISTINCT g.class) AS n_sets, round(coalesce(any_value(least), 1.0), 6) AS least, CASE WHEN coalesce(any_value(least), 1.0) > 0.8 THEN 'merge' WHEN coalesce(any_value(least), 1.0) > 0.3 THEN 'rename' ELSE 'keep' END AS advice FROM g LEFT JOIN v USING (component) GROUP BY 1 HAVING count(*) > 1""")
+def least_group_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Groups that near duplicates connect, with the least similarity of two of their texts."""
+    members, sets = M.classes(table(spark, d, "documents").select("doc_id", M.shingle_set(F.col("text")).alias("set")).where(F.size("set") > 0), "doc_id", "set")
+    sets = shared_table(sets, "class-sets")
+    comp = connected_components(M.similar_pairs(sets, "class", "set", 0.8), "a", "b").select(F.col("node").alias("class"), F.col("component"))
+    rows = members.join(comp, "class", "left").select(F.coalesce("component", "class").alias("component"), "class").join(sets, "class")
+    out = M.least_similarity(rows, "component", "set")
+    least = F.col("least")
+    return out.select("component", "n", "n_sets", F.round(least, 6).alias("least"), F.when(least > 0.8, "merge").when(least > 0.3, "rename").otherwise("keep").alias("advice"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, length(coalesce(text, '')) AS n, list_sort(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM documents),
+p AS (SELECT a.doc_id FROM d a JOIN d b ON a.source IS DISTINCT FROM b.source AND len(a.w) >= 0.92 * len(b.w) - 1e-9 AND len(b.w) >= 0.92 * len(a.w) - 1e-9 AND abs(a.n - b.n) <= 0.5 * greatest(a.n, b.n) AND len(a.w) > 0 WHERE len(list_intersect(a.w, b.w)) >= 0.92 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY w, n) AS class, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id) AS n_links FROM d""")
+def token_links(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the number of documents of other sources that hold nearly the same words."""
+    return M.token_links(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
 @query()
 def duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
     return M.clusters(_near(spark, d)[1]).select("component", "size", F.round("mean_similarity", 6).alias("mean_similarity"))
