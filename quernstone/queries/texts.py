@@ -176,10 +176,15 @@ def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
     return hit.where(F.col("c") >= 0.5 * F.col("n")).select("doc_id", "item_id", F.round(F.col("c") / F.col("n"), 6).alias("overlap"))
 
 
-@query("""WITH g AS (SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS brands, min(p_retailprice) / max(p_retailprice) AS similarity FROM part GROUP BY 1 HAVING count(*) >= 2)
-SELECT p_type, n, brands, round(similarity, 6) AS similarity, CASE WHEN similarity > 0.8 THEN 'merge' WHEN similarity > 0.3 THEN 'rename' ELSE 'keep' END AS advice FROM g WHERE similarity >= 0.15""")
+@query("""WITH t AS (SELECT p_name, p_partkey, p_brand, list_concat(['id', 'name'], list_transform(range(1, length(p_name) % 5 + 1), lambda i: 'x' || i || '_' || p_size % 3)) AS f FROM part),
+x AS (SELECT DISTINCT p_name, f FROM t), j AS (SELECT a.p_name, min(len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)))) AS least FROM x a JOIN x b USING (p_name) GROUP BY 1),
+g AS (SELECT p_name, count(*) AS n, count(DISTINCT p_brand) AS brands FROM t GROUP BY 1 HAVING count(*) >= 2)
+SELECT p_name, n, brands, round(least, 6) AS similarity, CASE WHEN least > 0.8 THEN 'merge' WHEN least > 0.3 THEN 'rename' ELSE 'keep' END AS advice FROM g JOIN j USING (p_name)""")
 def same_name_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of one name with the least similarity of two members, which extremes give without all pairs."""
-    g = table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands"), (F.min("p_retailprice") / F.max("p_retailprice")).alias("s")).where("n >= 2 and s >= 0.15")
-    s = F.col("s")
-    return g.select("p_type", "n", "brands", F.round(s, 6).alias("similarity"), F.when(s > 0.8, "merge").when(s > 0.3, "rename").otherwise("keep").alias("advice"))
+    """Groups of one name with the least similarity of two members' fields, some of which depend on the size."""
+    more = F.transform(F.sequence(F.lit(1), F.length("p_name") % 5), lambda i: F.concat(F.lit("x"), i, F.lit("_"), F.col("p_size") % 3))
+    fields = F.concat(F.array(F.lit("id"), F.lit("name")), F.when(F.length("p_name") % 5 > 0, more).otherwise(F.array().cast("array<string>")))
+    t = table(spark, d, "part").select("p_name", "p_brand", fields.alias("fields"))
+    s = F.col("least")
+    found = M.least_similarity(t, "p_name", "fields").select("p_name", "n", F.round(s, 6).alias("similarity"), F.when(s > 0.8, "merge").when(s > 0.3, "rename").otherwise("keep").alias("advice"))
+    return found.join(t.groupBy("p_name").agg(F.countDistinct("p_brand").alias("brands")), "p_name")
