@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.scoring import impact_level
 from quernstone.operators import graph as G
 from quernstone.operators import relational as R
+from quernstone.operators.cycles import shortest_cycles
 from quernstone.queries import query
 from quernstone.queries.records import symbol_edges
 from quernstone.sources import table
@@ -67,6 +68,31 @@ def strongly_connected(spark: SparkSession, d: str) -> DataFrame:
     return G.strong_components(nation_edges(spark, d))
 
 
+#: A sparse graph of suppliers: each to the ones a fixed step on within its block, which gives rings and chains.
+_LOOPS = """b AS (SELECT s_suppkey AS s, s_suppkey // 10 AS k, s_suppkey % 10 AS i FROM supplier), e AS (
+SELECT a.s AS src, c.s AS dst FROM b a JOIN b c ON a.k = c.k AND c.i = (a.i + 1 + a.k % 4) % 10 AND a.k % 3 <> 2
+UNION SELECT a.s, c.s FROM b a JOIN b c ON a.k = c.k AND c.i = a.i + 1 AND a.k % 3 = 2 UNION SELECT s, s FROM b WHERE s % 17 = 3 UNION SELECT s, s + 10 FROM b WHERE i = 0)"""
+
+
+def supplier_loops(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("s"))
+    b = s.select("s", F.floor(F.col("s") / 10).alias("k"), (F.col("s") % 10).alias("i"))
+    ring = b.where("k % 3 != 2").select("s", (F.col("k") * 10 + (F.col("i") + 1 + F.col("k") % 4) % 10).alias("dst"))
+    chain = b.where("k % 3 = 2 and i < 9").select("s", (F.col("s") + 1).alias("dst"))
+    known = ring.union(chain).join(s.select(F.col("s").alias("dst")), "dst", "left_semi").select(F.col("s").alias("src"), "dst")
+    return known.union(b.where("s % 17 = 3").select("s", "s")).union(b.where("i = 0").select("s", F.col("s") + 10))
+
+
+@query(f"""WITH RECURSIVE {_LOOPS}, r AS (SELECT src AS root, dst AS node, [src] AS way FROM e WHERE dst >= src UNION ALL SELECT root, e.dst, list_append(way, node) FROM r JOIN e ON e.src = node WHERE node <> root AND e.dst >= root AND NOT list_contains(way, node)),
+c AS (SELECT root, way FROM r WHERE node = root), m AS (SELECT root, min(len(way)) AS n FROM c GROUP BY 1),
+g AS (SELECT m.root, n, min(way) AS way FROM m JOIN c ON c.root = m.root AND len(c.way) = n GROUP BY 1, 2),
+p AS (SELECT src AS a, dst AS b FROM e UNION SELECT p.a, e.dst FROM p JOIN e ON e.src = p.b)
+SELECT root AS component, n AS length, array_to_string(way, '>') AS cycle FROM g WHERE NOT EXISTS (SELECT 1 FROM p x JOIN p y ON x.a = y.b AND x.b = y.a WHERE x.a = root AND x.b < root)""")
+def dependency_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """A shortest cycle of each group of suppliers that depend on each other."""
+    return shortest_cycles(supplier_loops(spark, d)).select("component", F.col("length").cast("long").alias("length"), F.array_join("cycle", ">").alias("cycle"))
+
+
 @query(f"""WITH RECURSIVE {_NATIONS}, dag AS (SELECT DISTINCT src, dst FROM e WHERE src > dst), l AS (SELECT n_nationkey AS node, 0 AS level FROM nation UNION SELECT dag.src, l.level + 1 FROM l JOIN dag ON dag.dst = l.node)
 SELECT node, max(level) AS level FROM l GROUP BY 1""")
 def dependency_levels(spark: SparkSession, d: str) -> DataFrame:
