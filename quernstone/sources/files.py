@@ -15,15 +15,28 @@ def source_files(spark: SparkSession, path: str, pattern: str = "*", recursive:
     return read.select(F.input_file_name().alias("path"), F.col("value").alias("content")).where(~F.col("path").rlike(skip))
 
 
+#: What stands between two commits of a log.
+_NEXT_COMMIT = "\ncommit\t"
+
+
+def _commits(text: DataFrame) -> DataFrame:
+    """(hash, subject, date, file) of rows that hold a commit each, the first of a file with its mark."""
+    lines = text.select(F.split(F.regexp_replace("value", r"\A(?:commit\t)?", ""), "\n").alias("lines")).where(F.get("lines", F.lit(0)) != "")
+    lines = lines.select(F.split(F.get("lines", F.lit(0)), "\t").alias("head"), F.filter(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x != "").alias("files"))
+    return lines.select(F.get("head", F.lit(0)).alias("hash"), F.get("head", F.lit(1)).alias("subject"), F.get("head", F.lit(2)).alias("date"), F.explode_outer("files").alias("file"))
+
+
 def commit_log(spark: SparkSession, path: str) -> DataFrame:
     """(hash, subject, date, file) from ``git log --name-only --pretty=format:'commit%x09%H%x09%s%x09%aI'``.
 
-    The log is read whole, cut at its commit lines and then at its lines, so that files stay with their commit.
+    Commits are the reader's records, so files stay with their commit and a long log is read by many tasks.
     """
-    text = spark.read.text(path, wholetext=True)
-    parts = text.select(F.explode(F.split("value", r"(?m)^commit\t")).alias("part")).where(F.length("part") > 0)
-    lines = parts.select(F.split("part", "\n").alias("lines")).select(F.split(F.get("lines", F.lit(0)), "\t").alias("head"), F.filter(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x != "").alias("files"))
-    return lines.select(F.get("head", F.lit(0)).alias("hash"), F.get("head", F.lit(1)).alias("subject"), F.get("head", F.lit(2)).alias("date"), F.explode_outer("files").alias("file"))
+    return _commits(spark.read.option("lineSep", _NEXT_COMMIT).text(path))
+
+
+def commit_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from log files as they come into a folder; the stream's checkpoint knows which were read."""
+    return _commits(spark.readStream.option("lineSep", _NEXT_COMMIT).text(folder))
 
 
 def frontmatter(files: DataFrame) -> DataFrame:

@@ -29,6 +29,31 @@ def test_commit_log(spark, tmp_path):
     assert got == [("abc", "fix: crash", "2024-01-01T00:00:00Z", "a.py"), ("abc", "fix: crash", "2024-01-01T00:00:00Z", "b.py"), ("def", "add feature", "2024-01-02T00:00:00Z", None)]
 
 
+def test_commit_log_in_parts(spark, tmp_path):
+    """A log longer than a task's share is read by several tasks, each commit once; new files are read by a stream that goes on."""
+    text = "\n".join(f"commit\th{k}\tsubject {k}\t2024-01-01T00:00:00Z\n" + "".join(f"dir/{j}.py\n" for j in range(k % 5)) for k in range(4000))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = S.commit_log(spark, str(tmp_path / "in"))
+        assert df.rdd.getNumPartitions() > 4
+        got = sorted((r.hash, r.file or "") for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted((f"h{k}", f"dir/{j}.py" if k % 5 else "") for k in range(4000) for j in range(max(1, k % 5)))
+
+    def drain():
+        q = S.commit_stream(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert drain() == len(got)
+    (tmp_path / "in/b.txt").write_text("commit\tz\tlater\t2024-01-02T00:00:00Z\nx.py\n")
+    assert drain() == len(got) + 1
+
+
 def test_append_and_xml(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b" <c>&')], "id long, t string")
     S.append(df, str(tmp_path / "t"))
