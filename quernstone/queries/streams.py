@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from quernstone.plans import shared_dir
 from quernstone.queries import query
 from quernstone.sources import table
+from quernstone.streaming import breaker as B
 from quernstone.streaming import limits as L
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: User and id of the event that only moves the watermark.
+_BEAT = -(1 << 62)
+
 
 def replay(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, one row group of files at a time; times as timestamps."""
@@ -56,6 +61,40 @@ def stream_circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return landed(L.circuit_breaker(events, "user_id", "event_id", "us", "failed"), "breakers", "append").select("key", "id", "state", "streak")
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, coalesce(event_type = 'error', false) AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+z(user_id, i, event_id, state, streak, last) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, 'closed', 0::BIGINT, 0::BIGINT FROM o UNION ALL
+SELECT o.user_id, o.i, o.event_id, CASE WHEN z.state = 'open' AND us - last < 60000000 THEN 'open' WHEN NOT failed THEN 'closed' WHEN z.state = 'open' OR streak + 1 >= 3 THEN 'open' ELSE z.state END,
+CASE WHEN z.state = 'open' AND us - last < 60000000 THEN streak WHEN NOT failed THEN 0 ELSE streak + 1 END, CASE WHEN (z.state = 'open' AND us - last < 60000000) OR NOT failed THEN last ELSE us END FROM z JOIN o ON o.user_id = z.user_id AND o.i = z.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, state, CAST(streak AS INT) AS streak FROM z WHERE i > 0""")
+def stream_event_time_breaker(spark: SparkSession, d: str) -> DataFrame:
+    """The breakers in event time, whatever the order of files; a last beat moves the watermark past every event."""
+    home = f"{shared_dir(spark)}/event-breakers-{uuid.uuid4().hex}"
+    beats = f"{home}/beats"
+    schema = "user_id long, event_id long, ts timestamp, failed boolean"
+    spark.createDataFrame([], schema).write.parquet(beats)
+
+    def go() -> None:
+        events = replay(spark, d).select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+        both = events.unionByName(spark.readStream.schema(schema).parquet(beats))
+        ours = spark.conf.get(_PROVIDER, None)
+        spark.conf.set(_PROVIDER, B.ROCKSDB)
+        try:
+            out = B.event_time_breaker(both, "user_id", "event_id", "ts", "failed", "40 days")
+            q = out.writeStream.outputMode("append").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{home}/rows/batch={n}")).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+        finally:
+            spark.conf.unset(_PROVIDER) if ours is None else spark.conf.set(_PROVIDER, ours)
+
+    go()
+    last = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    if last is not None:
+        beat = F.lit(last) + F.expr("INTERVAL 100 DAYS")
+        spark.range(1).select(F.lit(_BEAT).cast("long").alias("user_id"), F.lit(_BEAT).cast("long").alias("event_id"), beat.alias("ts"), F.lit(False).alias("failed")).write.mode("append").parquet(beats)
+        go()  # goes on from the checkpoint
+    rows = spark.read.schema("key string, id long, state string, streak int").parquet(f"{home}/rows")
+    return rows.where(F.col("id") != _BEAT).select("key", "id", "state", "streak")
+
+
 @query("SELECT event_id, k AS part, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def stream_fan_out(spark: SparkSession, d: str) -> DataFrame:
     out = landed(L.fan_out(replay(spark, d), "event_id", "props"), "parts", "append")

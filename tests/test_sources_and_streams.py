@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.sources import files as S
+from quernstone.streaming import breaker as B
 from quernstone.streaming import limits as L
 
 
@@ -92,6 +95,50 @@ def test_breaker_stream(spark, tmp_path):
     assert got[9] == ("open", 4) and got[10] == ("closed", 0)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_event_time_breaker(spark, tmp_path, seed):
+    """Files in any order, with a stop in the middle, give what the events in order of time give."""
+    rng = random.Random(seed)
+    events = [(rng.choice("ab"), k, rng.randrange(0, 1200) * 500_000, rng.random() < 0.6) for k in range(160)]
+    want = {}
+    for key in "ab":
+        state, streak, last = "closed", 0, 0
+        for _, i, us, bad in sorted((e for e in events if e[0] == key), key=lambda e: (e[2], e[1])):
+            state, streak, last = L.breaker_step(state, streak, last, us, bad)
+            want[i] = (state, streak)
+    assert {s for s, _ in want.values()} == {"open", "closed"}
+    rng.shuffle(events)
+    (tmp_path / "in").mkdir()
+    schema = "k string, id long, us long, failed boolean"
+
+    def put(name, rows):
+        (tmp_path / f"in/{name}.json").write_text("\n".join(json.dumps(dict(zip(("k", "id", "us", "failed"), r, strict=True))) for r in rows))
+
+    def go():
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("us"))
+        old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", B.ROCKSDB)
+        try:
+            out = B.event_time_breaker(src, "k", "id", "ts", "failed", "20 minutes")
+            q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        finally:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        return {r.id: (r.state, r.streak) for r in spark.read.schema("key string, id long, state string, streak int").parquet(str(tmp_path / "out")).collect()}
+
+    for k in range(4):
+        put(f"first{k}", [*events[20 * k : 20 * k + 20], (None, 1, 5, True), ("a", None, 5, True)])
+    assert go() == {}  # the watermark has passed none of them yet
+    for k in range(4):
+        put(f"second{k}", events[80 + 20 * k : 100 + 20 * k])
+    put("tick", [("tick", -1, 90_000_000_000, False)])
+    go()
+    put("late", [("a", 999, 1, True), ("tick", -2, 95_000_000_000, False)])
+    got = go()
+    assert got.pop(-1, ("closed", 0)) == ("closed", 0)
+    assert got == want
+
+
 def test_window_stream(spark, tmp_path):
     rows = [{"k": "a", "ts": f"2024-01-01T00:00:{s:02d}Z", "id": s, "v": 2.5} for s in (1, 5, 5, 40)]
     src = stream(spark, tmp_path, rows, "k string, ts timestamp, id long, v double")
