@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from quernstone.plans import cut, discard, map_arrow, shared_table
 
 #: Links that are left when one task settles them in order, instead of further rounds (about 3 MB).
 FEW_LINKS = 200_000
+#: Sets that a token is in from which on it counts as frequent, and how many frequent tokens are told apart (2 MB).
+OFTEN, MAX_OFTEN = 100, 100_000
+#: Ids that are broadcast (about 20 MB once hashed); beyond, both sides are shuffled.
+MAX_BROADCAST_IDS = 200_000
 
 
 def word_set(text: Column, longer_than: int = 2) -> Column:
@@ -46,23 +51,56 @@ def classes(df: DataFrame, row_id: str, tokens: str) -> tuple[DataFrame, DataFra
     return members, rows.join(first.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "set")
 
 
+def _prefixes(s: DataFrame, least: float) -> DataFrame:
+    """(id, n, t): of each set's tokens, rare ones first, as many as two similar sets must share one of.
+
+    Any order that is the same for all sets will do, so only the tokens of most sets, a bounded list, are
+    put last by their number; all others stand by their hash. No token is joined with its count.
+    """
+    many = s.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    often = [r["t"] for r in many.orderBy(F.desc("n"), "t").limit(MAX_OFTEN).collect()]
+    by_count = np.array(often[::-1], np.int64)
+    known = np.sort(by_count)
+    place = np.argsort(by_count, kind="stable")  # of each known token among those by their number
+    sent = s.sparkSession.sparkContext.broadcast((known, place))
+
+    def run(batches):
+        known, place = sent.value
+        for batch in batches:
+            n = np.asarray(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            rank = np.full(len(flat), -1, np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                hit = known[at] == flat
+                rank[hit] = place[at[hit]]
+            order = np.lexsort((flat, rank, row))
+            keep = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
+            own = order[(np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)) < np.repeat(keep, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[own])), pa.array(n[row[own]]), pa.array(flat[own])], names=["id", "n", "t"])
+
+    return map_arrow(s.select("id", "tokens"), run, f"id {s.schema['id'].dataType.simpleString()}, n long, t long")
+
+
 def similar_pairs(sets: DataFrame, row_id: str, tokens: str, least: float) -> DataFrame:
     """(a, b, similarity), a < b, of rows whose sets have a Jaccard similarity of at least ``least``.
 
-    Exact, by prefix filtering: of two similar sets, in an order by rarity, the prefixes of length
-    n - ceil(least * n) + 1 share a token. Only these few rarest tokens of a set are joined, and lengths
+    Exact, by prefix filtering: of two similar sets, in one order of all tokens, the prefixes of length
+    n - ceil(least * n) + 1 share a token. Only these few tokens of a set are joined, and lengths
     must be within the factor ``least``; sets are fetched for candidates alone. Collapse equal sets with
     ``classes`` first. Empty sets are similar to nothing.
     """
-    s = shared_table(sets.select(F.col(row_id).alias("id"), F.col(tokens).alias("set")).where(F.size(tokens) > 0), "similar-sets")
-    tok = s.select("id", F.size("set").alias("n"), F.explode("set").alias("t"))
-    df = tok.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tok.join(df, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("order"))
-    keep = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", "n", F.explode(F.slice("order", F.lit(1), keep)).alias("p")).where("p.df > 1").select("id", "n", F.col("p.t").alias("t"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
+    kind = sets.schema[tokens].dataType.elementType.simpleString()
+    hashed = F.col(tokens) if kind == "bigint" else F.transform(tokens, lambda x: F.xxhash64(x))
+    s = shared_table(sets.select(F.col(row_id).alias("id"), F.col(tokens).alias("set"), hashed.alias("tokens")).where(F.size(tokens) > 0), "similar-sets")
+    prefix = _prefixes(s, least)
+    a, b = prefix.toDF("a", "na", "t"), prefix.toDF("b", "nb", "t")
     near = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)).select("a", "b").distinct()
-    full = near.join(s.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    near = shared_table(near, "candidates")
+    wanted = shared_table(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "candidate-ids")
+    s = s.select("id", "set").join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted, "id", "left_semi")
+    full = near.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     return full.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
 
 
@@ -162,8 +200,8 @@ def token_links(df: DataFrame, row_id: str, file: str, text: str, least: float =
     file, so copies are never paired row by row. Rows without a word have a class but no links; null files are one file.
     """
     words = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    rows = df.select(F.col(row_id).alias("id"), F.col(file).alias("file"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("length"), F.array_sort(words).alias("set"))
-    rows = rows.withColumn("key", F.sha2(F.array_join("set", " "), 256))
+    rows = df.select(F.col(row_id).alias("id"), F.col(file).alias("file"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("length"), F.array_sort(words).alias("words"))
+    rows = rows.select("id", "file", "length", F.transform("words", lambda w: F.xxhash64(w)).alias("set"), F.sha2(F.array_join("words", " "), 256).alias("key"))
     rows = shared_table(rows.withColumn("class", F.min("id").over(Window.partitionBy("key", "length"))), "token-rows")
     one = rows.where(F.col("id") == F.col("class")).select("class", "length", "set").dropDuplicates(["class"])
     found = shared_table(similar_pairs(one, "class", "set", least).select("a", "b"), "token-pairs")
