@@ -43,12 +43,27 @@ def dice(a: Column, b: Column, empty: float = 1.0) -> Column:
     return F.coalesce(F.when(total == 0, empty).otherwise(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), total)), F.lit(0.0))
 
 
+def set_classes(df: DataFrame, row_id: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """((id, class), (class, tokens)): rows with the same set are one class, named by the smallest id.
+
+    The second table has all rows, also those that don't name their class; ``similar_pairs`` takes the names' ids
+    as ``among``, so that no set is moved.
+    """
+    rows = shared_table(df.select(F.col(row_id).alias("class"), F.array_sort(tokens).alias("set")).withColumn("key", F.md5(F.array_join(F.transform("set", lambda x: x.cast("string")), " ").cast("binary"))), "sets")
+    keys = rows.select(F.col("class").alias("id"), "key")
+    members = shared_table(keys.join(keys.groupBy("key").agg(F.min("id").alias("class")), "key").select("id", "class"), "members")
+    return members, rows
+
+
 def classes(df: DataFrame, row_id: str, tokens: str) -> tuple[DataFrame, DataFrame]:
-    """((id, class), (class, tokens)): rows with the same set are one class, named by the smallest id."""
-    rows = shared_table(df.select(F.col(row_id).alias("id"), F.array_sort(tokens).alias("set")).withColumn("key", F.md5(F.array_join(F.transform("set", lambda x: x.cast("string")), " ").cast("binary"))), "sets")
-    first = rows.groupBy("key").agg(F.min("id").alias("class"))
-    members = rows.select("id", "key").join(first, "key").select("id", "class")
-    return members, rows.join(first.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "set")
+    """((id, class), (class, tokens)): as ``set_classes``, with the sets of the rows that name their class alone."""
+    members, rows = set_classes(df, row_id, tokens)
+    return members, rows.join(names(members).select(F.col("id").alias("class")), "class", "left_semi").select("class", "set")
+
+
+def names(members: DataFrame) -> DataFrame:
+    """(id): the rows that name their class."""
+    return members.where("id = class").select("id")
 
 
 def _prefixes(s: DataFrame, least: float) -> DataFrame:
@@ -83,24 +98,56 @@ def _prefixes(s: DataFrame, least: float) -> DataFrame:
     return map_arrow(s.select("id", "tokens"), run, f"id {s.schema['id'].dataType.simpleString()}, n long, t long")
 
 
-def similar_pairs(sets: DataFrame, row_id: str, tokens: str, least: float) -> DataFrame:
+def _signatures(s: DataFrame) -> DataFrame:
+    """(id, n, bits): each set's size and a bit for each of 1,024 classes of tokens that it has one of.
+
+    Two sets differ in as many tokens at least as their signatures in bits.
+    """
+
+    def run(batches):
+        for batch in batches:
+            n = np.asarray(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bit, row = (flat >> np.uint64(54)).astype(np.int64), np.repeat(np.arange(len(n)), n)
+            bits = np.zeros((len(n), 16), np.uint64)
+            np.bitwise_or.at(bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 16, pa.int32()), pa.array(bits.reshape(-1).view(np.int64)))], names=["id", "n", "bits"])
+
+    return map_arrow(s.select("id", "tokens"), run, f"id {s.schema['id'].dataType.simpleString()}, n long, bits array<long>")
+
+
+def _of(s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``s`` whose ids are in the pairs; the ids are broadcast if they were counted to be few."""
+    ids = shared_table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
+    return s.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def similar_pairs(sets: DataFrame, row_id: str, tokens: str, least: float, among: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of rows whose sets have a Jaccard similarity of at least ``least``.
 
     Exact, by prefix filtering: of two similar sets, in one order of all tokens, the prefixes of length
     n - ceil(least * n) + 1 share a token. Only these few tokens of a set are joined, and lengths
-    must be within the factor ``least``; sets are fetched for candidates alone. Collapse equal sets with
-    ``classes`` first. Empty sets are similar to nothing.
+    must be within the factor ``least``; signatures rule most other candidates out, and sets are fetched for
+    the rest alone. Collapse equal sets with ``classes`` first; ``among`` (id) names the rows to be paired.
+    Empty sets are similar to nothing.
     """
     kind = sets.schema[tokens].dataType.elementType.simpleString()
-    hashed = F.col(tokens) if kind == "bigint" else F.transform(tokens, lambda x: F.xxhash64(x))
-    s = shared_table(sets.select(F.col(row_id).alias("id"), F.col(tokens).alias("set"), hashed.alias("tokens")).where(F.size(tokens) > 0), "similar-sets")
+    hashed = F.col("set") if kind == "bigint" else F.transform("set", lambda x: F.xxhash64(x))
+    s = sets.select(F.col(row_id).alias("id"), F.col(tokens).alias("set")).where(F.size(tokens) > 0)
+    s = (s if hasattr(sets, "shared_path") else shared_table(s, "similar-sets")).withColumn("tokens", hashed)
     prefix = _prefixes(s, least)
+    if among is not None:
+        prefix = prefix.join(among.select("id"), "id", "left_semi")
     a, b = prefix.toDF("a", "na", "t"), prefix.toDF("b", "nb", "t")
     near = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)).select("a", "b").distinct()
     near = shared_table(near, "candidates")
-    wanted = shared_table(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "candidate-ids")
-    s = s.select("id", "set").join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted, "id", "left_semi")
-    full = near.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+    signed = shared_table(_signatures(_of(s, near)), "signatures")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    close = near.join(signed.toDF("a", "na", "sa"), "a").join(signed.toDF("b", "nb", "sb"), "b").where(differ <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
+    close = shared_table(close, "close-pairs")
+    discard(signed, near)
+    some = _of(s.select("id", "set"), close)
+    full = close.join(some.toDF("a", "sa"), "a").join(some.toDF("b", "sb"), "b")
     return full.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
 
 
@@ -202,18 +249,20 @@ def token_links(df: DataFrame, row_id: str, file: str, text: str, least: float =
     words = F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     rows = df.select(F.col(row_id).alias("id"), F.col(file).alias("file"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("length"), F.array_sort(words).alias("words"))
     rows = rows.select("id", "file", "length", F.transform("words", lambda w: F.xxhash64(w)).alias("set"), F.sha2(F.array_join("words", " "), 256).alias("key"))
-    rows = shared_table(rows.withColumn("class", F.min("id").over(Window.partitionBy("key", "length"))), "token-rows")
-    one = rows.where(F.col("id") == F.col("class")).select("class", "length", "set").dropDuplicates(["class"])
-    found = shared_table(similar_pairs(one, "class", "set", least).select("a", "b"), "token-pairs")
+    rows = shared_table(rows, "token-rows")
+    named = rows.select("id", "file", "length", "key", (F.size("set") > 0).alias("filled"))
+    named = shared_table(named.withColumn("class", F.min("id").over(Window.partitionBy("key", "length"))).drop("key"), "token-classes")
+    one = named.where(F.col("id") == F.col("class")).dropDuplicates(["class"])
+    found = shared_table(similar_pairs(rows, "id", "set", least, one.select("id")).select("a", "b"), "token-pairs")
     size = one.select("class", "length")
     gated = found.join(size.toDF("a", "la"), "a").join(size.toDF("b", "lb"), "b").where(F.abs(F.col("la") - F.col("lb")) <= length_gap * F.greatest("la", "lb"))
-    own = one.where(F.size("set") > 0).select(F.col("class").alias("a"), F.col("class").alias("b"))
+    own = one.where("filled").select(F.col("class").alias("a"), F.col("class").alias("b"))
     links = shared_table(gated.select("a", "b").union(gated.select(F.col("b"), F.col("a"))).union(own), "token-links")
-    by_file = shared_table(rows.groupBy("class", "file").agg(F.count(F.lit(1)).alias("n")), "class-files")
+    by_file = shared_table(named.groupBy("class", "file").agg(F.count(F.lit(1)).alias("n")), "class-files")
     total = by_file.groupBy(F.col("class").alias("b")).agg(F.sum("n").alias("n"))
     around = links.join(total, "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("around"))
     # of those, the ones in the row's own file
     mine, theirs = by_file.select(F.col("class").alias("a"), "file"), by_file.select(F.col("class").alias("b"), F.col("file").alias("file2"), "n")
     same = mine.join(links, "a").join(theirs, (links["b"] == theirs["b"]) & F.col("file").eqNullSafe(F.col("file2"))).groupBy(F.col("a").alias("class"), "file").agg(F.sum("n").alias("same"))
-    out = rows.select("id", "file", "class").join(around, "class", "left").join(same.withColumnRenamed("class", "c2").withColumnRenamed("file", "f2"), (F.col("class") == F.col("c2")) & F.col("file").eqNullSafe(F.col("f2")), "left")
+    out = named.select("id", "file", "class").join(around, "class", "left").join(same.withColumnRenamed("class", "c2").withColumnRenamed("file", "f2"), (F.col("class") == F.col("c2")) & F.col("file").eqNullSafe(F.col("f2")), "left")
     return out.select(F.col("id").alias(row_id), "class", (F.coalesce("around", F.lit(0)) - F.coalesce("same", F.lit(0))).alias("n_links"))

@@ -103,8 +103,8 @@ p AS (SELECT a, b, c / (na + nb - c) AS sim FROM i WHERE c / (na + nb - c) >= 0.
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", M.shingle_set(F.col("text")).alias("set"))
-    members, sets = M.classes(docs, "doc_id", "set")
-    return members, M.similar_pairs(sets, "class", "set", 0.8)
+    members, sets = M.set_classes(docs, "doc_id", "set")
+    return members, M.similar_pairs(sets, "class", "set", 0.8, M.names(members))
 
 
 @query(f"WITH {_SHINGLES} SELECT a, b, round(sim, 6) AS similarity FROM p")
@@ -142,10 +142,12 @@ y AS (SELECT w.component, w.ca, w.cb, any_value(na) AS na, any_value(nb) AS nb,
 SELECT component, count(*) AS n, count(DISTINCT g.class) AS n_sets, round(coalesce(any_value(least), 1.0), 6) AS least, CASE WHEN coalesce(any_value(least), 1.0) > 0.8 THEN 'merge' WHEN coalesce(any_value(least), 1.0) > 0.3 THEN 'rename' ELSE 'keep' END AS advice FROM g LEFT JOIN v USING (component) GROUP BY 1 HAVING count(*) > 1""")
 def least_group_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Groups that near duplicates connect, with the least similarity of two of their texts."""
-    members, sets = M.classes(table(spark, d, "documents").select("doc_id", M.shingle_set(F.col("text")).alias("set")).where(F.size("set") > 0), "doc_id", "set")
-    sets = shared_table(sets, "class-sets")
-    comp = connected_components(M.similar_pairs(sets, "class", "set", 0.8), "a", "b").select(F.col("node").alias("class"), F.col("component"))
-    rows = members.join(comp, "class", "left").select(F.coalesce("component", "class").alias("component"), "class").join(sets, "class")
+    members, sets = M.set_classes(table(spark, d, "documents").select("doc_id", M.shingle_set(F.col("text")).alias("set")).where(F.size("set") > 0), "doc_id", "set")
+    comp = connected_components(M.similar_pairs(sets, "class", "set", 0.8, M.names(members)), "a", "b").select(F.col("node").alias("class"), F.col("component"))
+    groups = members.join(comp, "class", "left").select("id", F.coalesce("component", "class").alias("component"))
+    # only sets of groups with two members or more are moved
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    rows = groups.join(several, "component", "left_semi").join(sets.select(F.col("class").alias("id"), "set"), "id")
     out = M.least_similarity(rows, "component", "set")
     least = F.col("least")
     return out.select("component", "n", "n_sets", F.round(least, 6).alias("least"), F.when(least > 0.8, "merge").when(least > 0.3, "rename").otherwise("keep").alias("advice"))
