@@ -14,6 +14,8 @@ from quernstone.plans import cut, discard, map_arrow, shared_table
 FEW_LINKS = 200_000
 #: Sets that a token is in from which on it counts as frequent, and how many frequent tokens are told apart (2 MB).
 OFTEN, MAX_OFTEN = 100, 100_000
+#: Sets of a block of those that meet to be compared.
+MET = 128
 #: Ids that are broadcast (about 20 MB once hashed); beyond, both sides are shuffled.
 MAX_BROADCAST_IDS = 200_000
 
@@ -129,7 +131,7 @@ def similar_pairs(sets: DataFrame, row_id: str, tokens: str, least: float, among
     n - ceil(least * n) + 1 share a token. Only these few tokens of a set are joined, and lengths
     must be within the factor ``least``; signatures rule most other candidates out, and sets are fetched for
     the rest alone. Collapse equal sets with ``classes`` first; ``among`` (id) names the rows to be paired.
-    Empty sets are similar to nothing.
+    Empty sets are similar to nothing. Tokens are told apart by 64 bits: by their value if they are longs, else by their hash.
     """
     kind = sets.schema[tokens].dataType.elementType.simpleString()
     hashed = F.col("set") if kind == "bigint" else F.transform("set", lambda x: F.xxhash64(x))
@@ -146,9 +148,45 @@ def similar_pairs(sets: DataFrame, row_id: str, tokens: str, least: float, among
     close = near.join(signed.toDF("a", "na", "sa"), "a").join(signed.toDF("b", "nb", "sb"), "b").where(differ <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
     close = shared_table(close, "close-pairs")
     discard(signed, near)
-    some = _of(s.select("id", "set"), close)
-    full = close.join(some.toDF("a", "sa"), "a").join(some.toDF("b", "sb"), "b")
-    return full.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    return _verified(s.select("id", "tokens"), close).where(F.col("similarity") >= least - 1e-9)
+
+
+def _verified(s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs. A set is sent to where pairs with it meet, not along with each pair.
+
+    A pair belongs to the smallest partner of its larger side, so pairs of a group of near copies meet in one
+    place; a place with many sets is cut into blocks of about ``MET`` by a hash, each two of which meet on their own.
+    """
+    kind = s.schema["id"].dataType.simpleString()
+    placed = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("g")), "b").select("g", "a", "b")
+    each = lambda p: p.select(*[c for c in p.columns if c not in ("a", "b")], F.explode(F.array("a", "b")).alias("id")).distinct()
+    blocks = each(placed).groupBy("g").agg((1 + F.floor(F.count(F.lit(1)) / MET)).alias("blocks"))
+    block = lambda x: F.pmod(F.xxhash64(x), F.col("blocks"))
+    placed = placed.join(blocks, "g").select("g", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
+    placed = shared_table(placed, "placed-pairs")
+    needed = each(placed).join(_of(s, pairs), "id").select("g", "i", "j", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "tokens")
+    rows = needed.union(placed.select("g", "i", "j", "a", "b", F.lit(None).cast("array<bigint>")))
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.asc_nulls_first("b")).select("g", "i", "j", "a", "b", "tokens")
+
+    def run(batches):
+        place, held = None, {}
+        for batch in batches:
+            g, i, j, a, b = (c.to_pylist() for c in batch.columns[:5])
+            lists = batch.column(5)
+            out = []
+            for k, here in enumerate(zip(g, i, j, strict=True)):
+                if here != place:
+                    place, held = here, {}
+                if b[k] is None:
+                    held[a[k]] = np.sort(np.array(lists[k].values.to_numpy(zero_copy_only=False)))
+                else:
+                    x, y = held[a[k]], held[b[k]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append((a[k], b[k], both / (len(x) + len(y) - both)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.column(3).type), pa.array([r[1] for r in out], batch.column(4).type), pa.array([r[2] for r in out])], names=["a", "b", "similarity"])
+
+    return shared_table(map_arrow(rows, run, f"a {kind}, b {kind}, similarity double"), "similar-pairs")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

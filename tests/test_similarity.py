@@ -57,6 +57,21 @@ def test_least_similarity(spark):
     assert M.least_similarity(df.limit(0), "g", "set").collect() == []
 
 
+def test_pairs_in_blocks(spark, monkeypatch):
+    """A group of near copies that is cut into blocks gives the same pairs; ids and tokens may be strings."""
+    monkeypatch.setattr(M, "MET", 4)
+    rng = random.Random(5)
+    base = [f"t{k}" for k in range(60)]
+    sets = {f"r{k:03d}": set(base) - set(rng.sample(base, 3)) | {f"x{k}"} for k in range(30)} | {f"s{k}": set(rng.sample(base, 20)) for k in range(10)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id string, set array<string>").repartition(3)
+    want = {(a, b): plain_jaccard(sets[a], sets[b]) for a in sets for b in sets if a < b and plain_jaccard(sets[a], sets[b]) >= 0.8}
+    got = {(r.a, r.b): r.similarity for r in M.similar_pairs(df, "id", "set", 0.8).collect()}
+    assert len(want) > 200 and got == pytest.approx(want)
+    only = spark.createDataFrame([(f"r{k:03d}",) for k in range(0, 30, 2)], "id string")
+    got = {(r.a, r.b) for r in M.similar_pairs(df, "id", "set", 0.8, only).collect()}
+    assert got == {p for p in want if all(int(x[1:]) % 2 == 0 for x in p)}
+
+
 def test_token_links(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(30)]
