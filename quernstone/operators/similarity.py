@@ -14,8 +14,8 @@ from quernstone.plans import cut, discard, map_arrow, shared_table
 FEW_LINKS = 200_000
 #: Sets that a token is in from which on it counts as frequent, and how many frequent tokens are told apart (2 MB).
 OFTEN, MAX_OFTEN = 100, 100_000
-#: Sets of a block of those that meet to be compared.
-MET = 128
+#: Tokens of all sets of a block of those that meet to be compared (about 32 MB).
+MET = 4_000_000
 #: Ids that are broadcast (about 20 MB once hashed); beyond, both sides are shuffled.
 MAX_BROADCAST_IDS = 200_000
 
@@ -155,16 +155,18 @@ def _verified(s: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, similarity) of the pairs. A set is sent to where pairs with it meet, not along with each pair.
 
     A pair belongs to the smallest partner of its larger side, so pairs of a group of near copies meet in one
-    place; a place with many sets is cut into blocks of about ``MET`` by a hash, each two of which meet on their own.
+    place; a place with more than ``MET`` tokens is cut into blocks by a hash, each two of which meet on their own.
     """
     kind = s.schema["id"].dataType.simpleString()
     placed = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("g")), "b").select("g", "a", "b")
     each = lambda p: p.select(*[c for c in p.columns if c not in ("a", "b")], F.explode(F.array("a", "b")).alias("id")).distinct()
-    blocks = each(placed).groupBy("g").agg((1 + F.floor(F.count(F.lit(1)) / MET)).alias("blocks"))
+    used = _of(s, pairs)
+    sizes = shared_table(used.select("id", F.size("tokens").alias("n")), "set-sizes")
+    blocks = each(placed).join(sizes, "id").groupBy("g").agg((1 + F.floor(F.sum("n") / MET)).alias("blocks"))
     block = lambda x: F.pmod(F.xxhash64(x), F.col("blocks"))
     placed = placed.join(blocks, "g").select("g", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
     placed = shared_table(placed, "placed-pairs")
-    needed = each(placed).join(_of(s, pairs), "id").select("g", "i", "j", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "tokens")
+    needed = each(placed).join(used, "id").select("g", "i", "j", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "tokens")
     rows = needed.union(placed.select("g", "i", "j", "a", "b", F.lit(None).cast("array<bigint>")))
     rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.asc_nulls_first("b")).select("g", "i", "j", "a", "b", "tokens")
 

@@ -59,7 +59,7 @@ def test_least_similarity(spark):
 
 def test_pairs_in_blocks(spark, monkeypatch):
     """A group of near copies that is cut into blocks gives the same pairs; ids and tokens may be strings."""
-    monkeypatch.setattr(M, "MET", 4)
+    monkeypatch.setattr(M, "MET", 240)
     rng = random.Random(5)
     base = [f"t{k}" for k in range(60)]
     sets = {f"r{k:03d}": set(base) - set(rng.sample(base, 3)) | {f"x{k}"} for k in range(30)} | {f"s{k}": set(rng.sample(base, 20)) for k in range(10)}
