@@ -69,7 +69,9 @@ def names(members: DataFrame) -> DataFrame:
 
 
 def _prefixes(s: DataFrame, least: float) -> DataFrame:
-    """(id, n, t): of each set's tokens, rare ones first, as many as two similar sets must share one of.
+    """(id, n, t, left): of each set's tokens, rare ones first, as many as two similar sets must share one of.
+
+    ``left`` is the number of tokens from this one on: two sets whose first common token it is share no more.
 
     Any order that is the same for all sets will do, so only the tokens of most sets, a bounded list, are
     put last by their number; all others stand by their hash. No token is joined with its count.
@@ -94,10 +96,12 @@ def _prefixes(s: DataFrame, least: float) -> DataFrame:
                 rank[hit] = place[at[hit]]
             order = np.lexsort((flat, rank, row))
             keep = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
-            own = order[(np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)) < np.repeat(keep, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[own])), pa.array(n[row[own]]), pa.array(flat[own])], names=["id", "n", "t"])
+            place_in_set = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = place_in_set < np.repeat(keep, n)
+            own = order[first]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[own])), pa.array(n[row[own]]), pa.array(flat[own]), pa.array(n[row[own]] - place_in_set[first])], names=["id", "n", "t", "left"])
 
-    return map_arrow(s.select("id", "tokens"), run, f"id {s.schema['id'].dataType.simpleString()}, n long, t long")
+    return map_arrow(s.select("id", "tokens"), run, f"id {s.schema['id'].dataType.simpleString()}, n long, t long, left long")
 
 
 def _signatures(s: DataFrame) -> DataFrame:
@@ -140,8 +144,10 @@ def similar_pairs(sets: DataFrame, row_id: str, tokens: str, least: float, among
     prefix = _prefixes(s, least)
     if among is not None:
         prefix = prefix.join(among.select("id"), "id", "left_semi")
-    a, b = prefix.toDF("a", "na", "t"), prefix.toDF("b", "nb", "t")
-    near = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9)).select("a", "b").distinct()
+    a, b = prefix.toDF("a", "na", "t", "la"), prefix.toDF("b", "nb", "t", "lb")
+    # at their first common token, two similar sets have enough tokens left to share
+    enough = F.least("la", "lb") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
+    near = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least - 1e-9) & (F.col("nb") >= F.col("na") * least - 1e-9) & enough).select("a", "b").distinct()
     near = shared_table(near, "candidates")
     signed = shared_table(_signatures(_of(s, near)), "signatures")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
