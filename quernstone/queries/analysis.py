@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import code as C
 from quernstone.operators import graph as G
-
+from quernstone.operators.retrieval import query_terms
 from quernstone.operators.similarity import jaccard
 from quernstone.queries import query
 from quernstone.queries.graphs import nation_edges
 from quernstone.queries.records import symbol_edges, turn_links
-from quernstone.queries.retrieval import _hits
+from quernstone.queries.retrieval import _DOCS_BM25, _WANTED, _hits
 from quernstone.queries.texts import duplicate_clusters
 from quernstone.sources import table
 
@@ -131,12 +132,15 @@ def boosted_priorities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_size").join(mean, "p_partkey").select("p_partkey", F.round(C.boosted_priority(F.col("p_size"), F.lit(0.01), F.col("ca")), 6).alias("priority"))
 
 
-@query()
+@query(f"""WITH {_DOCS_BM25} SELECT * FROM (SELECT 'documents' AS part, doc_id AS id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'benchmark' AS part, item_id AS id, round(({" + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in query_terms(_WANTED + " of that"))}) / 5.0, 6) AS score FROM benchmark WHERE {" OR ".join(f"contains(lower(text), '{t}')" for t in query_terms(_WANTED + " of that"))} ORDER BY score DESC, id LIMIT 10)""")
 def unified_search(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by text, then benchmark items that contain one of the terms, as one list with its part."""
+    """Documents by text, then benchmark items by the share of the terms that they hold, as one list with its part."""
     docs = _hits(spark, d, 10).select(F.lit("documents").alias("part"), F.col("doc_id").alias("id"), F.round("score", 6).alias("score"))
-    items = table(spark, d, "benchmark").where(F.lower("text").rlike("thwhing|ouvi|licen")).orderBy("item_id").limit(10)
-    return docs.unionByName(items.select(F.lit("benchmark").alias("part"), F.col("item_id").alias("id"), F.lit(0.5).alias("score")))
+    terms = query_terms(_WANTED + " of that")
+    held = reduce(lambda a, b: a + b, [F.lower("text").contains(t).cast("int") for t in terms])
+    items = table(spark, d, "benchmark").where(held > 0).select(F.lit("benchmark").alias("part"), F.col("item_id").alias("id"), F.round(held / float(len(terms)), 6).alias("score"))
+    return docs.unionByName(items.orderBy(F.desc("score"), "id").limit(10))
 
 
 @query("""SELECT doc_id, 50.0 * pow(0.5, (doc_id % 30) / 30.0) AS relevance FROM (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40) ORDER BY relevance DESC, doc_id LIMIT 20""")
