@@ -100,3 +100,21 @@ def impact_level(dependents: Column, bugs: Column, percentile: Column, changes:
 
 def finding_score(ownership: Column, quality: Column, freshness: Column, relevance: Column, action: Column) -> Column:
     return ownership * quality * freshness * relevance * action
+
+
+def match_action(similarity: Column, same_importance: Column) -> Column:
+    """What to do with two similar entries: above 0.8 they are duplicates, above 0.5 related. Null importances are alike."""
+    alike = F.when(same_importance, "delete-older").otherwise("merge")
+    return F.when(similarity > 0.8, alike).when(similarity > 0.5, "merge").otherwise("keep-both")
+
+
+def match_reason(similarity: Column, titles: Column, kinds: tuple[Column, Column], tags: tuple[Column, Column], features: tuple[Column, Column]) -> Column:
+    """Why two entries match: titles above 0.6, one kind, shared tags, shared features; else the similarity in per cent.
+
+    Shared values stand in the order of the first entry; null arrays share nothing.
+    """
+    shared = lambda two: F.array_intersect(*two)
+    listed = lambda head, two: F.when(F.size(shared(two)) > 0, F.concat(F.lit(head), F.array_join(shared(two), ", ")))
+    alike = F.when(kinds[0].eqNullSafe(kinds[1]), F.concat(F.lit("both "), F.coalesce(kinds[0], F.lit("unknown")), F.lit("s")))
+    parts = F.array_compact(F.array(F.when(titles > 0.6, "similar titles"), alike, listed("shared tags: ", tags), listed("same feature: ", features)))
+    return F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise(F.concat(js_round(similarity * 100).cast("string"), F.lit("% similar")))

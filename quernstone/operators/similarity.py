@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -158,9 +160,19 @@ def similar_pairs(sets: DataFrame, row_id: str, tokens: str, least: float, among
 
 
 def _verified(s: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs. A set is sent to where pairs with it meet, not along with each pair.
+    """(a, b, similarity) of the pairs, whose sets aren't empty."""
+
+    def measure(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return (both / (len(x) + len(y) - both),)
+
+    return measured_pairs(s, pairs, measure, ["similarity"])
+
+
+def measured_pairs(s: DataFrame, pairs: DataFrame, measure: Callable[[np.ndarray, np.ndarray], tuple], names: list[str]) -> DataFrame:
+    """(a, b, and the named doubles that ``measure`` gives for their sorted tokens) of the pairs, ``s`` being (id, tokens).
 
-    A pair belongs to the smallest partner of its larger side, so pairs of a group of near copies meet in one
+    A set is sent to where pairs with it meet, not along with each pair. A pair belongs to the smallest partner of its larger side, so pairs of a group of near copies meet in one
     place; a place with more than ``MET`` tokens is cut into blocks by a hash, each two of which meet on their own.
     """
     kind = s.schema["id"].dataType.simpleString()
@@ -188,13 +200,12 @@ def _verified(s: DataFrame, pairs: DataFrame) -> DataFrame:
                 if b[k] is None:
                     held[a[k]] = np.sort(np.array(lists[k].values.to_numpy(zero_copy_only=False)))
                 else:
-                    x, y = held[a[k]], held[b[k]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append((a[k], b[k], both / (len(x) + len(y) - both)))
+                    out.append((a[k], b[k], *measure(held[a[k]], held[b[k]])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.column(3).type), pa.array([r[1] for r in out], batch.column(4).type), pa.array([r[2] for r in out])], names=["a", "b", "similarity"])
+                a, b, *found = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(3).type), pa.array(b, batch.column(4).type), *[pa.array(x, pa.float64()) for x in found]], names=["a", "b", *names])
 
-    return shared_table(map_arrow(rows, run, f"a {kind}, b {kind}, similarity double"), "similar-pairs")
+    return shared_table(map_arrow(rows, run, f"a {kind}, b {kind}, " + ", ".join(f"`{n}` double" for n in names)), "similar-pairs")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import strings as C
 from quernstone.functions import text as X
+from quernstone.functions.scoring import match_action, match_reason
+from quernstone.functions.text import js_round
 from quernstone.operators import similarity as M
 from quernstone.operators.components import connected_components
+from quernstone.operators.record_similarity import record_pairs, records
 from quernstone.plans import shared_table
 from quernstone.queries import query
 from quernstone.sources import table
@@ -190,3 +193,43 @@ def same_name_groups(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("least")
     found = M.least_similarity(t, "p_name", "fields").select("p_name", "n", F.round(s, 6).alias("similarity"), F.when(s > 0.8, "merge").when(s > 0.3, "rename").otherwise("keep").alias("advice"))
     return found.join(t.groupBy("p_name").agg(F.countDistinct("p_brand").alias("brands")), "p_name")
+
+
+# Weights of the fields of two entries.
+ENTRY_SETS, ENTRY_SAME = {"title": 0.4, "description": 0.3, "tags": 0.2}, {"kind": 0.1}
+
+_ENTRIES = r"""n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, source, lang, n_chars % 2 AS importance, ['f' || (doc_id % 7)] AS features, list_distinct(list_filter(regexp_split_to_array(lower(split_part(coalesce(text, ''), chr(10), 1)), '[\x20\x09-\x0D]+'), lambda x: length(x) > 2)) AS title,
+list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: length(x) > 2)) AS description FROM n WHERE place <= 100),
+r AS (SELECT *, list_sort(list_filter(description, lambda x: length(x) > 9)) AS tags FROM w)"""
+
+
+@query(rf"""WITH {_ENTRIES}, p AS (SELECT a.source, a.doc_id AS newer_id, b.doc_id AS older_id, a.lang AS la, b.lang AS lb, a.importance IS NOT DISTINCT FROM b.importance AS equal, list_filter(a.tags, lambda x: list_contains(b.tags, x)) AS shared, list_intersect(a.features, b.features) AS features,
+coalesce(len(list_intersect(a.title, b.title)) / nullif(len(a.title) + len(b.title) - len(list_intersect(a.title, b.title)), 0), 0.0) AS jt, coalesce(len(list_intersect(a.description, b.description)) / nullif(len(a.description) + len(b.description) - len(list_intersect(a.description, b.description)), 0), 0.0) AS jd,
+coalesce(len(list_intersect(a.tags, b.tags)) / nullif(len(a.tags) + len(b.tags) - len(list_intersect(a.tags, b.tags)), 0), 0.0) AS jg FROM r a JOIN r b ON a.source IS NOT DISTINCT FROM b.source AND a.doc_id > b.doc_id),
+s AS (SELECT *, jt * 0.4::DOUBLE + jd * 0.3::DOUBLE + jg * 0.2::DOUBLE + (la IS NOT DISTINCT FROM lb)::INT * 0.1::DOUBLE AS sim FROM p), o AS (SELECT *, floor(sim * 100 + 0.5) / 100 AS similarity FROM s WHERE sim >= 0.5),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, newer_id DESC, older_id DESC) AS rank FROM o)
+SELECT source, rank::INT AS rank, newer_id, older_id, similarity, CASE WHEN sim > 0.8 THEN CASE WHEN equal THEN 'delete-older' ELSE 'merge' END WHEN sim > 0.5 THEN 'merge' ELSE 'keep-both' END AS action,
+coalesce(nullif(concat_ws(', ', CASE WHEN jt > 0.6 THEN 'similar titles' END, CASE WHEN la IS NOT DISTINCT FROM lb THEN 'both ' || coalesce(la, 'unknown') || 's' END, CASE WHEN len(shared) > 0 THEN 'shared tags: ' || array_to_string(shared, ', ') END, CASE WHEN len(features) > 0 THEN 'same feature: ' || array_to_string(features, ', ') END), ''), floor(sim * 100 + 0.5)::BIGINT || '% similar') AS reason FROM k WHERE rank <= 20""")
+def similar_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 best matches among the newest 100 entries of each source, with what makes them alike and what to do.
+
+    An entry's title is its first line, its description the whole text, its tags the words of ten characters or more.
+    """
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL")
+    # ids alone are ranked, so texts are read for the entries that count
+    newest = docs.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))).alias("place")).where("place <= 100").select("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[\x20\x09-\x0D]+"), lambda x: F.length(x) > 2))
+    entries = docs.join(newest, "doc_id", "left_semi").select("doc_id", "source", F.col("lang").alias("kind"), (F.col("n_chars") % 2).alias("importance"), F.array(F.concat(F.lit("f"), F.col("doc_id") % 7)).alias("features"), words(F.split_part(text, F.lit("\n"), F.lit(1))).alias("title"), words(text).alias("description"))
+    entries = shared_table(entries.withColumn("tags", F.array_sort(F.filter("description", lambda x: F.length(x) > 9))), "entries")
+    pairs = record_pairs(records(entries, "doc_id", ENTRY_SETS, ENTRY_SAME, "source"), ENTRY_SETS, ENTRY_SAME, 0.5, ["title", "description"])
+    about = entries.select("doc_id", F.struct("kind", "importance", "features", "tags").alias("e"))
+    both = pairs.join(entries.select(F.col("doc_id").alias("b"), "source"), "b").withColumn("rounded", js_round(F.col("similarity") * 100) / 100)
+    order = Window.partitionBy("source").orderBy(F.desc("rounded"), F.desc("b"), F.desc("a"))
+    best = both.withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+    best = best.join(about.toDF("b", "x"), "b").join(about.toDF("a", "y"), "a")
+    two = lambda f: (F.col(f"x.{f}"), F.col(f"y.{f}"))
+    action = match_action(F.col("similarity"), F.col("x.importance").eqNullSafe(F.col("y.importance")))
+    reason = match_reason(F.col("similarity"), F.col("title_similarity"), two("kind"), two("tags"), two("features"))
+    return best.select("source", "rank", F.col("b").alias("newer_id"), F.col("a").alias("older_id"), F.col("rounded").alias("similarity"), action.alias("action"), reason.alias("reason"))
