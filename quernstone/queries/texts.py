@@ -218,7 +218,8 @@ def similar_entries(spark: SparkSession, d: str) -> DataFrame:
     """
     docs = table(spark, d, "documents").where("doc_id IS NOT NULL")
     # ids alone are ranked, so texts are read for the entries that count
-    newest = docs.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))).alias("place")).where("place <= 100").select("doc_id")
+    newest = shared_table(docs.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))).alias("place")).where("place <= 100").select("doc_id"), "newest")
+    newest = F.broadcast(newest) if newest.count() <= M.MAX_BROADCAST_IDS else newest
     text = F.coalesce("text", F.lit(""))
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[\x20\x09-\x0D]+"), lambda x: F.length(x) > 2))
     entries = docs.join(newest, "doc_id", "left_semi").select("doc_id", "source", F.col("lang").alias("kind"), (F.col("n_chars") % 2).alias("importance"), F.array(F.concat(F.lit("f"), F.col("doc_id") % 7)).alias("features"), words(F.split_part(text, F.lit("\n"), F.lit(1))).alias("title"), words(text).alias("description"))
