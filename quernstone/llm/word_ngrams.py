@@ -44,6 +44,8 @@ _LOW = SLOTS - 1
 _PORTION = 3_000_000
 #: Bytes are hashed in blocks of whole texts, of about so many bytes each, which bounds a worker's arrays.
 _BLOCK = 400_000
+#: Documents whose sums a task holds before it sends them on (about 50 MB).
+_HELD = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _FINISH = np.uint64(0xD6E8FEB86659FD93)
 
@@ -436,10 +438,29 @@ def _found(keys: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, model[at] == keys
 
 
-def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed (uid; s, e) sums of a portion's entries in one shard after another, dealt by portion: the model's rows come before the documents'."""
+def _packed_sums(held: dict[int, list]) -> list[tuple]:
+    """Rows (portion, 0, packed (uid; s, e)) of the sums held of each portion, without those that are zero."""
+    rows = []
+    for least, (uid, s_sum, e_sum) in held.items():
+        some = np.flatnonzero((s_sum != 0) | (e_sum != 0))
+        if len(some):
+            # in the order of unsigned numbers, as keys are packed
+            keys = (uid + np.int64(least))[some].view(np.uint64)
+            order = np.argsort(keys)
+            portion = int(hash_of(np.array([least]))[0] >> np.uint64(33))
+            rows.append((portion, 0, pack(keys[order], s_sum[some][order].astype(np.float32), e_sum[some][order].astype(np.float32))))
+    return rows
+
+
+def _look_up(batches: Iterator[pa.RecordBatch], most: int = _HELD) -> Iterator[pa.RecordBatch]:
+    """Packed (uid; s, e) sums of a portion's entries in one shard after another, dealt by portion: the model's rows come before the documents'.
+
+    Every portion meets every shard, so a task holds sums of ``most`` documents and one portion at most, then sends
+    them on; ``_add_up`` adds what comes in several parts.
+    """
     shard, model = None, {}
     held: dict[int, list] = {}
+    n_held = 0
     for batch in batches:
         for s, kind, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             if s != shard:
@@ -454,7 +475,13 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             uid, trusted = unpack(data[16 : 16 + size], np.uint8)
             keys, doc = unpack(data[16 + size :], np.uint16)
             doc = doc.astype(np.int64)
-            sums = held.setdefault(least, [uid, np.zeros(len(uid)), np.zeros(len(uid))])
+            if least not in held:
+                if n_held >= most:
+                    yield from to_batches(_packed_sums(held))
+                    held, n_held = {}, 0
+                held[least] = [uid, np.zeros(len(uid)), np.zeros(len(uid))]
+                n_held += len(uid)
+            sums = held[least]
             for of, entry in ((0, keys >> BITS), (1, keys)):
                 known, value, occurs = model[of]
                 at, hit = _found(entry, known)
@@ -469,16 +496,7 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, d = group // len(uid), group % len(uid)
                 alone = occurs[at] <= n
                 sums[2] -= np.bincount(d[alone], (value[at] * n)[alone], len(uid))
-    rows = []
-    for least, (uid, s_sum, e_sum) in held.items():
-        some = np.flatnonzero((s_sum != 0) | (e_sum != 0))
-        if len(some):
-            # in the order of unsigned numbers, as keys are packed
-            keys = (uid + np.int64(least))[some].view(np.uint64)
-            order = np.argsort(keys)
-            portion = int(hash_of(np.array([least]))[0] >> np.uint64(33))
-            rows.append((portion, 0, pack(keys[order], s_sum[some][order].astype(np.float32), e_sum[some][order].astype(np.float32))))
-    yield from to_batches(rows)
+    yield from to_batches(_packed_sums(held))
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -468,6 +468,28 @@ def test_word_trigrams(spark, rounds):
     model.drop()
 
 
+def test_sums_in_parts(spark):
+    """A task that sends its sums on early, time and again, gives the same sums; ids are those of each portion."""
+    rng = random.Random(8)
+    made = [" ".join(rng.choice(["ka", "li", "mo", "nu", "pe"]) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    model = W.train_words(spark.createDataFrame([(t,) for t in made], "text string"), rounds=1, shard_words=16)
+    rows = spark.createDataFrame([(k - 7, k % 3 == 0, t) for k, t in enumerate(made)], "uid long, trusted boolean, text string").repartition(5)
+    met = W.exchange(model.shards[0].union(W._document_rows(rows, model.shard_bits, 0, 1)), 2).toArrow().to_batches()
+    sums, parts = {}, {}
+    for most in (1, 15, W._HELD):
+        out = [r for batch in W._look_up(iter(met), most) for r in batch.to_pylist()]
+        sums[most], parts[most] = Counter(), len(out)
+        for r in out:
+            uid, *values = W.unpack(r["data"], np.float32, np.float32)
+            for k, v in enumerate(values):
+                for u, x in zip(uid.astype(np.uint64).view(np.int64).tolist(), v.tolist(), strict=True):
+                    sums[most][u, k] += x
+    assert parts[1] >= parts[15] > parts[W._HELD] >= 5
+    assert {u for u, _ in sums[1]} == set(range(-7, 33))
+    assert sums[1] == pytest.approx(sums[W._HELD], abs=1e-3) and sums[15] == pytest.approx(sums[W._HELD], abs=1e-3)
+    model.drop()
+
+
 def test_packed():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 1 << 63, 1000))
