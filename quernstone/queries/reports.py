@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.scoring import EFFORT_LEVELS, GRADES, banded
 from quernstone.functions.text import js_round
 from quernstone.operators import relational as R
+from quernstone.plans import broadcast_few, dealt
 from quernstone.queries import query
 from quernstone.sources import table
 
@@ -155,9 +156,13 @@ def file_history(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) SELECT p AS p_partkey, count(*) AS importers, count(DISTINCT s_nationkey) AS dirs, count(DISTINCT n_regionkey) AS packages
 FROM e JOIN supplier ON s = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(*) >= 5""")
 def import_signals(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    e = e.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return e.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("importers"), F.countDistinct("s_nationkey").alias("dirs"), F.countDistinct("n_regionkey").alias("packages")).where("importers >= 5")
+    """Suppliers, nations and regions of each part: counted up from one level to the next where its lines are."""
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+    at = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    e = dealt(li, li.count(), "p_partkey").distinct().join(broadcast_few(at), "s_suppkey")
+    nations = e.groupBy("p_partkey", "n_regionkey", "n_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    regions = nations.groupBy("p_partkey", "n_regionkey").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("dirs"))
+    return regions.groupBy("p_partkey").agg(F.sum("n").alias("importers"), F.sum("dirs").alias("dirs"), F.count("n_regionkey").alias("packages")).where("importers >= 5")
 
 
 @query(f"""WITH {_ISSUES}, g AS (SELECT file, category, severity, count(*) AS n FROM i GROUP BY 1, 2, 3)
