@@ -15,3 +15,38 @@ def test_cross_file_pairs_counts_links(spark, tmp_path):
     got = {r.p_partkey: (r["class"], r.n_links) for r in queries()["cross_file_pairs"](spark, str(tmp_path)).collect()}
     linked = lambda a, b: None not in (*a, *b) and a[2] == b[2] and a[1] != b[1] and min(a[3], b[3]) > 0 and min(a[3], b[3]) / max(a[3], b[3]) >= 0.92
     assert got == {a[0]: (min(b[0] for b in parts if b[1:] == a[1:]), sum(linked(a, b) for b in parts)) for a in parts}
+
+
+def test_tasks_stay_small(spark, sf_dir, monkeypatch):
+    """Edges and signals are dealt into more partitions when there are more rows, with the same results."""
+    from quernstone.plans import sizes
+    from quernstone.queries.records import symbol_edges
+
+    names = ("edge_count", "import_signals")
+    before = {n: sorted(map(tuple, queries()[n](spark, sf_dir).collect())) for n in names}
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    monkeypatch.setattr(sizes, "TASK_ROWS", 100)
+    for n in names:
+        assert sorted(map(tuple, queries()[n](spark, sf_dir).collect())) == before[n]
+    assert symbol_edges(spark, sf_dir).rdd.getNumPartitions() >= lines // 100
+    assert queries()["import_signals"](spark, sf_dir).rdd.getNumPartitions() >= lines // 100
+
+
+def test_nation_pairs_are_joined_once(spark, sf_dir):
+    """What works on the links between nations reads them, not the tables that they come from."""
+    from quernstone.queries.graphs import nation_edges
+
+    assert not [f for f in nation_edges(spark, sf_dir).inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_pagerank_with_many_nodes(spark, monkeypatch):
+    """Nodes beyond what is broadcast: edges are dealt by their source, and scores stay the same."""
+    from quernstone.operators import graph as G
+    from quernstone.plans import sizes
+
+    edges = spark.createDataFrame([(k, (k * 7 + j) % 50, float(j + 1)) for k in range(40) for j in range(3)], "src long, dst long, weight double")
+    near = {r.node: round(r.score, 9) for r in G.pagerank(edges, max_rounds=5).collect()}
+    monkeypatch.setattr(sizes, "FEW_ROWS", 1)
+    monkeypatch.setattr(G, "FEW_ROWS", 1)
+    monkeypatch.setattr(sizes, "TASK_ROWS", 10)
+    assert {r.node: round(r.score, 9) for r in G.pagerank(edges, max_rounds=5).collect()} == near
