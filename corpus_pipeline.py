@@ -32,7 +32,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, Jaccard 0.8."""
+    """One document of each class of near-duplicates: SimHash of five-word shingles and MinHash, verified at Jaccard 0.8."""
     rows = number_rows(docs)
     return keep_rows(rows, near_classes(rows))
 

@@ -1,9 +1,10 @@
 """Near-duplicates by five-word shingles with a Jaccard similarity of 0.8.
 
-SimHash distances of such pairs reach 13 of 64 bits, which no covering of fingerprints
-reaches at a bearable number of copies. Candidates therefore come from MinHash: 80 minima
-of the shingles' hashes in 20 bands of four, so that a pair at 0.8 shares a band but for
-one in 40,000. Up to eight of a band are tied each to each, larger bands to one of their
+Candidates come first from SimHash, as in ``simhash.py``: texts whose fingerprints differ in
+at most four bits are tied by the anchors of its covering code. But SimHash distances of such
+pairs reach 13 of 64 bits, which no covering of fingerprints reaches at a bearable number of
+copies. More candidates therefore come from MinHash: 80 minima of the shingles' hashes in 20
+bands of four, so that a pair at 0.8 shares a band but for one in 40,000. Up to eight of a band are tied each to each, larger bands to one of their
 rows, chosen by the texts. A link counts only if the exact Jaccard similarity of the two
 texts' shingle sets is high enough; ``connected_components`` makes classes of links.
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.rows import row_number
+from quernstone.llm.simhash import anchor_links, fingerprints
 from quernstone.operators.components import connected_components
 from quernstone.plans import map_arrow, shared_table
 
@@ -196,10 +198,24 @@ def verified(rows: DataFrame, links: DataFrame, least: float, width: int) -> Dat
     return shared_table(map_arrow(both, verify, "a bigint, b bigint"), "near-links")
 
 
-def near_components(rows: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+def simhash_links(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(a, b), a < b, of the rows of ``docs``, from ``number_rows``: candidates whose fingerprints differ in at most four bits.
+
+    Rows of one fingerprint are tied to one of them, and fingerprints by ``anchor_links``, so no group is written as all its pairs.
+    """
+    rows = fingerprints(docs, id_col, text_col, width)
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("uid").alias("u"))).alias("first")
+    points = shared_table(rows.groupBy("fp").agg(first).select("fp", F.col("first.u").alias("head")), "near-points")
+    same = rows.join(points, "fp").select("uid", "head")
+    of = lambda end, name: points.select(F.col("fp").alias(end), F.col("head").alias(name))
+    close = anchor_links(points.select("fp")).join(of("a", "uid"), "a").join(of("b", "head"), "b").select("uid", "head")
+    return same.union(close).where("uid != head").select(F.least("uid", "head").alias("a"), F.greatest("uid", "head").alias("b"))
+
+
+def near_components(rows: DataFrame, least: float = 0.8, width: int = 5, first: DataFrame | None = None) -> DataFrame:
     """(node, component) of rows (uid, text) that a Jaccard similarity of at least ``least`` links to others.
 
-    ``rows`` is scanned more than once, so uid must be stored with it.
+    ``rows`` is scanned more than once, so uid must be stored with it. ``first`` (a, b) are candidates from elsewhere.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +232,8 @@ def near_components(rows: DataFrame, least: float = 0.8, width: int = 5) -> Data
 
     keys = shared_table(map_arrow(rows.select("uid", "text"), sign, "key bigint, uid bigint, sig bigint"), "near-bands")
     heads = shared_table(key_heads(keys), "near-heads")
-    links = verified(rows, candidate_links(keys, heads), least, width)
+    found = candidate_links(keys, heads)
+    links = verified(rows, found if first is None else first.union(found).distinct(), least, width)
     comps = connected_components(links, "a", "b")
     rest = shared_table(rows.select("uid", "text").join(open_rows(keys, heads, comps), "uid").select("uid", "component", "text"), "near-open")
     more = verified(rows, rare_links(rest, least, width), least, width)
@@ -230,7 +247,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read. Rows that aren't given have no near-duplicate; texts without a word never have.
     """
     rows = docs.select(row_number(docs).alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    comps = near_components(rows, least, width).select(F.col("node").alias("uid"), "component")
+    comps = near_components(rows, least, width, simhash_links(docs, id_col, text_col, width)).select(F.col("node").alias("uid"), "component")
     members = shared_table(rows.select("uid", "id").join(comps, "uid"), "near-members")
     heads = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("i"), F.col("uid").alias("u"))).alias("head"))
     return members.join(heads, "component").select(F.col("uid").alias("row_uid"), (F.col("uid") == F.col("head.u")).alias("kept"))

@@ -50,3 +50,47 @@ def test_pagerank_with_many_nodes(spark, monkeypatch):
     monkeypatch.setattr(G, "FEW_ROWS", 1)
     monkeypatch.setattr(sizes, "TASK_ROWS", 10)
     assert {r.node: round(r.score, 9) for r in G.pagerank(edges, max_rounds=5).collect()} == near
+
+
+def test_near_stage_takes_simhash(spark, tmp_path, monkeypatch):
+    """Without any candidate of MinHash, SimHash still links near copies; its links below 0.8 don't count."""
+    import corpus_pipeline
+    from quernstone.llm import near_duplicates as N
+
+    rng = random.Random(3)
+    texts = []
+    for k in range(30):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"last{k}"])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    monkeypatch.setattr(N, "candidate_links", lambda keys, heads: keys.select(keys.uid.alias("a"), keys.uid.alias("b")).limit(0))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect())
+    near = {k for k in range(0, 60, 2) if (_bits(texts[k]) ^ _bits(texts[k + 1])).bit_count() <= 4}
+    assert near and got == [k for k in range(60) if k % 2 == 0 or k - 1 not in near]
+    monkeypatch.setattr(N, "verified", lambda rows, links, least, width: links.limit(0))
+    assert corpus_pipeline.near_stage(spark, docs, "").count() == 60
+
+
+def _bits(text):
+    from quernstone.llm.simhash import fingerprint
+
+    return fingerprint(text, 5)
+
+
+def test_frequent_tokens_come_last(spark):
+    """Tokens of most sets, counted by slots, are put behind the rare ones; pairs are those of all pairs."""
+    from quernstone.operators import similarity as M
+
+    rng = random.Random(5)
+    rows = [(k, sorted({*range(8), *(rng.randrange(1 << 40) for _ in range(12))})) for k in range(300)]
+    rows += [(1000 + k, sorted({*rows[k][1][:19], 1 << 50})) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, tokens array<bigint>")
+    first = M._prefixes(df, 0.8)
+    assert first.where("t < 8").count() == 0
+    counts = {r.slot: r.n for r in M._slot_counts(df).collect()}
+    assert sum(counts.values()) == sum(len(t) for _, t in rows)
+    got = {(r.a, r.b) for r in M.similar_pairs(df, "id", "tokens", 0.8).collect()}
+    sets = {k: set(t) for k, t in rows}
+    assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
