@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,11 @@ from quernstone.plans import cut, discard, map_arrow, shared_table
 
 #: Links that are left when one task settles them in order, instead of further rounds (about 3 MB).
 FEW_LINKS = 200_000
-#: Sets that a token is in from which on it counts as frequent, and how many frequent tokens are told apart (2 MB).
+#: Sets that a token is in from which on it counts as frequent, and how many frequent slots of tokens are told apart (2 MB).
 OFTEN, MAX_OFTEN = 100, 100_000
+#: Slots that tokens are counted in (8 MB in a task).
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 #: Tokens of all sets of a block of those that meet to be compared (about 32 MB).
 MET = 4_000_000
 #: Ids that are broadcast (about 20 MB once hashed); beyond, both sides are shuffled.
@@ -31,7 +35,9 @@ def shingle_set(text: Column, width: int = 5) -> Column:
     """Distinct hashes of the text's ``width``-word shingles; a shorter text is one shingle."""
     ws = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     whole = F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(ws, " "))))
-    shingles = F.element_at(F.transform(F.array(ws), lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - width + 1), lambda i: F.xxhash64(F.slice(a, i, width)))), 1)
+    # words are hashed once, shingles from their words' hashes
+    hashed = F.transform(F.array(F.transform(ws, lambda w: F.xxhash64(w))), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)])))
+    shingles = F.element_at(hashed, 1)
     return F.array_distinct(F.when(F.size(ws) < width, whole).otherwise(shingles))
 
 
@@ -50,10 +56,10 @@ def dice(a: Column, b: Column, empty: float = 1.0) -> Column:
 def set_classes(df: DataFrame, row_id: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """((id, class), (class, tokens)): rows with the same set are one class, named by the smallest id.
 
-    The second table has all rows, also those that don't name their class; ``similar_pairs`` takes the names' ids
+    Sets are told apart by 96 bits of hashes and their size. The second table has all rows, also those that don't name their class; ``similar_pairs`` takes the names' ids
     as ``among``, so that no set is moved.
     """
-    rows = shared_table(df.select(F.col(row_id).alias("class"), F.array_sort(tokens).alias("set")).withColumn("key", F.md5(F.array_join(F.transform("set", lambda x: x.cast("string")), " ").cast("binary"))), "sets")
+    rows = shared_table(df.select(F.col(row_id).alias("class"), F.array_sort(tokens).alias("set")).withColumn("key", F.concat_ws("/", F.xxhash64("set"), F.hash("set"), F.size("set"))), "sets")
     keys = rows.select(F.col("class").alias("id"), "key")
     members = shared_table(keys.join(keys.groupBy("key").agg(F.min("id").alias("class")), "key").select("id", "class"), "members")
     return members, rows
@@ -70,19 +76,43 @@ def names(members: DataFrame) -> DataFrame:
     return members.where("id = class").select("id")
 
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    """The slot of each token that it is counted in."""
+    return (tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(s: DataFrame) -> DataFrame:
+    """(slot, n): the number of sets with a token of each slot, each token counted; a task gives at most a row for each slot."""
+
+    def run(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            n += np.bincount(_slots(batch.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=SLOTS)
+        slots = np.flatnonzero(n)
+        for k in range(0, len(slots), 1 << 16):
+            part = slots[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n[part])], names=["slot", "n"])
+
+    return map_arrow(s.select("tokens"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
 def _prefixes(s: DataFrame, least: float) -> DataFrame:
     """(id, n, t, left): of each set's tokens, rare ones first, as many as two similar sets must share one of.
 
     ``left`` is the number of tokens from this one on: two sets whose first common token it is share no more.
 
-    Any order that is the same for all sets will do, so only the tokens of most sets, a bounded list, are
-    put last by their number; all others stand by their hash. No token is joined with its count.
+    Any order that is the same for all sets will do, so only the tokens of slots with most sets, a bounded list, are
+    put last by their number; all others stand by their hash. Tokens are counted by slot, in arrays, and never shuffled.
     """
-    many = s.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    often = [r["t"] for r in many.orderBy(F.desc("n"), "t").limit(MAX_OFTEN).collect()]
+    counts = shared_table(_slot_counts(s), "slot-counts")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / SLOTS
+    # a slot counts as frequent if it stands out from those that only rare tokens share
+    many = counts.where(F.col("n") >= OFTEN + mean + 6 * math.sqrt(mean))
+    often = [r["slot"] for r in many.orderBy(F.desc("n"), "slot").limit(MAX_OFTEN).collect()]
+    discard(counts)
     by_count = np.array(often[::-1], np.int64)
     known = np.sort(by_count)
-    place = np.argsort(by_count, kind="stable")  # of each known token among those by their number
+    place = np.argsort(by_count, kind="stable")  # of each known slot among those by their number
     sent = s.sparkSession.sparkContext.broadcast((known, place))
 
     def run(batches):
@@ -93,8 +123,9 @@ def _prefixes(s: DataFrame, least: float) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             rank = np.full(len(flat), -1, np.int64)
             if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                hit = known[at] == flat
+                slot = _slots(flat)
+                at = np.minimum(np.searchsorted(known, slot), len(known) - 1)
+                hit = known[at] == slot
                 rank[hit] = place[at[hit]]
             order = np.lexsort((flat, rank, row))
             keep = n - np.ceil(n * least - 1e-9).astype(np.int64) + 1
