@@ -80,10 +80,12 @@ def _lcs(a: str, b: str) -> float:
 
 
 def _pairwise(measure, a: Column, b: Column) -> Column:
-    """An Arrow function of two texts; made when used, because it needs a session."""
+    """An Arrow function of two texts, worked out once for equal pairs of a batch; made when used, because it needs a session."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([measure(s or "", t or "") for s, t in zip(x, y, strict=True)], dtype="float64")
+        pairs = [(s or "", t or "") for s, t in zip(x, y, strict=True)]
+        found = {p: measure(*p) for p in set(pairs)}
+        return pd.Series([found[p] for p in pairs], dtype="float64")
 
     return F.pandas_udf(run, "double")(a, b)
 

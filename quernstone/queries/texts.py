@@ -12,7 +12,7 @@ from quernstone.functions.text import js_round
 from quernstone.operators import similarity as M
 from quernstone.operators.components import connected_components
 from quernstone.operators.record_similarity import record_pairs, records
-from quernstone.plans import shared_table
+from quernstone.plans import dealt, shared_table
 from quernstone.queries import query
 from quernstone.sources import table
 
@@ -79,20 +79,28 @@ def complexity_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.complexity(F.col("text")).cast("long").alias("complexity"), X.note_quality(F.col("source")).alias("quality"))
 
 
+#: Pairs of texts that a task measures.
+PAIRS = 50_000
+
+
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, x, y): each part's text with the next one's, dealt out, as a small file has much to be measured."""
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("x"))
+    return dealt(p, p.count(), "p_partkey", each=PAIRS).join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y")), "p_partkey")
+
+
 @query(r"""WITH w AS (SELECT a.p_partkey, a.p_name || ' ' || a.p_type AS x, b.p_name || ' ' || b.p_type AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
 c AS (SELECT *, list_distinct(string_split(x, '')) AS cx, list_distinct(string_split(y, '')) AS cy FROM w)
 SELECT p_partkey, round(len(list_intersect(cx, cy)) / (len(cx) + len(cy) - len(list_intersect(cx, cy))), 6) AS jaccard, round(2 * len(list_intersect(cx, cy)) / (len(cx) + len(cy)), 6) AS dice  FROM c""")
 def string_metrics(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("x"))
-    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y")), "p_partkey")
+    both = _neighbours(spark, d)
     m = C.measures(spark, F.col("x"), F.col("y"))
     return both.select("p_partkey", *[F.round(m[k], 6).alias(k) for k in ("jaccard", "dice")])
 
 
 @query()
 def combined_similarity(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("x"))
-    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y")), "p_partkey")
+    both = _neighbours(spark, d)
     m = C.measures(spark, F.col("x"), F.col("y"))
     return both.select("p_partkey", *[F.round(m[k], 6).alias(k) for k in ("jaro", "jaro_winkler", "cosine", "lcs", "combined")], F.round(C.quick(F.col("x"), F.col("y"), 0.8), 6).alias("quick"))
 

@@ -94,3 +94,43 @@ def test_frequent_tokens_come_last(spark):
     got = {(r.a, r.b) for r in M.similar_pairs(df, "id", "tokens", 0.8).collect()}
     sets = {k: set(t) for k, t in rows}
     assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_measures_are_dealt_out(spark, sf_dir):
+    """Texts of one small file are measured by several tasks, equal pairs of a batch once."""
+    from quernstone.functions import strings as C
+    from quernstone.queries.texts import _neighbours
+
+    assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() == 1
+    parts = {r.p: r.n for r in _neighbours(spark, sf_dir).selectExpr("spark_partition_id() AS p").groupBy("p").agg({"p": "count"}).toDF("p", "n").collect()}
+    assert len(parts) > 1
+    calls = []
+    measure = lambda a, b: calls.append((a, b)) or 1.0
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    taken = []
+    old, F.pandas_udf = F.pandas_udf, lambda f, kind: lambda a, b: taken.append(f)
+    try:
+        C._pairwise(measure, None, None)
+    finally:
+        F.pandas_udf = old
+    assert taken[0](pd.Series(["a", "a", None]), pd.Series(["b", "b", "b"])).tolist() == [1.0] * 3
+    assert sorted(calls) == [("", "b"), ("a", "b")]
+
+
+def test_index_writes_in_small_batches(spark, tmp_path, monkeypatch):
+    """Python gets a bucket's pieces in batches of bounded bytes while the index is written."""
+    from quernstone.operators import text_index as T
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    old = T._with_stems
+    plain = spark.conf.get(key, None)
+
+    def watch(terms):
+        seen.append(spark.conf.get(key, None))
+        return old(terms)
+
+    monkeypatch.setattr(T, "_with_stems", watch)
+    T.TextIndex.build(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), "doc_id", ["text"], str(tmp_path / "index"))
+    assert seen == ["9000000"] and spark.conf.get(key, None) == plain
