@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.stemming import stem
 from quernstone.operators.retrieval import K1, LEAST_IDF, B
-from quernstone.plans import discard, map_arrow, shared_table
+from quernstone.plans import discard, map_arrow, shared_table, writing
 
 #: Documents of a block, and of a chunk, which a task holds before it gives its postings out (or so many words).
 BLOCK, HELD, HELD_WORDS = 1024, 8192, 2_000_000
@@ -227,12 +227,14 @@ class TextIndex:
         discard(packed)
 
     def _store(self, rows: DataFrame, k: int) -> None:
-        rows.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={k}")
+        with writing(self.spark):  # a bucket's pieces go to Python a few at a time
+            rows.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={k}")
         self._store_terms(self._read("postings").where(F.col("segment") == k), k, 1)
 
     def _store_terms(self, postings: DataFrame, k: int, sign: int) -> None:
         counts = postings.groupBy("field", "term").agg((F.sum("n") * sign).alias("n"))
-        _with_stems(counts).repartitionByRange("stem", "term").sortWithinPartitions("stem", "term").write.parquet(f"{self.path}/terms/segment={k}")
+        with writing(self.spark):
+            _with_stems(counts).repartitionByRange("stem", "term").sortWithinPartitions("stem", "term").write.parquet(f"{self.path}/terms/segment={k}")
 
     def _enter(self, k: int, n: int, words: int, replaces: int = 0) -> None:
         row = self.spark.createDataFrame([(n, words, replaces, self._kind)], "n long, words long, replaces int, kind string").coalesce(1)
