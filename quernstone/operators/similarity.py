@@ -203,11 +203,14 @@ def _verified(s: DataFrame, pairs: DataFrame) -> DataFrame:
 def measured_pairs(s: DataFrame, pairs: DataFrame, measure: Callable[[np.ndarray, np.ndarray], tuple], names: list[str]) -> DataFrame:
     """(a, b, and the named doubles that ``measure`` gives for their sorted tokens) of the pairs, ``s`` being (id, tokens).
 
-    A set is sent to where pairs with it meet, not along with each pair. A pair belongs to the smallest partner of its larger side, so pairs of a group of near copies meet in one
-    place; a place with more than ``MET`` tokens is cut into blocks by a hash, each two of which meet on their own.
+    A set is sent to where pairs with it meet, not along with each pair. A pair belongs to the smallest id within two steps of its larger side, so pairs of a group of near copies meet in one
+    place, also where not each two of them are paired; a place with more than ``MET`` tokens is cut into blocks by a hash, each two of which meet on their own.
     """
     kind = s.schema["id"].dataType.simpleString()
-    placed = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("g")), "b").select("g", "a", "b")
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
+    low = both.groupBy("x").agg(F.least("x", F.min("y")).alias("low"))
+    lower = both.join(low.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("low").alias("g"))
+    placed = pairs.join(lower.withColumnRenamed("x", "b"), "b").select("g", "a", "b")
     each = lambda p: p.select(*[c for c in p.columns if c not in ("a", "b")], F.explode(F.array("a", "b")).alias("id")).distinct()
     used = _of(s, pairs)
     sizes = shared_table(used.select("id", F.size("tokens").alias("n")), "set-sizes")
