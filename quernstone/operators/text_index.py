@@ -16,6 +16,7 @@ is one compressed piece for each chunk and bucket of terms.
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -33,11 +34,21 @@ from quernstone.plans import discard, map_arrow, shared_table, writing
 BLOCK, HELD, HELD_WORDS = 1024, 8192, 2_000_000
 #: Documents of a chunk from which on a term has a row for each block; and the number that stands for all blocks.
 SPLIT, WHOLE = 128, 255
-#: Terms that one search names in its filters; beyond, postings are joined with the dictionary.
-MAX_TERMS = 1000
+#: Compressed bytes of postings that one task sorts and writes, about; a bucket of more goes to several tasks.
+TASK_BYTES = 16_000_000
+#: Terms that one search names in its filters; beyond, they are broadcast to the postings, and beyond
+#: ``BROADCAST_TERMS`` postings are shuffled to be joined with the dictionary.
+MAX_TERMS, BROADCAST_TERMS = 1000, 250_000
 #: Blocks that one search names in its filters; beyond, they are joined.
 MAX_BLOCKS = 10_000
 _WORDS = r"([\p{L}\p{N}]+)"
+#: Texts of Latin-1's characters alone have no match.
+_BEYOND_LATIN = r"[^\x00-\xFF]"
+#: Letters, in lower case, and digits by their bytes, and by their second bytes behind C2 and C3; 0 for other bytes.
+_LOWER = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 0 for b in range(256)], np.uint8)
+_LOWER_C2, _LOWER_C3 = (
+    np.array([chr(b + more).lower().encode()[1] if 128 <= b < 192 and unicodedata.category(chr(b + more))[0] in "LN" else 0 for b in range(256)], np.uint8) for more in (0, 64)
+)
 _DICTIONARY = "field tinyint, term string, stem string, n long"
 _POSTINGS = "field tinyint, term string, block long, n long, most int, shortest long, rows array<{kind}>, tfs array<int>, sizes array<int>"
 #: Columns of an index's tables; {kind} is the type of ids.
@@ -48,21 +59,57 @@ _TABLES = {
     "segments": "n long, words long, replaces int, kind string, segment int",
 }
 
-
-def _invert(lengths: list[np.ndarray], words: list[pa.Array], ids: pa.Array, chunk: int, size_of_block: int, split: int) -> Iterator[pa.RecordBatch]:
-    """Postings of a chunk of documents, those of like length together: ``lengths`` and ``words`` by field."""
+#: CRC-32 of each byte, from which those of longer texts come.
+_CRC = np.array([zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)], np.uint32)
+
+
+def _plain_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text and all words, as ``_WORDS`` finds them in lower case; texts are of Latin-1's characters."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or bounds[0] == bounds[-1]:
+        return np.zeros(len(texts), np.int64), pa.array([], pa.string())
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    low = _LOWER[raw]
+    for lead, table in ((0xC2, _LOWER_C2), (0xC3, _LOWER_C3)):
+        at = np.flatnonzero(raw == lead)
+        low[at + 1] = second = table[raw[at + 1]]
+        low[at] = np.where(second, lead, 0)
+    bounds = bounds - bounds[0]
+    inside = low != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = bounds[:-1][bounds[:-1] < bounds[-1]]
+    first[starts] = inside[starts]  # a word ends with its text
+    begin = np.flatnonzero(first)
+    size = np.add.reduceat(inside, begin, dtype=np.int32) if len(begin) else np.empty(0, np.int32)
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(low[inside]))
+    return np.diff(np.searchsorted(begin, bounds)), words
+
+
+def _read_words(found: pa.Array, plain: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of words of each text, text of each word, words): of a text either its words or, in Latin-1, itself is given."""
+    is_plain = np.flatnonzero(plain.is_valid().to_numpy(zero_copy_only=False))
+    counts = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_plain, words = _plain_words(plain.cast(pa.string()).take(pa.array(is_plain)))
+    owner = np.concatenate((np.repeat(np.arange(len(counts)), counts), np.repeat(is_plain, n_plain)))
+    counts[is_plain] = n_plain
+    return counts, owner, pa.concat_arrays([found.flatten().cast(pa.string()), words])
+
+
+def _invert(total: np.ndarray, owners: list[np.ndarray], words: list[pa.Array], ids: pa.Array, chunk: int, size_of_block: int, split: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a chunk of documents, those of like length (``total``) together: ``words`` and their documents by field."""
     n = len(ids)
-    total = np.sum(lengths, axis=0)
     order = np.argsort(total, kind="stable")
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     by_rank, size = ids.take(pa.array(order)), total[order].astype(np.int32)
-    for field, (length, flat) in enumerate(zip(lengths, words, strict=True)):
+    for field, (owner, flat) in enumerate(zip(owners, words, strict=True)):
         if not len(flat):
             continue
         coded = flat.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        key, tf = np.unique(code * n + np.repeat(rank, length), return_counts=True)
+        key, tf = np.unique(code * n + rank[owner], return_counts=True)
         code, place, tf = key // n, key % n, tf.astype(np.int32)
         part = np.where(np.bincount(code)[code] >= split, place // size_of_block, WHOLE)
         group = code * (WHOLE + 1) + part
@@ -74,14 +121,33 @@ def _invert(lengths: list[np.ndarray], words: list[pa.Array], ids: pa.Array, chu
         ], names=["field", "term", "block", "n", "most", "shortest", "rows", "tfs", "sizes"])
 
 
+def _crc32(terms: pa.Array) -> np.ndarray:
+    """CRC-32 of the terms' bytes, as of ``zlib``; all terms go on by a byte at a time, long ones by themselves."""
+    bounds = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    data = np.frombuffer(terms.buffers()[2] or b"", np.uint8)
+    begin, size = bounds[:-1], np.diff(bounds)
+    out = np.full(len(terms), 0xFFFFFFFF, np.uint32)
+    active = np.flatnonzero(size <= 64)
+    for step in range(64):
+        active = active[size[active] > step]
+        if not len(active):
+            break
+        out[active] = _CRC[(out[active] ^ data[begin[active] + step]) & 0xFF] ^ (out[active] >> 8)
+    out ^= 0xFFFFFFFF
+    for i in np.flatnonzero(size > 64):
+        out[i] = zlib.crc32(data[begin[i] : bounds[i + 1]].tobytes())
+    return out
+
+
 def _pieces(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, compressed rows) of postings; a term's bucket is the CRC-32 of its bytes modulo their number."""
-    bucket = np.array([zlib.crc32(t.encode()) % buckets for t in batch.column(1).to_pylist()], np.int32)
+    bucket = (_crc32(batch.column(1)) % buckets).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    batch = batch.take(pa.array(order))
     for b in range(buckets):
         if bounds[b] < bounds[b + 1]:
-            own = batch.take(pa.array(order[bounds[b] : bounds[b + 1]]))
+            own = batch.slice(bounds[b], bounds[b + 1] - bounds[b])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(own)
@@ -90,7 +156,11 @@ def _pieces(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, bytes]]:
 
 def _packed(df: DataFrame, row_id: str, fields: list[str], segment: int, buckets: int, size_of_block: int, most_held: int, split: int) -> DataFrame:
     """(bucket, chunk, n, words, data): the chunks' postings in pieces; a piece of bucket -1 counts documents and words."""
-    words = [F.regexp_extract_all(F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))), F.lit(_WORDS), 1).alias(f"w{k}") for k, f in enumerate(fields)]
+    columns = []
+    for k, f in enumerate(fields):
+        text = F.coalesce(F.col(f).cast("string"), F.lit(""))
+        latin = F.is_valid_utf8(text) & ((F.octet_length(text) == F.char_length(text)) | ~text.rlike(_BEYOND_LATIN))
+        columns += [F.when(~latin, F.regexp_extract_all(F.lower(text), F.lit(_WORDS), 1)).alias(f"w{k}"), F.when(latin, text).alias(f"t{k}")]
 
     def run(batches):
         from pyspark import TaskContext
@@ -99,13 +169,14 @@ def _packed(df: DataFrame, row_id: str, fields: list[str], segment: int, buckets
 
         def out():
             nonlocal held, docs, count, chunk
-            ids = pa.concat_arrays([b.column(0) for b in held])
-            lists = [[b.column(k + 1) for b in held] for k in range(len(fields))]
-            lengths = [np.concatenate([np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), np.int64) for x in own]) for own in lists]
-            flat = [pa.concat_arrays([x.flatten() for x in own]) for own in lists]
-            held, lists = [], []
-            yield piece(-1, len(ids), int(sum(x.sum() for x in lengths)), b"")
-            for made in _invert(lengths, flat, ids, chunk, size_of_block, split):
+            ids = pa.concat_arrays([x for x, _ in held])
+            begin = np.cumsum([0, *[len(x) for x, _ in held]])
+            total = np.sum([np.concatenate([own[k][0] for _, own in held]) for k in range(len(fields))], axis=0)
+            owners = [np.concatenate([own[k][1] + at for (_, own), at in zip(held, begin[:-1], strict=True)]) for k in range(len(fields))]
+            flat = [pa.concat_arrays([own[k][2] for _, own in held]) for k in range(len(fields))]
+            held = []
+            yield piece(-1, len(ids), int(total.sum()), b"")
+            for made in _invert(total, owners, flat, ids, chunk, size_of_block, split):
                 for b, data in _pieces(made, buckets):
                     yield piece(b, 0, 0, data)
             chunk, docs, count = chunk + 1, 0, 0
@@ -116,15 +187,16 @@ def _packed(df: DataFrame, row_id: str, fields: list[str], segment: int, buckets
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                held.append(batch)
+                read = [_read_words(batch.column(2 * k + 1), batch.column(2 * k + 2)) for k in range(len(fields))]
+                held.append((batch.column(0), read))
                 docs += batch.num_rows
-                count += sum(len(batch.column(k + 1).flatten()) for k in range(len(fields)))
+                count += sum(len(words) for _, _, words in read)
                 if docs + 256 > most_held or count >= HELD_WORDS:
                     yield from out()
         if held:
             yield from out()
 
-    return map_arrow(df.select(F.col(row_id).alias("id"), *words), run, "bucket int, chunk long, n long, words long, data binary")
+    return map_arrow(df.select(F.col(row_id).alias("id"), *columns), run, "bucket int, chunk long, n long, words long, data binary")
 
 
 def _unpacked(packed: DataFrame, kind: str) -> DataFrame:
@@ -218,23 +290,31 @@ class TextIndex:
 
     def _write(self, df: DataFrame, k: int, sign: int = 1) -> None:
         packed = shared_table(_packed(df, self.row_id, self.fields, k, self.buckets, self.block, self.held, self.split), "postings")
-        n, words = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        n, words, size = packed.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n"), F.col("words"), F.octet_length("data"))]).first()
         if sign > 0:
-            self._store(_unpacked(packed.repartition("bucket", self._spread(F.col("chunk"), n)), self._kind), k)
+            self._store(_unpacked(self._by_bucket(packed, size), self._kind), k)
         else:
             self._store_terms(_unpacked(packed, self._kind), k, sign)
         self._enter(k, sign * n, sign * words)
         discard(packed)
 
+    def _by_bucket(self, packed: DataFrame, size: int) -> DataFrame:
+        """The pieces of ``size`` bytes in all, each task with as many buckets, or parts of one, as any other."""
+        parts = max(1, -(-size // (TASK_BYTES * self.buckets)))
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(self.buckets * parts, max(usual, -(-size // TASK_BYTES)))
+        share = F.col("bucket") * parts + F.pmod(F.xxhash64("chunk"), F.lit(parts))
+        return packed.where("bucket >= 0").repartitionById(tasks, (share % tasks).cast("int"))
+
     def _store(self, rows: DataFrame, k: int) -> None:
         with writing(self.spark):  # a bucket's pieces go to Python a few at a time
-            rows.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={k}")
+            rows.sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").option("parquet.enable.dictionary#rows.list.element", "false").parquet(f"{self.path}/postings/segment={k}")
         self._store_terms(self._read("postings").where(F.col("segment") == k), k, 1)
 
     def _store_terms(self, postings: DataFrame, k: int, sign: int) -> None:
         counts = postings.groupBy("field", "term").agg((F.sum("n") * sign).alias("n"))
         with writing(self.spark):
-            _with_stems(counts).repartitionByRange("stem", "term").sortWithinPartitions("stem", "term").write.parquet(f"{self.path}/terms/segment={k}")
+            _with_stems(counts.repartitionByRange("term")).sortWithinPartitions("stem", "term").write.parquet(f"{self.path}/terms/segment={k}")
 
     def _enter(self, k: int, n: int, words: int, replaces: int = 0) -> None:
         row = self.spark.createDataFrame([(n, words, replaces, self._kind)], "n long, words long, replaces int, kind string").coalesce(1)
@@ -305,6 +385,10 @@ class TextIndex:
         if len(few) <= MAX_TERMS:
             postings = postings.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin(sorted({r["term"] for r in few})))
             found = F.broadcast(self.spark.createDataFrame([tuple(r) for r in few], found.schema))
+        else:
+            if prefix and not stems:  # rows of other words aren't even read
+                postings = postings.where(reduce(lambda a, b: a | b, [F.col("term").startswith(t) for t in terms]))
+            found = F.broadcast(found) if found.count() <= BROADCAST_TERMS else found
         by_field = F.element_at(F.array(*[F.lit(float((weights or {}).get(f, 1.0))) for f in self.fields]), F.col("field") + 1)
         postings = postings.join(found.select("i", "field", "term"), ["field", "term"]).withColumn("weight", by_field)
         single = len(few) <= MAX_TERMS and len({r["i"] for r in few}) == len(few)

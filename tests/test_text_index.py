@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,53 @@ def test_rules(spark, tmp_path):
     found = Q.filtered_search(index, rules.where("id > 1").select("id", "created"), ["zod"], 2).collect()
     assert len(found) == 2 and 2 in {r.id for r in found} and all(r.relevance > 0 for r in found)
     assert [(r.id, r.relevance) for r in Q.filtered_search(index, rules.where("id < 4").select("id", "created"), [], 2, F.col("created")).collect()] == [(3, 0.0), (2, 0.0)]
+
+
+def test_words_of_plain_texts(spark):
+    """Words that Python finds in texts of Latin-1 are those of the pattern; other texts keep the pattern."""
+    every = "".join(chr(c) for c in range(256))
+    rows = [every, "", " ", "É", "a", "Ab\0c", "é¼ÅÞß÷×ªº²µÿ", every.upper(), "x" * 70, "ÀB", "c", "ΣΑΣ Ünï", "İx I", " dash—Été"]
+    rows += [f"{chr(c)}{chr(383 - c)} {chr(c)}" for c in range(128, 256)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "id long, text string").coalesce(1)
+    want = {tuple(r) for r in df.selectExpr("id", r"explode(regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)) AS w").groupBy("w", "id").count().collect()}
+    got = T._unpacked(T._packed(df, "id", ["text"], 0, 4, 16, 1000, 8), "long")
+    assert {(r.term, i, n) for r in got.collect() for i, n in zip(r.rows, r.tfs, strict=True)} == want
+    assert T._plain_words(pa.array(rows[:11]).slice(3, 4))[0].tolist() == [1, 1, 2, 2]
+    terms = ["", "a", "é", "x" * 64, "y" * 65, "ключ", "z" * 500]
+    assert T._crc32(pa.array(terms)).tolist() == [zlib.crc32(x.encode()) for x in terms]
+    assert T._crc32(pa.array(terms).slice(2, 3)).tolist() == [zlib.crc32(x.encode()) for x in terms[2:5]]
+
+
+def test_postings_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    """Tasks get the same number of buckets, or parts of one, however large the input."""
+    rows = spark.createDataFrame([(k, f"a{k} b{k % 7} c") for k in range(200)], "id long, text string").repartition(8)
+    index = TextIndex(spark, str(tmp_path / "ix"), "id", ["text"], buckets=8)
+    packed = T._packed(rows, "id", ["text"], 0, 8, 16, 32, 8).cache()
+    n, size = packed.where("bucket >= 0").count(), packed.selectExpr("sum(octet_length(data))").first()[0]
+    for most, tasks, buckets in ((10 * size, 4, 2), (-(-size // 32), 32, 1)):
+        monkeypatch.setattr(T, "TASK_BYTES", most)
+        dealt = index._by_bucket(packed, size)
+        held = dealt.select(F.spark_partition_id().alias("p"), "bucket").distinct().groupBy("p").count().collect()
+        assert dealt.rdd.getNumPartitions() == tasks and dealt.count() == n
+        assert {r["count"] for r in held} == {buckets} and len(held) > tasks * 3 // 4
+    packed.unpersist()
+
+
+def test_many_words_shuffle_no_postings(spark, tmp_path, monkeypatch):
+    """Beyond the words that a filter names, postings meet the dictionary's words without being shuffled."""
+    monkeypatch.setattr(T, "MAX_TERMS", 3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = [(k, "", f"a{k} a{k + 1} b", "a", 0, "") for k in range(30)]
+    index = TextIndex.build(spark.createDataFrame(rows, SCHEMA), "id", ["title", "body"], str(tmp_path / "ix"), **SMALL)
+    plans, plain = [], T.shared_table
+    monkeypatch.setattr(T, "shared_table", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or plain(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: round(r.score, 9) for r in index.search(["a", "b"]).collect()}
+        monkeypatch.setattr(T, "BROADCAST_TERMS", 0)
+        assert {r.id: round(r.score, 9) for r in index.search(["a", "b"]).collect()} == pytest.approx(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == pytest.approx({k: s for k, (s, _) in plain_bm25(rows, ["a", "b"], (1.0, 1.0), True, False).items()})
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "StringStartsWith(term,a)" in plans[0]
+    assert "SortMergeJoin" in plans[1]
