@@ -158,3 +158,76 @@ def test_session_stream(spark, tmp_path):
 def test_fan_out(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, "{}")], "id long, state string")
     assert {tuple(r) for r in L.fan_out(df, "id", "state").select("id", "key", F.col("value")).collect()} == {(1, "a", "1"), (1, "b", "x")}
+
+
+def test_breaker_packs_waiting_events():
+    """A key's events of a micro-batch take one call of state and one entry; nothing is given out before they are due."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.values = []
+
+        def get(self):
+            return iter(self.values)
+
+        def appendValue(self, value):
+            self.values.append(value)
+
+        def put(self, values):
+            self.values = list(values)
+
+        def clear(self):
+            self.values = []
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, b = Handle(), B.EventTimeBreaker()
+    b.init(handle)
+    rng = random.Random(5)
+    events = [(rng.randrange(0, 1200) * 500_000, k, rng.random() < 0.6) for k in range(300)]
+    frame = lambda rows: pd.DataFrame(rows, columns=["at", "id", "failed"])
+    assert list(b.handleInputRows(("a",), iter([frame(events[:100]), frame(events[100:200])]), At(0))) == []
+    assert list(b.handleInputRows(("a",), iter([frame(events[200:]), frame([])]), At(0))) == []
+    assert len(b.waiting.values) == 2 and handle.timers == [min(events)[0] // 1000 + 1]
+    got = []
+    for ms in (handle.timers[0], 300_000, 300_001, 10**9):
+        if handle.timers:
+            for out in b.handleExpiredTimer(("a",), At(ms), At(handle.timers.pop())):
+                got += out.itertuples(index=False, name=None)
+            assert len(b.waiting.values) <= 1
+    state, want = ("closed", 0, 0), []
+    for at, i, bad in sorted(events):
+        state = L.breaker_step(*state, at, bad)
+        want.append(("a", i, *state[:2]))
+    assert got == want and b.waiting.values == [] and not handle.timers
