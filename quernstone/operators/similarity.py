@@ -242,12 +242,22 @@ def measured_pairs(s: DataFrame, pairs: DataFrame, measure: Callable[[np.ndarray
     return shared_table(map_arrow(rows, run, f"a {kind}, b {kind}, " + ", ".join(f"`{n}` double" for n in names)), "similar-pairs")
 
 
-def clusters(pairs: DataFrame) -> DataFrame:
-    """(component, size, mean_similarity) of the components that pairs connect."""
+def clusters(pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(component, size, mean_similarity) of the components that pairs connect.
+
+    With ``copies`` (class, n), the nodes of pairs are classes, of n rows with equal sets where named there and of one row elsewhere. Sizes and means are then
+    those of rows and of all their pairs, copies being pairs with similarity 1, and copies alone are a component, too. They are counted by classes, so no rows are paired.
+    """
     comp = connected_components(pairs, "a", "b")
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    mean = pairs.join(comp.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.avg("similarity").alias("mean_similarity"))
-    return size.join(mean, "component")
+    if copies is None:
+        copies = comp.select(F.col("node").alias("class"), F.lit(1).cast("long").alias("n")).limit(0)
+    node = comp.join(copies.withColumnRenamed("class", "node"), "node", "full").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).alias("n"))
+    node = shared_table(node, "cluster-nodes")
+    linked = pairs.join(node.toDF("a", "component", "na"), "a").join(node.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    inner, across = F.col("n") * (F.col("n") - 1) / 2, (F.col("na") * F.col("nb")).cast("double")
+    parts = node.select("component", "n", inner.alias("pairs"), inner.alias("sum"))
+    parts = parts.union(linked.select("component", F.lit(0).cast("long"), across, across * F.col("similarity")))
+    return parts.groupBy("component").agg(F.sum("n").alias("size"), (F.sum("sum") / F.sum("pairs")).alias("mean_similarity"))
 
 
 def _settle_in_order(links: DataFrame) -> DataFrame:

@@ -112,8 +112,9 @@ t AS (SELECT class, n, g FROM r JOIN s ON s.doc_id = r.class), i AS (SELECT a.cl
 p AS (SELECT a, b, c / (na + nb - c) AS sim FROM i WHERE c / (na + nb - c) >= 0.8 - 1e-9)"""
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", M.shingle_set(F.col("text")).alias("set"))
+def _near(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, class), (a, b, similarity)): the classes of equal shingle sets, and similar pairs of their names; copies are in the first table alone."""
+    docs = documents.select("doc_id", M.shingle_set(F.col("text")).alias("set"))
     members, sets = M.set_classes(docs, "doc_id", "set")
     return members, M.similar_pairs(sets, "class", "set", 0.8, M.names(members))
 
@@ -121,7 +122,7 @@ def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_SHINGLES} SELECT a, b, round(sim, 6) AS similarity FROM p")
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of class representatives with a Jaccard similarity of 0.8 over five-word shingles."""
-    return _near(spark, d)[1].select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return _near(table(spark, d, "documents"))[1].select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH RECURSIVE {_SHINGLES}, u AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p), z AS (SELECT class AS node, class AS top FROM r UNION SELECT z.node, u.y FROM z JOIN u ON u.x = z.top),
@@ -129,7 +130,7 @@ f AS (SELECT node, min(top) AS component FROM z GROUP BY 1), m AS (SELECT k.doc_
 SELECT documents.doc_id, coalesce(f.component, (SELECT min(doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k))) AS component FROM documents LEFT JOIN m ON m.doc_id = documents.doc_id LEFT JOIN f ON f.node = m.class""")
 def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     """One row for each document with the smallest id that near duplicates and copies connect it to."""
-    members, pairs = _near(spark, d)
+    members, pairs = _near(table(spark, d, "documents"))
     comp = connected_components(pairs, "a", "b").select(F.col("node").alias("class"), "component")
     return members.join(comp, "class", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "class").alias("component"))
 
@@ -141,7 +142,7 @@ m AS (SELECT k.doc_id, min(r2.class) AS class FROM k JOIN (SELECT min(doc_id) AS
 SELECT documents.doc_id, coalesce(j.leader, m.class, (SELECT min(doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k))) AS leader FROM documents LEFT JOIN m ON m.doc_id = documents.doc_id LEFT JOIN j ON j.node = m.class""")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Each document with the first leader that it is similar to, in the order of ids."""
-    members, pairs = _near(spark, d)
+    members, pairs = _near(table(spark, d, "documents"))
     led = M.leader_clusters(pairs).select(F.col("node").alias("class"), "leader")
     return members.join(led, "class", "left").select(F.col("id").alias("doc_id"), F.coalesce("leader", "class").alias("leader"))
 
@@ -174,7 +175,13 @@ def token_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return M.clusters(_near(spark, d)[1]).select("component", "size", F.round("mean_similarity", 6).alias("mean_similarity"))
+    """Groups of two documents or more that near duplicates and copies connect, with the mean similarity of their pairs from 0.8 on.
+
+    Texts without a word are similar to nothing.
+    """
+    members, pairs = _near(table(spark, d, "documents").where(F.col("text").rlike(r"[\p{L}\p{N}]")))
+    copies = members.where("id IS NOT NULL").groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return M.clusters(pairs, copies).select("component", "size", F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')), lambda x: length(x) > 2) AS w FROM documents WHERE doc_id % 50 = 0),
