@@ -89,3 +89,16 @@ def test_counted_by_classes(spark):
     assert got == {"a": (1_001_001, pytest.approx((own + 0.9 * ab + 0.8 * bc) / (own + ab + bc))), "z": (3, 1.0)}
     none = M.clusters(pairs.limit(0), copies.limit(0))
     assert none.collect() == []
+
+
+def test_candidates_count_documents(spark, tmp_path):
+    """Five documents are enough, be they copies, near copies or both; four aren't."""
+    rng, texts, n = random.Random(6), {}, 0
+    for copies, near in [(5, 0), (4, 0), (3, 2), (2, 2), (1, 4), (1, 3), (0, 0)]:
+        words = grown(rng, 80)
+        for t in [" ".join(words).upper()] + [" ".join(words)] * (copies - 1) + [" ".join([*words, f"end{j}"]) for j in range(near)]:
+            texts[n], n = t, n + 1
+    documents(spark, tmp_path, texts)
+    want = plain_clusters({k: shingles(t) for k, t in texts.items()})
+    got = found(spark, tmp_path, "skill_candidates")
+    assert [n for n, _ in got.values()] == [5, 5, 5] and got == close({k: v for k, v in want.items() if v[0] >= 5})
