@@ -22,6 +22,8 @@ SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 #: Tokens of all sets of a block of those that meet to be compared (about 32 MB).
 MET = 4_000_000
+#: Tokens of the sets that all tasks get, for other sets to be sent as what differs from them (8 MB).
+PIVOTS = 1_000_000
 #: Ids that are broadcast (about 20 MB once hashed); beyond, both sides are shuffled.
 MAX_BROADCAST_IDS = 200_000
 
@@ -200,11 +202,22 @@ def _verified(s: DataFrame, pairs: DataFrame) -> DataFrame:
     return measured_pairs(s, pairs, measure, ["similarity"])
 
 
+def _pivots(s: DataFrame, blocks: DataFrame, sizes: DataFrame) -> dict:
+    """The sorted tokens of the sets that places of several blocks are named by, of the largest places first, ``PIVOTS`` tokens at most; sets of other places are sent whole."""
+    large = blocks.where("blocks > 1").join(sizes.toDF("g", "n"), "g").orderBy(F.desc("blocks"), "g").limit(PIVOTS).collect()
+    ids = [r.g for r, upto in zip(large, np.cumsum([r.n for r in large]), strict=True) if upto <= PIVOTS]
+    if not ids:
+        return {}
+    found = s.where(F.col("id").isin(ids)).select("id", "tokens").toArrow()
+    return {k: np.sort(np.array(x.values.to_numpy(zero_copy_only=False))) for k, x in zip(found["id"].to_pylist(), found["tokens"], strict=True)}
+
+
 def measured_pairs(s: DataFrame, pairs: DataFrame, measure: Callable[[np.ndarray, np.ndarray], tuple], names: list[str]) -> DataFrame:
     """(a, b, and the named doubles that ``measure`` gives for their sorted tokens) of the pairs, ``s`` being (id, tokens).
 
     A set is sent to where pairs with it meet, not along with each pair. A pair belongs to the smallest id within two steps of its larger side, so pairs of a group of near copies meet in one
-    place, also where not each two of them are paired; a place with more than ``MET`` tokens is cut into blocks by a hash, each two of which meet on their own.
+    place, also where not each two of them are paired; a place with more than ``MET`` tokens is cut into blocks by a hash, each two of which meet on their own. Sets of such a place are sent
+    once for each two blocks, as what differs from the set that the place is named by, from which they are restored where they meet.
     """
     kind = s.schema["id"].dataType.simpleString()
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
@@ -214,11 +227,27 @@ def measured_pairs(s: DataFrame, pairs: DataFrame, measure: Callable[[np.ndarray
     each = lambda p: p.select(*[c for c in p.columns if c not in ("a", "b")], F.explode(F.array("a", "b")).alias("id")).distinct()
     used = _of(s, pairs)
     sizes = shared_table(used.select("id", F.size("tokens").alias("n")), "set-sizes")
-    blocks = each(placed).join(sizes, "id").groupBy("g").agg((1 + F.floor(F.sum("n") / MET)).alias("blocks"))
+    blocks = shared_table(each(placed).join(sizes, "id").groupBy("g").agg((1 + F.floor(F.sum("n") / MET)).alias("blocks")), "place-blocks")
     block = lambda x: F.pmod(F.xxhash64(x), F.col("blocks"))
     placed = placed.join(blocks, "g").select("g", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
     placed = shared_table(placed, "placed-pairs")
-    needed = each(placed).join(used, "id").select("g", "i", "j", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "tokens")
+    where = shared_table(each(placed).groupBy("g", "id").agg(F.collect_list(F.struct("i", "j")).alias("at")), "set-places")
+    few = (where.agg(F.sum(F.size("at"))).first()[0] or 0) <= MAX_BROADCAST_IDS
+    needed = used.join(F.broadcast(where) if few else where, "id").select("g", "id", "at", "tokens")
+    pivots = _pivots(used, blocks, sizes)
+    sent = s.sparkSession.sparkContext.broadcast(pivots)
+
+    def differing(batches):
+        for batch in batches:
+            g, lists = batch.column(0).to_pylist(), batch.column(3)
+            sets = [lists[k].values.to_numpy(zero_copy_only=False) for k in range(len(g))]
+            sets = [np.setxor1d(x, sent.value[k], assume_unique=True) if k in sent.value else x for k, x in zip(g, sets, strict=True)]
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))], names=["g", "id", "at", "tokens"])
+
+    if pivots:
+        needed = map_arrow(needed, differing, f"g {kind}, id {kind}, at array<struct<i: bigint, j: bigint>>, tokens array<bigint>")
+    needed = needed.select("g", F.explode("at").alias("at"), "id", "tokens").select("g", "at.i", "at.j", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "tokens")
     rows = needed.union(placed.select("g", "i", "j", "a", "b", F.lit(None).cast("array<bigint>")))
     rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", F.asc_nulls_first("b")).select("g", "i", "j", "a", "b", "tokens")
 
@@ -232,7 +261,8 @@ def measured_pairs(s: DataFrame, pairs: DataFrame, measure: Callable[[np.ndarray
                 if here != place:
                     place, held = here, {}
                 if b[k] is None:
-                    held[a[k]] = np.sort(np.array(lists[k].values.to_numpy(zero_copy_only=False)))
+                    tokens = np.sort(np.array(lists[k].values.to_numpy(zero_copy_only=False)))
+                    held[a[k]] = np.setxor1d(tokens, sent.value[g[k]], assume_unique=True) if g[k] in sent.value else tokens
                 else:
                     out.append((a[k], b[k], *measure(held[a[k]], held[b[k]])))
             if out:
